@@ -50,8 +50,8 @@ def shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             s = np.unique(run[a : b - WORDS + 1])
         else:  # the whole sequence is its one shingle; its length tells it from the five-word ones
             s = np.array([b - a], _U)
-            for i in range(a, b):
-                s = mix(s + words[i : i + 1])
+            for j in range(a, b):
+                s = mix(s + words[j : j + 1])
         parts.append(s)
         counts[i] = len(s)
     return np.concatenate(parts), counts
