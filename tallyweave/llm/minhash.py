@@ -139,25 +139,26 @@ def _nodes(reps: DataFrame) -> DataFrame:
 
     Level by level, a pre-aggregated count tells small nodes from large ones; only documents of large ones go deeper.
     What is still large at the last level is dealt into parts of SMALL, and every two parts meet, so no link is lost and no
-    list exceeds two parts."""
-    flat = reps.select("rep", "sketch", F.posexplode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree", "t"), "keys").drop("t")
+    list exceeds two parts. The paths travel without the sketches, which join the few rows that share a node."""
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * DEPTH + 1, DEPTH)))
+    flat = reps.select("rep", trees.alias("path")).select("rep", *(F.col("path")[d].alias(f"k{d}") for d in range(DEPTH)))
     rest = None
     for d in range(DEPTH):
-        key = F.element_at("keys", F.col("tree") * DEPTH + d + 1)
-        flat = flat.withColumn("key", key)
-        sizes = flat.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
-        here = flat.join(sizes, ["tree", "key"])
-        small = here.where(F.col("size") <= SMALL).select("rep", "sketch", "tree", "key", F.lit(0).cast("long").alias("pair"))
+        deeper = [f"k{x}" for x in range(d + 1, DEPTH)]
+        sizes = flat.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1")
+        here = stage(flat.join(sizes, f"k{d}").select("rep", F.col(f"k{d}").alias("key"), "size", *deeper), "level")
+        small = here.where(F.col("size") <= SMALL).select("rep", "key", F.lit(0).cast("long").alias("pair"))
         rest = small if rest is None else rest.unionByName(small)
         flat = here.where(F.col("size") > SMALL)
         if d < DEPTH - 1:
-            flat = flat.drop("size", "key")
+            flat = flat.select("rep", *deeper)
     parts = F.ceil(F.col("size") / SMALL).cast("long")
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     large = flat.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other") + 1
-    rest = rest.unionByName(large.select("rep", "sketch", "tree", "key", pair.alias("pair")))
-    lists = rest.groupBy("tree", "key", "pair").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+    rest = rest.unionByName(large.select("rep", "key", pair.alias("pair")))
+    met = rest.join(reps.select("rep", "sketch"), "rep")
+    lists = met.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
     return lists.where(F.size("members") > 1).select("members")
 
 
