@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; edges has two long columns.
 
@@ -25,7 +19,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = stage(e.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
     seen = None
     while True:
-        large = _star(e).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        above = e.select(F.col("v").alias("u"), F.col("u").alias("far"))  # a node and those of greater number
+        large = above.join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(

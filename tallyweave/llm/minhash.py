@@ -201,7 +201,7 @@ def _group_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[
 
 def _confirm(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """Settle each proposed group (rep, group) on full shingle sets; (a, b) edges of the true links' forest."""
-    texts = docs.join(groups.withColumnRenamed("rep", "doc_id"), "doc_id")
+    texts = docs.join(groups.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")  # groups grow with the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,8 +231,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_shingles, component_id, kept for each row.
 
     Null or blank texts have no shingles, link with nothing and are kept. Documents of equal shingle sets are one node
-    from the start, so groups of copies cost nothing later. Rows repeated under one id count once each; if their texts
-    differ, the id links by any of them. A null id gives a null component and kept false. Other columns are left out."""
+    from the start, so groups of copies cost nothing later. Rows repeated under one id come back each; if their texts
+    differ, each is a document of its own. A null id gives a null component and kept false. Other columns are left out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stage(_sets(rows), "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -240,8 +240,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = some.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch"))
     reps = stage(reps, "reps")
     groups = connected_components(_propose(_nodes(reps))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    edges = _confirm(groups, rows.where("doc_id IS NOT NULL")).union(some.join(reps, names).where("doc_id <> rep").select("doc_id", "rep"))
-    links = connected_components(edges)
-    out = sets.select("doc_id", "n_shingles").join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    links = connected_components(_confirm(groups, rows.where("doc_id IS NOT NULL"))).withColumnRenamed("node", "rep")
+    known = reps.select(*names, "rep").join(links, "rep", "left").select(*names, F.coalesce("component", "rep").alias("of"))
+    out = sets.select("doc_id", *names).join(known, names, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
