@@ -11,6 +11,7 @@ from . import quality, warc
 from .embed_dedup import near_vectors
 from .minhash import near_documents
 from .packing import pack
+from .suffix_dedup import removal_digests
 from .token_store import read_tokens, token_digests, write_tokens
 from .topk import top_k
 
@@ -19,6 +20,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_token_store": op6_token_store,
     "op7_packing": op7_packing,
     "op9_topk": op9_topk,
