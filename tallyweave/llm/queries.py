@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from . import quality, warc
+from . import lm_score, quality, warc
 from .embed_dedup import near_vectors
 from .minhash import near_documents
 from .packing import pack
+from .pieces import decoded, sampled_pieces
 from .suffix_dedup import removal_digests
 from .token_store import read_tokens, token_digests, write_tokens
 from .topk import top_k
@@ -24,6 +26,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.fit(docs).score(docs)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
@@ -43,6 +50,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every turn; exact says that decoding gives the turn's text back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = decoded(sampled_pieces(turns.withColumn("full", F.coalesce("text", F.lit(""))), ["conv_id", "turn", "full"], "text"))
+    return out.select("conv_id", "turn", "sample", "ids", "log_p", "inclusion", (F.col("decoded") == F.col("full")).alias("exact"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -57,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_token_store": op6_token_store,
     "op7_packing": op7_packing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
@@ -104,6 +120,7 @@ ORACLES: dict[str, str] = {
         n AS (SELECT u, count(*) AS k FROM links GROUP BY ALL)
         SELECT c.vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN n ON c.vec_id = n.u""",
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
