@@ -80,7 +80,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw_all, offs_all = utf8(b.column(1))
-            for lo, hi in slices(offs_all, 4 << 20):
+            for lo, hi in slices(offs_all, 2 << 20):
                 s, counts = shingles(raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo])
                 some = np.flatnonzero(counts)
                 names, n = np.zeros((2, hi - lo), np.int64), hi - lo
@@ -206,7 +206,7 @@ def _confirm(groups: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = utf8(b.column(1))
-            for lo, hi in slices(offs, 4 << 20):
+            for lo, hi in slices(offs, 2 << 20):
                 s, counts = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 at = starts_of(counts)
                 sets = [s[a:z].tobytes() for a, z in zip(at, at[1:], strict=False)]

@@ -137,7 +137,7 @@ def pack(
 
         for batch in batches:
             keys, text = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in slices(utf8(text)[1], 16 << 20):
+            for lo, hi in slices(utf8(text)[1], 6 << 20):
                 ids, n = with_end(*enc(text.slice(lo, hi - lo)), end_id)
                 ids, at = ids.astype("<u4"), starts_of(n)
                 for i in range(hi - lo):

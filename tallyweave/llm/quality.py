@@ -31,7 +31,7 @@ def statistics(text: pa.Array) -> np.ndarray:
     """A row of statistics for each whole text: shares of byte classes, word lengths, repetition, lines, size."""
     raw_all, offs_all = utf8(text)
     out = np.zeros((len(text), N_STATS))
-    for lo, hi in slices(offs_all, 8 << 20):
+    for lo, hi in slices(offs_all, 2 << 20):
         raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
         n, size = hi - lo, np.diff(offs)
         row = np.repeat(np.arange(n), size)

@@ -38,7 +38,7 @@ def write_tokens(
         enc, shard, first = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column(1)
-            for lo, hi in slices(utf8(text)[1], 16 << 20):
+            for lo, hi in slices(utf8(text)[1], 6 << 20):
                 ids, n = with_end(*enc(text.slice(lo, hi - lo)), end_id)
                 at = starts_of(n)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))

@@ -16,7 +16,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\v\p{Z}\x{85}\p{L}\p{N}]+"
 #: For rows without an apostrophe: letters apart from the rest; the library cuts up what is not letters.
 NOT_LETTERS = r"[^\s\p{L}]+"
 #: Words kept in the worker's cache; when full it is emptied, so memory is bounded.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
