@@ -1,0 +1 @@
+"""Empty on purpose: no operator here is a stream; a re-run is a batch over newer snapshots and stored tags."""
