@@ -162,12 +162,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _keyed(docs, id_col, text_col)
     text = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_text").alias("text"))
     all_units = stage(text.mapInArrow(cut, UNIT), "units")
-    often = all_units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    # counts are written first, so that their join is one that Spark can split where an anchor is very common
+    often = stage(all_units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
     found = stage(all_units.join(often.hint("merge"), "a"), "repeated-anchors")
     same = ["a", "c", "lead", "n"]
     kinds = found.groupBy(*same).agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "s")).alias("at"))
     kinds = stage(kinds.select(*same, "weight", "at.*"), "unit-kinds")
-    variety = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
+    variety = stage(kinds.groupBy("a").agg(F.count("*").alias("kinds")), "variety")
     kinds = kinds.join(variety.hint("merge"), "a")
     alone = kinds.where("kinds = 1").select(*same, F.lit(None).cast("binary").alias("mask"))  # copies of one unit: all repeated
 
