@@ -120,7 +120,6 @@ ORACLES: dict[str, str] = {
         n AS (SELECT u, count(*) AS k FROM links GROUP BY ALL)
         SELECT c.vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN n ON c.vec_id = n.u""",
-    "op8_sentencepiece": op8_sentencepiece,
     "op9_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
