@@ -15,8 +15,8 @@ from .common import scratch_path
 
 #: Payloads shorter than this are always stored whole.
 MIN_REVISIT = 100
-#: Uncompressed bytes of payload that one archive file should hold, about.
-FILE_BYTES = 32 << 20
+#: Records of one archive file, at most.
+FILE_RECORDS = 10_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, url_key string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -37,7 +37,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     p = p.withColumn("digest", F.sha2(binary, 256)).withColumn("size", F.octet_length("payload").cast("long"))
     ids = p.select("page_id", "digest", "size").where(F.col("size") >= MIN_REVISIT)
     shared = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(shared, "digest", "left")
+    return p.join(shared.hint("merge"), "digest", "left")  # payloads travel once, at any size
 
 
 def records(c: DataFrame) -> DataFrame:
@@ -70,10 +70,8 @@ def write_warc(pages: DataFrame, path: str, **columns: str) -> None:
     Null payload or url counts as empty; a null id is an unnamed record, which others may refer to only if no named one
     has the payload. Repeated rows make repeated records; the copies of the first page stay responses. Spark's text
     writer joins records with the blank lines that end each, so any store that Spark writes to will do."""
-    c = captures(pages, **columns)
-    total = c.agg(F.sum("size")).first()[0] or 0
-    out = records(c).repartition(max(1, -(-total // FILE_BYTES)))
-    out.write.option("lineSep", END).option("compression", "gzip").text(path)
+    out = records(captures(pages, **columns)).write.option("maxRecordsPerFile", FILE_RECORDS)
+    out.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
