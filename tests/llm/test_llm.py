@@ -115,7 +115,7 @@ def test_warc_round_trip_and_merge_order(spark):
 def test_loser_tree_merges_any_number_of_runs():
     rng = random.Random(1)
     for k in range(12):
-        runs = [sorted(("f", str(rng.randrange(9)), "t", rng.choice([None, 1, 2]), r) for _ in range(rng.randrange(6))) if False else sorted([("f", str(rng.randrange(9)), "t", rng.choice([None, 1, 2])) for _ in range(rng.randrange(6))], key=warc.order) for r in range(k)]
+        runs = [sorted([("f", str(rng.randrange(9)), "t", rng.choice([None, 1, 2])) for _ in range(rng.randrange(6))], key=warc.order) for _ in range(k)]
         assert [warc.order(x) for x in warc.LoserTree(runs)] == sorted(warc.order(x) for r in runs for x in r)
 
 
@@ -327,7 +327,7 @@ def test_pseudo_likelihood(spark):
     assert abs(got[0].log_likelihood - sum(float(model.log_p[a, c, b]) for a, b, c in zip(one[0], one[1], one[2], strict=True))) < 1e-2
     counts = np.zeros((lm_score.N_TOKENS,) * 3, np.float32)
     counts[1, 2, 3], counts[4, 5, 6] = 50, 50
-    fitted = np.exp(lm_score.train(counts.transpose(0, 2, 1) if False else counts))
+    fitted = np.exp(lm_score.train(counts))
     assert fitted[1, 2, 3] > 0.8 and fitted[4, 5, 6] > 0.8
     assert lm_score.fit(docs.limit(0)).score(docs).count() == docs.count()
 
