@@ -321,10 +321,40 @@ def test_pseudo_likelihood(spark):
     assert np.allclose(np.exp(model.log_p.astype(float)).sum(2), 1, atol=1e-4)
     left, token, right, per = lm_score._tokens(pa.array(["the ing", "", "the"]), {"the": 0})
     assert per.tolist() == [2, 0, 1] and left.tolist() == [0, 1, 0] and right[1:].tolist() == [0, 0] and token[0] == token[2] == 1
-    got = {r.doc_id: r for r in model.score(docs).collect()}
-    text = next(r.text for r in docs.collect() if r.doc_id == 0)
-    one = lm_score._tokens(pa.array([text]), {w: i for i, w in enumerate(model.words)})
-    assert abs(got[0].log_likelihood - sum(float(model.log_p[a, c, b]) for a, b, c in zip(one[0], one[1], one[2], strict=True))) < 1e-2
+    rows = docs.collect()
+    counts = collections.Counter(w for r in rows for w in lm_score._words(pa.array([(r.text or "")]))[0].take(pa.array(lm_score._words(pa.array([r.text or ""]))[1])).to_pylist())
+    assert model.words == sorted(counts, key=lambda w: (-counts[w], w))[: lm_score.VOCABULARY]
+    known = {w: i for i, w in enumerate(model.words)}
+    of = {w: int(lm_score._ids(pa.array([w]), known)[0]) for w in [*counts, "neverseen"]}
+    size = collections.Counter()
+    for w, n in counts.items():
+        size[of[w]] += n + 1
+    shares = {r.word: r.share for r in model.shares.collect()}
+    assert set(shares) == set(counts) - set(model.words)
+    assert all(abs(s / lm_score.UNIT - math.log((counts[w] + 1) / (size[of[w]] + 1))) < 1e-6 for w, s in shares.items())
+    for c in range(lm_score.CLASSES):  # each class: its words and one unseen word
+        mass = sum(math.exp(s / lm_score.UNIT) for w, s in shares.items() if of[w] == c + 1 + lm_score.VOCABULARY)
+        assert abs(mass + math.exp(model.unseen[c] / lm_score.UNIT) - 1) < 1e-4
+
+    def brute(text):
+        words = lm_score._words(pa.array([text]))
+        words = words[0].take(pa.array(words[1])).to_pylist()
+        ids = [0, *(of[w] for w in words), 0]
+        total = 0.0
+        for i, w in enumerate(words):
+            total += float(model.log_p[ids[i], ids[i + 2], ids[i + 1]])
+            total += 0.0 if w in known else math.log((counts[w] + 1) / (size[of[w]] + 1))
+        return len(words), total
+
+    def same(got, want):
+        got, want = sorted(got, key=str), sorted(want, key=str)
+        assert len(got) == len(want)
+        for (i, n, s), (j, (m, t)) in zip(got, want, strict=True):
+            assert (i, n) == (j, m) and abs(s - t) < 1e-3 + 1e-5 * n
+
+    same([(r.doc_id, r.n_words, r.log_likelihood) for r in model.score(docs).collect()], [(r.doc_id, brute(r.text or "")) for r in rows])
+    new = spark.createDataFrame([(1, "neverseen the neverseen")], "doc_id long, text string")
+    same([(r.doc_id, r.n_words, r.log_likelihood) for r in model.score(new).collect()], [(1, brute("neverseen the neverseen"))])
     counts = np.zeros((lm_score.N_TOKENS,) * 3, np.float32)
     counts[1, 2, 3], counts[4, 5, 6] = 50, 50
     fitted = np.exp(lm_score.train(counts))
