@@ -315,9 +315,12 @@ def test_sampled_pieces_decode_to_their_text(spark):
     assert all(0 <= r.inclusion <= 1 for r in a)
 
 
-def test_pseudo_likelihood(spark):
+@pytest.mark.parametrize("frequent", [1 << 20, 400, 1])
+def test_pseudo_likelihood(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)  # all words, some or none are looked up in the task
     docs = documents(spark)
     model = lm_score.fit(docs)
+    assert 0 <= model.frequent.num_rows <= frequent and (frequent > 400 or model.frequent.num_rows < model.shares.count())
     assert np.allclose(np.exp(model.log_p.astype(float)).sum(2), 1, atol=1e-4)
     left, token, right, per = lm_score._tokens(pa.array(["the ing", "", "the"]), {"the": 0})
     assert per.tolist() == [2, 0, 1] and left.tolist() == [0, 1, 0] and right[1:].tolist() == [0, 0] and token[0] == token[2] == 1
