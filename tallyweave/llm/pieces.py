@@ -9,8 +9,10 @@ children are drawn given their parent's maximum, and the frontier's best node is
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
+import re
+from array import array
+from bisect import insort
 from collections.abc import Iterator
 from itertools import count
 
@@ -19,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, starts_of, utf8
 from .tokens import vocabulary_path
 
-#: Segmentations of each text, the scale of piece scores, the longest unit that a lattice spans, the base of the seeds.
+#: Segmentations of each text, the scale of piece scores, the longest unit whose edges are kept, the base of the seeds.
 SAMPLES, ALPHA, UNIT, SEED = 2, 0.002, 24, 17
 SPACE = "▁"
 SCHEMA = "sample int, ids array<int>, pieces array<string>, log_p double, inclusion double"
+#: Bytes of text in one batch of results; a longer text stands alone.
+PART_BYTES = 256 << 10
 
 
 class Lattice:
@@ -41,70 +46,83 @@ class Lattice:
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.score), default=1)
         self.least = min(self.score.values(), default=0.0) - 1.0  # of a character without a piece, spelt in bytes
+        self.cut = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
+        if any(self.cut.search(p) for p in self.score):
+            raise ValueError("a piece of the vocabulary has a space mark behind another character")
         self.kept: dict[str, list] = {}
 
-    def unit(self, text: str) -> list[list[tuple[float, int]]]:
+    def unit(self, text: str) -> list[list[tuple[float, int]]] | _Edges:
         """For each start, (log-probability given the start, end) of each edge that can begin there, likeliest first."""
         known = self.kept.get(text)
         if known is not None:
             return known
         n = len(text)
-        mass = [-math.inf] * n + [0.0]
-        edges: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        mass = array("d", [-math.inf]) * n + array("d", [0.0])
         for i in range(n - 1, -1, -1):
-            found = [(self.score[text[i:j]] + mass[j], j) for j in range(i + 1, min(n, i + self.longest) + 1) if text[i:j] in self.score]
-            if text[i] not in self.score:
-                found.append((self.least + mass[i + 1], i + 1))
-            top = max(x for x, _ in found)
-            mass[i] = top + math.log(sum(math.exp(x - top) for x, _ in found))
-            edges[i] = sorted(((x - mass[i], j) for x, j in found), reverse=True)
+            found = [x for x, _ in self.starting(text, mass, i)]
+            top = max(found)
+            mass[i] = top + math.log(sum(math.exp(x - top) for x in found))
+        edges = _Edges(self, text, mass)
+        if n > UNIT:
+            return edges
         if len(self.kept) > 50_000:
             self.kept.clear()
-        self.kept[text] = edges
-        return edges
+        self.kept[text] = [edges[i] for i in range(n)]
+        return self.kept[text]
+
+    def starting(self, text: str, mass: array, i: int) -> list[tuple[float, int]]:
+        """(log-mass of all paths by it, end) of each edge that begins at i."""
+        score = self.score
+        found = [(score[text[i:j]] + mass[j], j) for j in range(i + 1, min(len(text), i + self.longest) + 1) if text[i:j] in score]
+        if text[i] not in score:
+            found.append((self.least + mass[i + 1], i + 1))
+        return found
 
     def units(self, text: str) -> list[str]:
-        """The text with spaces marked, cut before each mark and after UNIT characters."""
+        """The text with spaces marked, cut before each run of marks; no piece has a mark behind another character."""
         marked = (SPACE + text.replace(" ", SPACE)) if text else ""
-        out, lo = [], 0
-        for i in range(1, len(marked) + 1):
-            if i == len(marked) or marked[i] == SPACE and marked[i - 1] != SPACE or i - lo == UNIT:
-                out.append(marked[lo:i])
-                lo = i
-        return out
+        return [u for u in self.cut.split(marked) if u]
 
     def spell(self, piece: str) -> list[int]:
         known = self.id.get(piece)
         return [known] if known is not None else [self.bytes[b] for b in piece.encode()]
 
-    def sample(self, text: str, k: int, rng: np.random.Generator) -> list[tuple[float, float, list[str]]]:
-        """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first."""
+    def sample(self, text: str, k: int, rng: np.random.Generator, whole: bool = True) -> list[tuple[float, float, list[str]]]:
+        """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first; without
+        ``whole`` the last one, from which only the perturbed value is wanted, isn't followed and has no pieces.
+
+        The frontier holds no more nodes than paths are wanted: each opened node gives a path, so others are never opened."""
         units = self.units(text)
         lattices = [self.unit(u) for u in units]
         noise = _Noise(rng)
         number = count()
-        # a node: next unit, place in it, log-probability so far, and its path as nested pairs
+        # a node: its maximum negated, next unit, place in it, log-probability so far, and its path as nested pairs
         frontier = [(-noise.gumbel(), next(number), 0, 0, 0.0, None)]
         done: list[tuple[float, float, list[str]]] = []
         while frontier and len(done) <= k:
-            g, _, u, i, log_p, path = heapq.heappop(frontier)
+            g, _, u, i, log_p, path = frontier.pop(0)
             g = -g
-            while u < len(units):  # follow the child that keeps the maximum; its siblings join the frontier
+            room = k - len(done)
+            if not room and not whole:
+                done.append((g, log_p, []))
+                break
+            while u < len(units):  # follow the child that keeps the maximum; its siblings may join the frontier
                 edges = lattices[u][i]
                 if len(edges) == 1:
                     best = 0
-                    drawn = None
                 else:
                     drawn = [x + noise.gumbel() for x, _ in edges]
-                    best = max(range(len(edges)), key=drawn.__getitem__)
-                    top = drawn[best]
-                    for e, (x, j) in enumerate(edges):
+                    top = max(drawn)
+                    best = drawn.index(top)
+                    for e, (x, j) in enumerate(edges) if room else ():
                         if e != best:
                             # the sibling's own maximum, given that the greatest of all is g - log_p
                             v = (g - log_p) - drawn[e] + _log1mexp(drawn[e] - top)
                             lower = log_p + (g - log_p) - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
-                            at = (u, j) if j < len(units[u]) else (u + 1, 0)
-                            heapq.heappush(frontier, (-lower, next(number), *at, log_p + x, (path, units[u][i:j])))
+                            if len(frontier) < room or -lower < frontier[-1][0]:
+                                at = (u, j) if j < len(units[u]) else (u + 1, 0)
+                                insort(frontier, (-lower, next(number), *at, log_p + x, (path, units[u][i:j])))
+                                del frontier[room:]
                 x, j = edges[best]
                 path, log_p = (path, units[u][i:j]), log_p + x
                 u, i = (u, j) if j < len(units[u]) else (u + 1, 0)
@@ -116,6 +134,16 @@ class Lattice:
         return done
 
 
+class _Edges:
+    """Edges of one unit, made when they are asked for: only the masses stay, 8 bytes a character."""
+
+    def __init__(self, lattice: Lattice, text: str, mass: array):
+        self.lattice, self.text, self.mass = lattice, text, mass
+
+    def __getitem__(self, i: int) -> list[tuple[float, int]]:
+        return sorted(((x - self.mass[i], j) for x, j in self.lattice.starting(self.text, self.mass, i)), reverse=True)
+
+
 class _Noise:
     """Standard Gumbel draws, made in lots."""
 
@@ -157,22 +185,25 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary, alpha)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                row, out = [], []
-                names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
-                for at, (key, text) in enumerate(zip(names, part.column(n_keys).to_pylist(), strict=True)):
-                    seed = hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()
-                    found = lat.sample(text or "", samples, np.random.Generator(np.random.PCG64(int.from_bytes(seed))))
-                    bar = found[samples][0] if len(found) > samples else -math.inf
-                    for s, (_, log_p, pieces) in enumerate(found[:samples]):
-                        row.append(at)
-                        included = -math.expm1(-math.exp(min(log_p - bar, 50.0))) if bar > -math.inf else 1.0
-                        out.append((s, [x for p in pieces for x in lat.spell(p)], pieces, log_p, included))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                types = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.float64(), pa.float64())
-                own = [part.column(i).take(pa.array(row, pa.int64())) for i in range(n_keys)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keys, "sample", "ids", "pieces", "log_p", "inclusion"])
+            for lo, hi in slices(utf8(b.column(n_keys))[1], PART_BYTES):
+                for at in range(lo, hi, 500):
+                    yield drawn(lat, b.slice(at, min(hi - at, 500)))
+
+    def drawn(lat: Lattice, part: pa.RecordBatch) -> pa.RecordBatch:
+        row, out = [], []
+        names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
+        for at, (key, text) in enumerate(zip(names, part.column(n_keys).to_pylist(), strict=True)):
+            seed = hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()
+            found = lat.sample(text or "", samples, np.random.Generator(np.random.PCG64(int.from_bytes(seed))), whole=False)
+            bar = found[samples][0] if len(found) > samples else -math.inf
+            for s, (_, log_p, pieces) in enumerate(found[:samples]):
+                row.append(at)
+                included = -math.expm1(-math.exp(min(log_p - bar, 50.0))) if bar > -math.inf else 1.0
+                out.append((s, [x for p in pieces for x in lat.spell(p)], pieces, log_p, included))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        types = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.float64(), pa.float64())
+        own = [part.column(i).take(pa.array(row, pa.int64())) for i in range(n_keys)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keys, "sample", "ids", "pieces", "log_p", "inclusion"])
 
     chosen = rows.select(*keys, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -189,8 +220,12 @@ def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vo
         lib = lattice(vocabulary, ALPHA).lib
         spelt = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.encode() for i, p in ((i, lib.id_to_piece(i)) for i in range(lib.get_piece_size()))]
         mark = SPACE.encode()
-        for b in batches:
-            texts = [None if ids is None else b"".join(spelt[i] for i in ids).removeprefix(mark).replace(mark, b" ").decode(errors="replace") for ids in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
+        for whole in batches:
+            at = whole.schema.get_field_index(ids_col)
+            per = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(starts_of(per), PART_BYTES):
+                b = whole.slice(lo, hi - lo)
+                texts = [None if ids is None else b"".join(spelt[i] for i in ids).removeprefix(mark).replace(mark, b" ").decode(errors="replace") for ids in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").cast("string").alias(text_col)).schema)

@@ -304,6 +304,33 @@ def test_gumbel_samples_follow_the_lattice():
     assert len(lat.sample("a", 50, np.random.default_rng(0))) == len(paths("▁a"))
 
 
+def test_long_runs_without_spaces_have_all_segmentations():
+    lat = pieces.Lattice(tokens.vocabulary_path("piece_bpe_32k.model"), 0.002)
+    run = "日本" * 6 + "the" + "日本" * 6  # 27 characters; the cut at 24 was behind the mark and 23 of them
+    for text in (run, "a" + "q" * 22 + "the" + "q" * 20, "https://example.org/" + "x" * 30 + "/index.html"):
+        (unit,) = lat.units(text)
+        assert unit == pieces.SPACE + text
+        mass = {len(unit): 0.0}  # forward from the end, straight from the definition
+        for i in range(len(unit) - 1, -1, -1):
+            ways = [lat.score[unit[i:j]] + mass[j] for j in range(i + 1, len(unit) + 1) if unit[i:j] in lat.score]
+            ways += [] if unit[i] in lat.score else [lat.least + mass[i + 1]]
+            mass[i] = np.logaddexp.reduce(ways)
+        edges = lat.unit(unit)
+        for i in range(len(unit)):
+            want = {j: lat.score.get(unit[i:j], lat.least) + mass[j] - mass[i] for j in range(i + 1, len(unit) + 1) if unit[i:j] in lat.score or j == i + 1}
+            assert {j for _, j in edges[i]} == set(want) and all(abs(x - want[j]) < 1e-9 for x, j in edges[i])
+        for _, log_p, path in lat.sample(text, 5, np.random.default_rng(1)):
+            assert "".join(path) == unit and abs(sum(lat.score.get(p, lat.least) for p in path) - mass[0] - log_p) < 1e-6
+    spanning, at, lat = 0, 24, pieces.Lattice(tokens.vocabulary_path("piece_bpe_32k.model"), 0.00002)
+    for i in range(300):
+        ends = set(np.cumsum([len(p) for p in lat.sample("q" * 22 + "thethe", 0, np.random.default_rng(i))[0][2]]).tolist())
+        spanning += at not in ends
+    assert spanning > 0  # pieces lie across the 24th character
+    assert lat.units("a  b " + "c" * 60) == ["▁a", "▁▁b", "▁" + "c" * 60]
+    found = [lat.sample("the other thing", 30, np.random.default_rng(3), whole) for whole in (True, False)]
+    assert found[0][:30] == found[1][:30] and found[0][30][0] == found[1][30][0]
+
+
 def test_sampled_pieces_decode_to_their_text(spark):
     docs = documents(spark).select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
