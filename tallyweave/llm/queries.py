@@ -50,11 +50,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of whole texts; exact says that decoding gives the text back."""
+    rows = rows.select(*keys, "text", F.coalesce("text", F.lit("")).alias("full"))
+    out = decoded(sampled_pieces(rows, [*keys, "full"], "text").drop("pieces"))
+    return out.select(*keys, "sample", "ids", "log_p", "inclusion", (F.col("decoded") == F.col("full")).alias("exact"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of every turn; exact says that decoding gives the turn's text back."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    out = decoded(sampled_pieces(turns.withColumn("full", F.coalesce("text", F.lit(""))), ["conv_id", "turn", "full"], "text"))
-    return out.select("conv_id", "turn", "sample", "ids", "log_p", "inclusion", (F.col("decoded") == F.col("full")).alias("exact"))
+    return _sampled(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op8_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op8_conversations": op8_conversations,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }

@@ -342,6 +342,16 @@ def test_sampled_pieces_decode_to_their_text(spark):
     assert all(0 <= r.inclusion <= 1 for r in a)
 
 
+def test_op8_reads_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op8_sentencepiece"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts) and all(r.exact for r in rows)
+    assert all(sum(q.doc_id == i for q in rows) == pieces.SAMPLES for i in list(texts)[:20] if len(texts[i]) > 20)
+    turns = QUERIES["op8_conversations"](spark, sf)
+    assert turns.select("conv_id", "turn").distinct().count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn").distinct().count()
+
+
 @pytest.mark.parametrize("frequent", [1 << 20, 400, 1])
 def test_pseudo_likelihood(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm_score, "FREQUENT", frequent)  # all words, some or none are looked up in the task
