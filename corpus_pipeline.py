@@ -14,6 +14,10 @@ from tallyweave.llm.packing import pack
 from tallyweave.llm.suffix_dedup import without_repeats
 
 
+#: Hundredths of Jaccard similarity from which documents are near-duplicates.
+NEAR = 85
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is fitted on the labelled ones that are not held out."""
     model = quality.fit(quality.document_statistics(docs), table(spark, sf_dir, "labels"))
@@ -22,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least id. A document without an id stays."""
-    copies = near_documents(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    copies = near_documents(docs, percent=NEAR).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,14 +1,16 @@
 """Near-duplicate documents by a chosen-path join on word shingles.
 
-In each of TREES independent trees, a document follows the path of minwise tokens that a hash function of the node
+In each of several independent trees, a document follows the path of minwise tokens that a hash function of the node
 chooses among its shingles; two documents of similarity s stay together for d steps with probability about s**d. A
 document rests at the first node of its path with at most SMALL documents (or at depth DEPTH), and the documents that
 rest in one node are compared exhaustively by sketches. With ten trees, a pair of similarity 0.85 that parts only at
 depth 1 is missed with probability 0.15**10, one that must go to depth 4 with 0.48**10. Sketches only propose: groups of
-proposed links are then settled on full shingle sets."""
+proposed links are then settled on full shingle sets. For other similarities the number of trees and the bar of the sketches
+follow (``trees_for``, ``proposed_for``), so that recall is the same."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +22,38 @@ from pyspark.sql import functions as F
 from .common import MIX_A, mix, slices, stage, starts_of, utf8, word_hashes
 from .components import connected_components
 
-WORDS, TREES, DEPTH, SMALL = 5, 10, 4, 64
-#: Slots of a sketch (16 bits each), and the share of equal slots from which a pair is proposed: the deviation of that
-#: share at similarity 0.85 is 0.045, so that a true link is 5 deviations above it.
-SLOTS, PROPOSED = 64, 0.62
+WORDS, DEPTH, SMALL = 5, 4, 64
+#: Links have at least so many hundredths of similarity; the chance that a pair at that bar which goes to the last level is
+#: missed by all trees.
+PERCENT, MISSED = 85, 6.3e-4
+#: Slots of a sketch (16 bits each); a pair is proposed from a share of equal slots that lies so many deviations of that share
+#: below the similarity of links.
+SLOTS, DEVIATIONS = 64, 5.15
 #: Bytes of shingle sets in one block of a group; a larger group is settled block against block.
 BLOCK_BYTES = 32 << 20
 _U = np.uint64
-_SEEDS = mix(np.arange(1, SLOTS + TREES + 1, dtype=_U) * _U(0xD1342543DE82EF95))
+
+
+def _seeds(first: int, n: int) -> np.ndarray:
+    return mix(np.arange(first + 1, first + n + 1, dtype=_U) * _U(0xD1342543DE82EF95))
+
+
+_SEEDS = _seeds(0, SLOTS)
 #: Added to a word by its place in the shingle.
 _PLACE = np.arange(1, WORDS + 1, dtype=_U) * MIX_A
 
 
+def trees_for(percent: int) -> int:
+    """10 at similarity 0.85, 14 at 0.8."""
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** DEPTH))) if percent < 100 else 1
+
+
+def proposed_for(percent: int) -> float:
+    """The share of equal slots from which a pair is proposed: 0.62 at similarity 0.85, 0.54 at 0.8."""
+    s = percent / 100
+    return s - DEVIATIONS * math.sqrt(s * (1 - s) / SLOTS)
+
+
 def shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, ascending, end to end, and how many each row has."""
     words, _, per = word_hashes(raw, offs)
@@ -57,15 +79,15 @@ def shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(parts), counts
 
 
-def signatures(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Path keys (rows x TREES*DEPTH, tree by tree) and sketches (rows x SLOTS) of rows that all have shingles."""
+def signatures(s: np.ndarray, counts: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Path keys (rows x trees*DEPTH, tree by tree) and sketches (rows x SLOTS) of rows that all have shingles."""
     at, n = starts_of(counts)[:-1], len(counts)
-    sketch, keys = np.zeros((n, SLOTS), np.uint16), np.zeros((n, TREES * DEPTH), np.int64)
+    sketch, keys = np.zeros((n, SLOTS), np.uint16), np.zeros((n, trees * DEPTH), np.int64)
     for i in range(SLOTS):
         low = np.minimum.reduceat((s ^ _SEEDS[i]) * MIX_A, at)
         sketch[:, i] = (mix(low) & _U(0xFFFF)).astype(np.uint16)
-    for t in range(TREES):
-        node = np.full(n, _SEEDS[SLOTS + t])
+    for t, seed_of_tree in enumerate(_seeds(SLOTS, trees)):
+        node = np.full(n, seed_of_tree)
         for d in range(DEPTH):
             seed = node[0] if d == 0 else np.repeat(node, counts)
             chosen = np.minimum.reduceat((s ^ seed) * MIX_A, at)
@@ -74,7 +96,7 @@ def signatures(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, sketch
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (a 128-bit name of the set), keys, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +111,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     at = starts_of(counts[some])[:-1]
                     names[0, some] = np.add.reduceat(mix(s), at).view(np.int64)
                     names[1, some] = np.add.reduceat(mix(s ^ _SEEDS[0]), at).view(np.int64)
-                    k, z = signatures(s, counts[some])
+                    k, z = signatures(s, counts[some], trees)
                     for row, i in enumerate(some):
                         keys[i], sketch[i] = k[row], z[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +134,7 @@ def _join_labels(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _propose(nodes: DataFrame) -> DataFrame:
+def _propose(nodes: DataFrame, proposed: float) -> DataFrame:
     """Compare the documents of each node by sketches; a spanning forest of the proposed links, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +148,7 @@ def _propose(nodes: DataFrame) -> DataFrame:
             for lo, hi in zip(at, at[1:], strict=False):
                 z = sketch[lo:hi]
                 same = np.stack([(z == row).sum(1) for row in z]) if hi - lo < 512 else np.concatenate([(z[i : i + 64, None] == z[None]).sum(2) for i in range(0, hi - lo, 64)])
-                label = _join_labels(same >= PROPOSED * SLOTS)
+                label = _join_labels(same >= proposed * SLOTS)
                 own = ids[lo:hi]
                 found.update((int(own[r]), int(own[i])) for i, r in enumerate(label) if r != i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -134,14 +156,14 @@ def _propose(nodes: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "a long, b long")
 
 
-def _nodes(reps: DataFrame) -> DataFrame:
+def _nodes(reps: DataFrame, trees: int) -> DataFrame:
     """members: the (rep, sketch) that rest in one node, for all nodes of two or more.
 
     Level by level, a pre-aggregated count tells small nodes from large ones; only documents of large ones go deeper.
     What is still large at the last level is dealt into parts of SMALL, and every two parts meet, so no link is lost and no
     list exceeds two parts. The paths travel without the sketches, which join the few rows that share a node."""
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * DEPTH + 1, DEPTH)))
-    flat = reps.select("rep", trees.alias("path")).select("rep", *(F.col("path")[d].alias(f"k{d}") for d in range(DEPTH)))
+    paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("keys", t * DEPTH + 1, DEPTH)))
+    flat = reps.select("rep", paths.alias("path")).select("rep", *(F.col("path")[d].alias(f"k{d}") for d in range(DEPTH)))
     rest = None
     for d in range(DEPTH):
         deeper = [f"k{x}" for x in range(d + 1, DEPTH)]
@@ -162,8 +184,8 @@ def _nodes(reps: DataFrame) -> DataFrame:
     return lists.where(F.size("members") > 1).select("members")
 
 
-def _group_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Edges that join what links of similarity >= 0.85 join among ``sets``; side: only rows of different sides meet.
+def _group_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that join what links of similarity >= percent / 100 join among ``sets``; side: only rows of different sides meet.
 
     Rows that are already joined are not compared again. A pair is skipped only if its sizes, or its distances to a row
     that both were held against (Jaccard distance is a metric), show that it can't link."""
@@ -179,9 +201,9 @@ def _group_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[
             todo &= side != side[p]
         else:
             todo[:p] = False
-        todo &= (100 * np.minimum(size, size[p]) >= 85 * np.maximum(size, size[p]))
+        todo &= (100 * np.minimum(size, size[p]) >= percent * np.maximum(size, size[p]))
         if lower.shape[1]:
-            todo &= (np.abs(lower - lower[p]).max(1) <= 0.15 + 1e-9)
+            todo &= (np.abs(lower - lower[p]).max(1) <= 1 - percent / 100 + 1e-9)
         if not todo.any():
             continue
         if todo.sum() > n // 4 and lower.shape[1] < 16:  # a pivot: distances of all rows to it
@@ -192,14 +214,14 @@ def _group_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[
         else:
             rows = np.flatnonzero(todo)
             inter = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for q in rows])
-        for q in rows[100 * inter >= 85 * (size[rows] + size[p] - inter)]:
+        for q in rows[100 * inter >= percent * (size[rows] + size[p] - inter)]:
             if root[q] != root[p]:
                 edges.append((p, int(q)))
                 root[root == root[q]] = root[p]
     return edges
 
 
-def _confirm(groups: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Settle each proposed group (rep, group) on full shingle sets; (a, b) edges of the true links' forest."""
     texts = docs.join(groups.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")  # groups grow with the input
 
@@ -221,26 +243,26 @@ def _confirm(groups: DataFrame, docs: DataFrame) -> DataFrame:
     def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rep")
         ids = g.rep.to_numpy()
-        edges = _group_links([np.frombuffer(x, _U) for x in g.shingles], None if key[1] == key[2] else g.part.to_numpy())
+        edges = _group_links([np.frombuffer(x, _U) for x in g.shingles], None if key[1] == key[2] else g.part.to_numpy(), percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]}, dtype="int64")
 
     return dealt.groupBy("grp", "i", "j").applyInPandas(settle, "a long, b long")
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; documents link from a Jaccard similarity of percent / 100.
 
     Null or blank texts have no shingles, link with nothing and are kept. Documents of equal shingle sets are one node
     from the start, so groups of copies cost nothing later. Rows repeated under one id come back each; if their texts
     differ, each is a document of its own. A null id gives a null component and kept false. Other columns are left out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(_sets(rows), "sets")
+    sets = stage(_sets(rows, trees_for(percent)), "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     names = ["n_shingles", "set_a", "set_b"]
     reps = some.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch"))
     reps = stage(reps, "reps")
-    groups = connected_components(_propose(_nodes(reps))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    links = connected_components(_confirm(groups, rows.where("doc_id IS NOT NULL"))).withColumnRenamed("node", "rep")
+    groups = connected_components(_propose(_nodes(reps, trees_for(percent)), proposed_for(percent))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    links = connected_components(_confirm(groups, rows.where("doc_id IS NOT NULL"), percent)).withColumnRenamed("node", "rep")
     known = reps.select(*names, "rep").join(links, "rep", "left").select(*names, F.coalesce("component", "rep").alias("of"))
     out = sets.select("doc_id", *names).join(known, names, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))

@@ -42,7 +42,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_documents(table(spark, sf_dir, "documents"))
+    return near_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,23 @@ def test_minhash_equals_brute_force(spark, monkeypatch, small):
     assert minhash.near_documents(docs.limit(0)).count() == 0
 
 
+def test_near_documents_at_another_similarity(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts, rows = {0: words}, []
+    for i, changed in enumerate((3, 4, 5), 1):  # 196 shingles; each word changed far from the others costs five of them
+        texts[i] = [f"x{i}" if k in [20 + 30 * c for c in range(changed)] else w for k, w in enumerate(words)]
+    sets = {i: shingle_set(" ".join(t)) for i, t in texts.items()}
+    similar = {i: len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in (1, 2, 3)}
+    assert similar[1] > 0.85 and 0.8 < similar[2] < 0.85 and similar[3] < 0.8
+    for group, i in enumerate([1, 2, 3] * 20):
+        rows += [(10 * group + j, " ".join(f"{w}g{group}" for w in texts[j]), "en", "s", 1) for j in (0, i)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {r.doc_id for r in minhash.near_documents(docs, percent=80).where("kept").collect()}
+    assert kept == {i for i, *_ in rows if i % 10 in (0, 3)}
+    assert {r.doc_id for r in minhash.near_documents(docs).where("kept").collect()} == {i for i, *_ in rows if i % 10 in (0, 2, 3)}
+    assert minhash.trees_for(85) == 10 and minhash.trees_for(80) == 14 and 0.61 < minhash.proposed_for(85) < 0.63
+
+
 def test_group_links_lose_nothing():
     rng = random.Random(3)
     pool = list(range(3000))
