@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,17 +60,21 @@ def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> Data
     return hits.join(seeds.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti").select(F.col("to_guid").alias("guid"), F.col("from_guid").alias("parent"), "pos")
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(guid, level): 0 for pieces that depend on nothing, else one more than their deepest dependency; null in or behind a
-    cycle. Pieces are peeled off level by level with joins; ``most`` levels at most."""
+    cycle. Pieces are peeled off level by level with joins until none is ready; more than ``most`` levels are refused."""
     left = nodes.select("guid").distinct()
     open_edges = edges.select("from_guid", "to_guid").distinct().join(left.select(F.col("guid").alias("to_guid")), "to_guid", "left_semi")
     done = None
-    for level in range(most):
+    for level in count():
         ready = stage(left.join(open_edges.select(F.col("from_guid").alias("guid")), "guid", "left_anti").withColumn("level", F.lit(level)), "level")
         if ready.isEmpty():
             break
+        if level == most:
+            raise ReconcileError(f"pieces lie deeper than {most} levels")
         done = ready if done is None else done.unionByName(ready)
+        if level % 50 == 49:
+            done = stage(done, "done")  # plans stay short
         left = stage(left.join(ready, "guid", "left_anti"), "left")
         open_edges = stage(open_edges.join(ready.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti"), "edges")
     rest = left.select("guid", F.lit(None).cast("int").alias("level"))

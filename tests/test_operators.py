@@ -53,6 +53,15 @@ def test_levels_leave_cycles_out(spark):
     assert {r.guid: r.level for r in rows} == {"a": 2, "b": 1, "c": 0, "x": None, "y": None}
 
 
+def test_levels_beyond_a_bound_are_refused_not_called_cycles(spark):
+    nodes, chain = seeds(spark, "a", "b", "c"), edges(spark, ("a", "b"), ("b", "c"))
+    with pytest.raises(ReconcileError):
+        closure.dependency_levels(nodes, chain, most=2).collect()
+    assert {r.guid: r.level for r in closure.dependency_levels(nodes, chain, most=3).collect()} == {"a": 2, "b": 1, "c": 0}
+    looped = edges(spark, ("a", "b"), ("b", "a"))
+    assert {r.guid: r.level for r in closure.dependency_levels(nodes, looped, most=1).collect()} == {"a": None, "b": None, "c": 0}
+
+
 def test_fingerprints_take_null_as_empty_and_slots_as_a_set(spark):
     df = spark.createDataFrame([("o", None, ["b", "a", "a"]), ("o", "", ["a", "b"])], "o string, pos string, slots array<string>")
     fps = [r[0] for r in df.select(values.msa_fingerprint(C("o"), F.lit("X"), C("pos"), C("slots"))).collect()]
