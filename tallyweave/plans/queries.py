@@ -209,6 +209,36 @@ def closure_pulled_in_by(spark, sf):
     return found.groupBy("guid", "parent").agg(F.count("*").alias("times"))
 
 
+def _all_seeds(spark, sf):
+    return pieces(spark, sf, "orders").select("guid", C("o_orderkey").alias("ord"))
+
+
+_ALL_GRAPH_SQL = _GRAPH_SQL.replace(" WHERE o_orderkey % 97 = 0", "")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders),
+    p0 AS (SELECT l_partkey AS k, min((r, l_linenumber)) AS m FROM lineitem JOIN o ON o.k = l_orderkey GROUP BY ALL),
+    p AS (SELECT k, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY m, 'part-' || k) - 1 AS r FROM p0),
+    s0 AS (SELECT l_suppkey AS k, min((r, l_suppkey)) AS m FROM lineitem JOIN p ON p.k = l_partkey GROUP BY ALL),
+    s AS (SELECT k, (SELECT count(*) FROM o) + (SELECT count(*) FROM p) + row_number() OVER (ORDER BY m, 'supplier-' || k) - 1 AS r FROM s0),
+    n0 AS (SELECT s_nationkey AS k, min(r) AS m FROM supplier JOIN s ON s.k = s_suppkey GROUP BY ALL),
+    n1 AS (SELECT n_nationkey AS k, min(((n_nationkey - n0.k + 25) % 25, n0.m)) AS a FROM nation, n0 GROUP BY ALL),
+    n AS (SELECT k, 3 + a[1] AS level, (SELECT count(*) FROM o) + (SELECT count(*) FROM p) + (SELECT count(*) FROM s) + row_number() OVER (ORDER BY a) - 1 AS r FROM n1)
+    SELECT 'orders-' || k AS guid, 0::INT AS level, r::BIGINT AS rank FROM o UNION ALL SELECT 'part-' || k, 1, r FROM p
+    UNION ALL SELECT 'supplier-' || k, 2, r FROM s UNION ALL SELECT 'nation-' || k, level::INT, r FROM n""")
+def closure_all_orders_ranks(spark, sf):
+    """All orders as seeds, with the visit order. Nations follow one another, so each inherits its first ancestor's place."""
+    return closure.walk(_all_seeds(spark, sf), _graph(spark, sf)).select("guid", C("level").cast("int").alias("level"), long("rank"))
+
+
+@query(f"""WITH RECURSIVE {_ALL_GRAPH_SQL}, d AS (SELECT DISTINCT f, t FROM e), w(g) AS (SELECT g FROM s UNION SELECT d.t FROM w JOIN d ON d.f = w.g)
+    SELECT e.t AS guid, e.f AS parent, count(*) AS times FROM e WHERE e.f IN (SELECT g FROM w) AND e.t NOT IN (SELECT g FROM s) GROUP BY ALL""")
+def closure_all_pulled_in_by(spark, sf):
+    seeds, edges = _all_seeds(spark, sf), _graph(spark, sf)
+    found = closure.pulled_in_by(closure.walk(seeds, edges).select("guid"), seeds.select("guid"), edges)
+    return found.groupBy("guid", "parent").agg(F.count("*").alias("times"))
+
+
 @query("""SELECT 'orders-' || o_orderkey AS guid, CASE WHEN n IS NULL THEN 0 ELSE 2 END AS level FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey
     UNION ALL SELECT 'part-' || p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 1 ELSE 0 END FROM part
     UNION ALL SELECT 'supplier-' || s_suppkey, 0 FROM supplier
@@ -223,14 +253,15 @@ def dependency_levels(spark, sf):
     return closure.dependency_levels(nodes, edges).select("guid", C("level").cast("int").alias("level"))
 
 
-def _vertical(spark, sf, chosen, closed):
+def _vertical(spark, sf, chosen, closed, every=20):
+    """Parts as slots: those whose key is divisible by ``every``."""
     n, s = pieces(spark, sf, "nation"), pieces(spark, sf, "supplier")
     owners = matching.presence(n, n.where("n_nationkey % 4 <> 0"), ["guid"]).select("guid", "present")
     templates = matching.presence(s, target_of(s, "supplier"), ["guid"]).select("guid", F.concat(F.lit("nation-"), C("s_nationkey").cast("string")).alias("owner_guid"), "present")
-    p = pieces(spark, sf, "part").where("p_partkey % 20 = 0")
+    p = pieces(spark, sf, "part").where(C("p_partkey") % every == 0)
     slots = matching.presence(p, target_of(p, "part"), ["guid"])
     suppliers = read(spark, sf, "supplier").count()
-    slots = slots.select("guid", F.concat(F.lit("supplier-"), (C("p_partkey") / 20 % suppliers).cast("long").cast("string")).alias("template"), C("p_partkey").cast("int").alias("ord"), "present")
+    slots = slots.select("guid", F.concat(F.lit("supplier-"), (F.floor(C("p_partkey") / every) % suppliers).cast("long").cast("string")).alias("template"), C("p_partkey").cast("int").alias("ord"), "present")
     plan = planning.plan_vertical(owners, templates, slots, Selection(frozenset(chosen), closure=closed))
     return plan.select(F.lit(f"{'+'.join(sorted(chosen))}{'*' if closed else ''}").alias("run"), "verb", "category", "source_guid", "reason", "detail", F.array_join("pulled_in_by", ",").alias("pulled_in_by"))
 
@@ -248,13 +279,23 @@ def _vertical(spark, sf, chosen, closed):
     UNION ALL SELECT run, CASE WHEN p THEN 'SKIP' ELSE 'ADD' END, 'slots', g, CASE WHEN p THEN 'already_present_by_guid' END, CASE WHEN p THEN g || ' is in the target' END, '' FROM runs, s WHERE c = 1 AND (m = 1 OR a + b = 2)""")
 def closure_off_bare_bones(spark, sf):
     """Closure off over the combinations of levels, and closure on with slots alone (marked *)."""
+    return _bare_bones(spark, sf, 20)
+
+
+def _bare_bones(spark, sf, every):
     runs = [("pos",), ("templates",), ("slots",), ("pos", "templates"), ("templates", "slots"), ("pos", "templates", "slots")]
-    out = _vertical(spark, sf, ("slots",), True)
+    out = _vertical(spark, sf, ("slots",), True, every)
     for r in runs:
-        out = out.unionByName(_vertical(spark, sf, r, False))
+        out = out.unionByName(_vertical(spark, sf, r, False, every))
     return out
 
 
+@query(ORACLES["closure_off_bare_bones"].replace("p_partkey // 20 % ", "p_partkey % ").replace(" WHERE p_partkey % 20 = 0", ""))
+def closure_off_all_slots(spark, sf):
+    """The same with every part as a slot."""
+    return _bare_bones(spark, sf, 1)
+
+
 @query("""SELECT 'orders-' || l_orderkey AS source_guid, 'SKIP' AS verb, 'dependency_unresolved' AS reason, string_agg(DISTINCT 'part-' || l_partkey, ', ' ORDER BY 'part-' || l_partkey) AS detail
     FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey % 2 <> 0 GROUP BY ALL""")
 def unresolved_dependency(spark, sf):
