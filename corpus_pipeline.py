@@ -25,9 +25,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id. A document without an id stays."""
-    copies = near_documents(docs, percent=NEAR).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicate rows one: that of least id, null ids last, whatever other rows of its id hold."""
+    rows = stage(docs.withColumn("near_dedup_row", F.monotonically_increasing_id()), "rows")
+    groups = near_documents(rows, id_col="near_dedup_row", percent=NEAR).select(F.col("doc_id").alias("near_dedup_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "near_dedup_row")
+    first = rows.select("near_dedup_row", order.alias("order")).join(groups.hint("merge"), "near_dedup_row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select("order.near_dedup_row").hint("merge"), "near_dedup_row", "left_semi").select(docs.columns)
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -437,6 +437,17 @@ def test_isotonic():
     assert quality.isotonic(np.array([1.0, 3, 2, 2, 5]), np.ones(5)).round(6).tolist() == [1.0, 2.333333, 2.333333, 2.333333, 5.0]
 
 
+def test_near_dedup_decides_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 300) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (3, c), (None, d), (None, d), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (4, None), (4, None)], key=str)
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
 
