@@ -129,6 +129,19 @@ ORACLES: dict[str, str] = {
         n AS (SELECT u, count(*) AS k FROM links GROUP BY ALL)
         SELECT c.vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN n ON c.vec_id = n.u""",
+    # md5 of a window stands for its 200 bytes
+    "op4_suffix_dedup": """
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT r, i, md5_number(hex(array_slice(b, i + 1, i + 200))) AS m FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)),
+        t AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+        f AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200 AS first FROM t),
+        g AS (SELECT r, i, sum(first::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM f),
+        s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, k),
+        x AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed FROM s GROUP BY r),
+        c AS (SELECT r, a AS z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a FROM s UNION ALL SELECT r, octet_length(b), coalesce((SELECT max(z) FROM s WHERE s.r = d.r), 0) FROM d),
+        k AS (SELECT r, string_agg(hex(array_slice(b, a + 1, c.z)), '' ORDER BY a) AS h FROM c JOIN d USING (r) WHERE a < z GROUP BY r)
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+        FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)""",
     "op9_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings

@@ -1,10 +1,15 @@
 """Removal of byte strings that occur more than once, by suffix arrays.
 
 A string of LENGTH bytes is a window. Windows are dealt out by content: the leftmost least k-gram of a window (by hash) is
-its anchor, so equal windows have equal anchors. Consecutive windows of one anchor form a unit, some 270 bytes. Anchors
-that occur once in all documents can't hold a repeated window and go no further; equal units are counted, not copied. The
-units of each remaining anchor with different contents are laid end to end, a suffix array is built over them in two stages,
-and windows whose suffixes have a common prefix of LENGTH bytes with a neighbour are repeated."""
+its anchor, so equal windows have equal anchors at equal places. Consecutive windows of one anchor form a unit, some 270
+bytes. Anchors that occur once in all documents can't hold a repeated window and go no further. Equal units are counted, not
+copied; the windows of a unit that occurs twice are all repeated. The different units of each remaining anchor are laid end
+to end, a suffix array is built over them in two stages, and windows whose suffixes have a common prefix of LENGTH bytes
+with a neighbour are repeated.
+
+An anchor of more units than one array takes is dealt again, by more content: its windows are halved by the place of the
+anchor, and those of a half are dealt by all bytes that they share. Units become equal or part company, so after a few
+halvings, eight at the utmost, every group fits an array or is one unit."""
 
 from __future__ import annotations
 
@@ -13,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_WORD, concat_ranges, mix, powers, slices, stage, starts_of, utf8
 
 LENGTH, GRAM = 200, 64
-#: Bytes handled at once in a pass over texts; bytes of a suffix array; units of one anchor in one suffix array.
+#: Bytes handled at once in a pass over texts; bytes from which a suffix array takes no further group; units of one group in
+#: one suffix array.
 CHUNK, BLOCK, PART = 2 << 20, 1 << 20, 2048
 _U = np.uint64
 #: Low bits that hold a position while least k-grams are searched.
@@ -117,9 +124,9 @@ def common_prefixes(text: bytes, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, left)
 
 
-def repeated(data: list[bytes], windows: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each unit, which of its windows occur twice or more, a unit counting ``weight`` times; also the class number
-    of every window and where each unit's windows begin among them."""
+def repeated(data: list[bytes], windows: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the units occur twice or more, a unit counting ``weight`` times; and where each unit's windows begin
+    among them."""
     text = b"".join(data)
     begin = starts_of(np.array([len(x) for x in data]))
     at = starts_of(windows)
@@ -131,18 +138,119 @@ def repeated(data: list[bytes], windows: np.ndarray, weight: np.ndarray) -> tupl
     classes = np.empty(at[-1], np.int64)
     classes[place[order]] = kind
     total = np.bincount(classes, np.repeat(weight, windows)) if at[-1] else np.zeros(0)
-    hit = total[classes] >= 2
-    return [hit[a:b] for a, b in zip(at, at[1:], strict=False)], classes, at
+    return total[classes] >= 2, at
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2: a name for the row by id and text. Rows that share it have the same text, and so the same answer."""
+    """_suffix_k1, _suffix_k2: a name for the row by id and text (without an id by two hashes of the text). Rows that share it
+    have the same text, and so the same answer."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_k1", F.coalesce(F.col(id_col).cast("long"), F.lit(-1))).withColumn("_k2", F.xxhash64(text)).withColumn("_text", text)
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_k1, _k2, hits): for each row that has any, its units' first windows and marks of the repeated ones."""
+    k1 = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(1), text))
+    return docs.withColumn("_suffix_k1", k1).withColumn("_suffix_k2", F.xxhash64(text)).withColumn("_suffix_text", text)
+
+
+#: A unit on its way to a suffix array: its group, the places of the anchor that the group's windows have (least and greatest),
+#: bytes before the anchor, windows, copies, where it stands (row and first window; s is -1 once its windows are known to be
+#: repeated), and its bytes.
+PIECE = "g long, lo int, hi int, lead int, n int, weight long, k1 long, k2 long, s long, data binary"
+SPAN = "k1 long, k2 long, start long, stop long"
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units cut in two by the place of the anchor, their group named by the bytes that all windows of the half share."""
+    for b in batches:
+        rows = {name: [] for name in (*b.schema.names, "h1", "h2")}
+        for r in b.to_pylist():
+            mid, lead, n = (r["lo"] + r["hi"]) // 2, r["lead"], r["n"]
+            for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
+                least, most = max(lo, lead - n + 1), min(hi, lead)
+                if least > most:
+                    continue
+                first = lead - most
+                data = r["data"][first : first + most - least + LENGTH]
+                shared = hashlib.blake2b(r["data"][lead - lo : lead + LENGTH - hi], digest_size=8, salt=bytes((lo, hi))).digest()
+                whole = hashlib.blake2b(data, digest_size=16).digest()
+                new = {"g": int.from_bytes(shared, "little", signed=True), "lo": lo, "hi": hi, "lead": most, "n": most - least + 1, "s": r["s"] + first if r["s"] >= 0 else -1, "data": data}
+                new |= {"h1": int.from_bytes(whole[:8], "little", signed=True), "h2": int.from_bytes(whole[8:], "little", signed=True)}
+                for name, values in rows.items():
+                    values.append(new.get(name, r.get(name)))
+        yield pa.RecordBatch.from_arrays([pa.array(v, b.schema.field(k).type if k in b.schema.names else pa.int64()) for k, v in rows.items()], list(rows))
+
+
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix arrays over groups that lie together; the bytes that repeated windows cover, for units that have a place."""
+    held: list[pa.RecordBatch] = []
+
+    def emptied() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        n, s = t["n"].to_numpy().astype(np.int64), t["s"].to_numpy()
+        hit, at = repeated(t["data"].to_pylist(), n, t["weight"].to_numpy())
+        unit = np.repeat(np.arange(len(n)), n)
+        hit &= s[unit] >= 0
+        edge = np.ones(len(hit) + 1, bool)
+        edge[1:-1] = (hit[1:] != hit[:-1]) | (unit[1:] != unit[:-1])
+        cuts = np.flatnonzero(edge)
+        runs = np.flatnonzero(hit[cuts[:-1]])
+        first, last = cuts[runs], cuts[runs + 1] - 1
+        of = unit[first]
+        start, stop = (s[of] + x - at[of] for x in (first, last))
+        return pa.RecordBatch.from_arrays([t["k1"].combine_chunks().take(pa.array(of)), t["k2"].combine_chunks().take(pa.array(of)), pa.array(start), pa.array(stop + LENGTH)], ["k1", "k2", "start", "stop"])
+
+    size, last = 0, None
+    for b in batches:
+        keys = b.column(0).to_pylist()
+        length = np.diff(utf8(b.column(9))[1])
+        lo = 0
+        for i, key in enumerate(keys):
+            if key != last and size >= BLOCK:
+                held.append(b.slice(lo, i - lo))
+                yield emptied()
+                lo, size = i, 0
+            last, size = key, size + int(length[i])
+        held.append(b.slice(lo))
+    if sum(map(len, held)):
+        yield emptied()
+
+
+def _unsettled(kinds: DataFrame) -> DataFrame:
+    """Units of groups that hold several, one of them without a copy: kinds with the number of units of its group."""
+    groups = stage(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("weight").alias("rarest")).where("kinds > 1 AND rarest = 1").select("g", "kinds"), "groups")
+    return kinds.join(groups.hint("merge"), "g")
+
+
+def _dealt_again(wide: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(pieces that fit suffix arrays, spans already known) of groups that are too large, halved until none is."""
+    fit, spans, names = [], [], [x.split()[0] for x in PIECE.split(", ")]
+    while not wide.isEmpty():
+        halves = stage(wide.mapInArrow(_halves, PIECE + ", h1 long, h2 long"), "halves")
+        same = ["g", "h1", "h2", "lead", "n"]
+        one = ("lo", "hi", "k1", "k2", "s", "data")
+        kinds = halves.groupBy(*same).agg(F.sum("weight").alias("weight"), F.count("*").alias("met"), *(F.any_value(c).alias(c) for c in one))
+        kinds = stage(kinds.withColumn("s", F.when(F.col("weight") == 1, F.col("s")).otherwise(-1)), "half-kinds")
+        copies = halves.where("s >= 0").join(kinds.where("met > 1").select(*same).hint("merge"), same)
+        spans.append(_covering(copies))
+        left = stage(_unsettled(kinds).select(*names, "kinds"), "left")
+        large = (F.col("kinds") > PART) & (F.col("lo") < F.col("hi"))
+        fit.append(left.where(~large).select(*names))
+        wide = left.where(large).select(*names)
+    return fit, spans
+
+
+def _covering(whole: DataFrame) -> DataFrame:
+    """Spans of units all of whose windows are repeated."""
+    return whole.select("k1", "k2", F.col("s").alias("start"), (F.col("s") + F.col("n") - 1 + LENGTH).alias("stop"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_suffix_k1, _suffix_k2, _suffix_spans): for each text that has any, the byte ranges that repeated windows cover."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +268,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns)], ["k1", "k2", "a", "c", "lead", "n", "s"])
 
     rows = _keyed(docs, id_col, text_col)
-    text = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_text").alias("text"))
+    text = rows.select(F.col("_suffix_k1").alias("k1"), F.col("_suffix_k2").alias("k2"), F.col("_suffix_text").alias("text"))
     all_units = stage(text.mapInArrow(cut, UNIT), "units")
     # counts are written first, so that their join is one that Spark can split where an anchor is very common
     often = stage(all_units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
@@ -168,105 +276,70 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = ["a", "c", "lead", "n"]
     kinds = found.groupBy(*same).agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "s")).alias("at"))
     kinds = stage(kinds.select(*same, "weight", "at.*"), "unit-kinds")
-    variety = stage(kinds.groupBy("a").agg(F.count("*").alias("kinds")), "variety")
-    kinds = kinds.join(variety.hint("merge"), "a")
-    alone = kinds.where("kinds = 1").select(*same, F.lit(None).cast("binary").alias("mask"))  # copies of one unit: all repeated
+    spans = [_covering(found.join(kinds.where("weight > 1").select(*same).hint("merge"), same))]
 
-    parts = F.ceil(F.col("kinds") / PART).cast("long")
-    part = F.when(parts > 1, F.pmod(F.xxhash64("c"), parts)).otherwise(-1).alias("part")
-    several = kinds.where("kinds > 1").select(*same, "weight", "k1", "k2", "s", part)
-    wanted = several.groupBy("k1", "k2").agg(F.collect_list(F.struct(*same, "weight", "s", "part")).alias("units"))
-    texts = text.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "units")
+    wanted = _unsettled(kinds.withColumnRenamed("a", "g"))
+    place = F.when(F.col("weight") == 1, F.col("s")).otherwise(-1)
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "lead", "n", "weight", "s", place.alias("place"), "kinds")).alias("units"))
+    texts = text.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "units")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            raw, offs = utf8(b.column(0))
-            lists = b.column(1)
-            flat, each = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            col = {f: flat.field(f) for f in (*same, "weight", "s", "part")}
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            b = b.filter(pa.array([k != p for k, p in zip(keys, [last, *keys], strict=False)], pa.bool_()))  # of equal rows one is enough
+            last = keys[-1] if keys else last
+            raw, offs = utf8(b.column(2))
+            lists = b.column(3)
+            flat, each = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            col = {f: flat.field(f) for f in ("g", "lead", "n", "weight", "s", "place", "kinds")}
             at = np.repeat(offs[:-1], each) + col["s"].to_numpy()
             end = at + col["n"].to_numpy() - 1 + LENGTH
             data = pa.array([raw[x:y].tobytes() for x, y in zip(at, end, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(col[f] for f in same), col["weight"], col["part"], data], [*same, "weight", "part", "data"])
-
-    fetched = texts.mapInArrow(fetch, "a long, c long, lead int, n int, weight long, part long, data binary").dropDuplicates([*same])
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def emptied() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            data, n = t["data"].to_pylist(), t["n"].to_numpy().astype(np.int64)
-            hits, _, _ = repeated(data, n, t["weight"].to_numpy())
-            part, lead = t["part"].to_pylist(), t["lead"].to_pylist()
-            digests = [None if p < 0 else b"".join(hashlib.blake2b(d[i : i + LENGTH], digest_size=16).digest() for i in range(k)) for p, d, k in zip(part, data, n, strict=True)]
-            masks = [h.astype(np.uint8).tobytes() for h in hits]
-            some = pa.array([bool(h.any()) for h in hits])
-            columns = [t["a"], t["c"], pa.array(lead, pa.int32()), t["n"], pa.array(masks, pa.binary()), t["part"], pa.array(digests, pa.binary()), some]
-            held.clear()
-            return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns], [*same, "mask", "part", "digests", "some"])
-
-        size, last = 0, None
-        for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True))
-            length = np.diff(utf8(b.column(6))[1])
-            lo = 0
-            for i, key in enumerate(keys):
-                if key != last and size >= BLOCK:
-                    held.append(b.slice(lo, i - lo))
-                    yield emptied()
-                    lo, size = i, 0
-                last, size = key, size + int(length[i])
-            held.append(b.slice(lo))
-        if held:
-            yield emptied()
-
-    dealt = fetched.repartition("a", "part").sortWithinPartitions("a", "part")
-    sorted_units = stage(dealt.mapInArrow(sort, "a long, c long, lead int, n int, mask binary, part long, digests binary, some boolean"), "sorted")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests = b.column(6).to_pylist()
-            n = b.column(3).to_numpy().astype(np.int64)
-            row = pa.array(np.repeat(np.arange(len(n)), n))
-            each = [d[16 * i : 16 * i + 16] for d in digests for i in range(len(d) // 16)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in (0, 1, 2, 3, 5)), pa.array(concat_ranges(np.zeros(len(n), np.int64), n).astype(np.int32)), pa.array(each, pa.binary())], [*same, "part", "i", "digest"])
-
-    # anchors of more units than one array takes: windows that lie in two parts, by digests, one for each part and class
-    wide = sorted_units.where("part >= 0").mapInArrow(spread, "a long, c long, lead int, n int, part long, i int, digest binary")
-    across = wide.groupBy("digest").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("digest")
-    more = wide.join(across.hint("merge"), "digest").groupBy(*same).agg(F.collect_set("i").alias("also"))
-    alone = alone.withColumn("some", F.lit(True)).withColumn("also", F.lit(None).cast("array<int>"))
-    masks = alone.unionByName(sorted_units.select(*same, "mask", "some").join(more, same, "left"))
-    hits = found.join(masks.hint("merge"), same).where("mask IS NULL OR also IS NOT NULL OR some")
-    return hits.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list(F.struct("s", "n", "mask", "also")).alias("_hits"))
-
-
-def _covered(size: int, hits: list[dict] | None) -> np.ndarray:
-    """Which bytes lie in a repeated window."""
-    edge = np.zeros(size + 1, np.int64)
-    for h in hits or ():
-        on = np.arange(h["n"]) if h["mask"] is None else np.flatnonzero(np.frombuffer(h["mask"], np.uint8))
-        on = np.concatenate((on, np.array(h["also"] or [], np.int64))).astype(np.int64) + h["s"]
-        edge[np.unique(on)] |= 1
-    starts = np.flatnonzero(edge[:size])
-    mark = np.zeros(size + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + LENGTH, size), -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
-def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """``gone`` without the characters that it covers in part."""
-    lead = np.flatnonzero((raw & 0xC0) != 0x80)
-    size = np.diff(np.append(lead, len(raw)))
-    all_gone = np.add.reduceat(gone.astype(np.int64), lead) == size if len(lead) else np.zeros(0, bool)
-    return np.repeat(all_gone, size)
+            row = pa.array(np.repeat(np.arange(len(each)), each))
+            lo, hi = (pa.array(np.full(len(at), x, np.int32)) for x in (0, LENGTH - GRAM))
+            yield pa.RecordBatch.from_arrays([col["g"], lo, hi, col["lead"], col["n"], col["weight"], b.column(0).take(row), b.column(1).take(row), col["place"], data, col["kinds"]], [*(x.split()[0] for x in PIECE.split(", ")), "kinds"])
+
+    fetched = stage(texts.mapInArrow(fetch, PIECE + ", kinds long"), "fetched")
+    fit, known = _dealt_again(fetched.where(F.col("kinds") > PART).drop("kinds"))
+    fit = _union([fetched.where(F.col("kinds") <= PART).drop("kinds"), *fit])
+    spans += [*known, fit.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted, SPAN)]
+    listed = F.collect_set(F.struct("start", "stop")).alias("_suffix_spans")
+    return _union(spans).groupBy(F.col("k1").alias("_suffix_k1"), F.col("k2").alias("_suffix_k2")).agg(listed)
+
+
+def _runs(offs: np.ndarray, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the maximal runs that the rows' spans cover, as places in the rows laid end to end."""
+    each = np.where(spans.is_valid().to_numpy(zero_copy_only=False), np.diff(spans.offsets.to_numpy()), 0)
+    row = np.repeat(np.arange(len(each)), each)
+    flat = spans.flatten()
+    apart = offs[:-1][row] + row  # a place between every two rows keeps their runs apart
+    start, stop = (apart + flat.field(x).to_numpy() for x in ("start", "stop"))
+    by = np.argsort(start, kind="stable")
+    row, start, stop = row[by], start[by], np.maximum.accumulate(stop[by])
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(start)), bool), start[1:] > stop[:-1])))
+    last = np.append(first[1:], len(start)) - 1 if len(first) else first
+    row = row[first]
+    return row, start[first] - row, stop[last] - row
+
+
+def _cut(raw: np.ndarray, lo: int, hi: int, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """raw[lo:hi] without the runs."""
+    return [raw[x:y] for x, y in zip([lo, *stop], [*start, hi], strict=True)]
+
+
+def _inward(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs without the UTF-8 characters that they cover in part."""
+    follows = np.append((raw & 0xC0) == 0x80, False)
+    for _ in range(3):
+        start = start + follows[start]
+        stop = stop - follows[stop]
+    return start, np.maximum(start, stop)
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col)
-    return keyed.join(repeated_windows(docs, id_col, text_col).hint("merge"), ["_k1", "_k2"], "left")
+    return keyed.join(repeated_spans(docs, id_col, text_col).hint("merge"), ["_suffix_k1", "_suffix_k2"], "left")
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,16 +351,19 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = utf8(b.column(1))
-            out = []
-            for i, hits in enumerate(b.column(2).to_pylist()):
-                own = raw[offs[i] : offs[i + 1]]
-                gone = _covered(len(own), hits)
-                spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
-                out.append((len(own), int(gone.sum()), spans, hashlib.sha256(own[~gone].tobytes()).hexdigest()))
-            columns = [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            row, start, stop = _runs(offs, b.column(2))
+            n = len(offs) - 1
+            removed, spans = np.bincount(row, stop - start, n).astype(np.int64), np.bincount(row, minlength=n)
+            cuts, digests = np.searchsorted(row, np.arange(n + 1)), []
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                h = hashlib.sha256()
+                for part in _cut(raw, offs[i], offs[i + 1], start[x:y], stop[x:y]):
+                    h.update(part)
+                digests.append(h.hexdigest())
+            columns = [pa.array(np.diff(offs)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _joined(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_text").alias("text"), "_hits")
+    rows = _joined(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_suffix_text").alias("text"), "_suffix_spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -300,13 +376,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offs = utf8(b.column(at))
-            texts = []
-            for i, (valid, hits) in enumerate(zip(b.column(at).is_valid().to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
-                own = raw[offs[i] : offs[i + 1]]
-                gone = whole_characters(own, _covered(len(own), hits)) if hits else np.zeros(len(own), bool)
-                texts.append(own[~gone].tobytes().decode() if valid else None)
+            row, start, stop = _runs(offs, b.column(len(names)))
+            start, stop = _inward(raw, start, stop)
+            n = len(offs) - 1
+            kept = starts_of(np.diff(offs) - np.bincount(row, stop - start, n).astype(np.int64))
+            left = np.concatenate([np.zeros(0, np.uint8), *_cut(raw, 0, len(raw), start, stop)])
+            text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(kept), pa.py_buffer(left))
             columns = [b.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, b.column(at).type)
+            columns[at] = pc.if_else(b.column(at).is_valid(), text, pa.scalar(None, pa.large_string())).cast(b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _joined(docs, id_col, text_col).select(*names, "_hits").mapInArrow(run, docs.schema)
+    return _joined(docs, id_col, text_col).select(*names, "_suffix_spans").mapInArrow(run, docs.schema)

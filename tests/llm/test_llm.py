@@ -228,6 +228,33 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch, part):
     assert suffix_dedup.removal_digests(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [2048, 4])
+def test_repeats_among_edges_copies_and_null_ids(spark, monkeypatch, part):
+    monkeypatch.setattr(suffix_dedup, "PART", part)  # 4: the anchors of the shared passage are dealt again to the last halving
+    rng = random.Random(9)
+    shared = prose(rng, 150)
+    rows = [(i, prose(rng, rng.randint(0, 60)) + rng.choice(["", ".", " a", "\n"]) + shared + rng.choice(["", ".", "é", "ab"]) + prose(rng, rng.randint(0, 60))) for i in range(60)]
+    rows += [(i, "".join(rng.choices("ab", k=3)) + shared[:230]) for i in range(60, 90)]
+    rows += [(7000, prose(rng, 200))] * 1000 + [(None, prose(rng, 100))] * 50 + [(None, prose(rng, 100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("x").alias(c) for c in ("k1", "_k2", "g", "s", "_hits", "start")))
+    n = suffix_dedup.LENGTH
+    data = [t.encode() for _, t in rows]
+    seen = collections.Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
+
+    def cut(d):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - n + 1):
+            if seen[d[i : i + n]] > 1:
+                gone[i : i + n] = True
+        return len(d), int(gone.sum()), int((gone & ~np.concatenate(([False], gone[:-1]))).sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest()
+
+    answers = {d: cut(d) for d in set(data)}
+    want = collections.Counter((i, *answers[d]) for (i, _), d in zip(rows, data, strict=True))
+    assert collections.Counter(map(tuple, suffix_dedup.removal_digests(docs).collect())) == want
+    kept = suffix_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns and kept.where("k1 = 'x' AND _hits = 'x'").count() == len(rows)
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
