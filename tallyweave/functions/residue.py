@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the tag's format.
@@ -71,6 +71,8 @@ def carry(existing: Column, class_name: Column, tag: Column) -> Column:
 
 
 def latest(residue: DataFrame) -> DataFrame:
-    """The last text of each guid; carrier A goes before B."""
-    best = Window.partitionBy("guid").orderBy("carrier", F.desc("seq"), F.desc("text"))
-    return residue.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    """The last text of each guid (columns guid, carrier, seq, text); carrier A goes before B. Pre-aggregated, no sort of a
+    group."""
+    first = residue.groupBy("guid", "carrier").agg(F.max(F.struct("seq", "text")).alias("last"))
+    best = first.groupBy("guid").agg(F.min_by("last", "carrier").alias("last"))
+    return best.select("guid", "last.text")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 #: Categories in order of declaration, which is the order of reports.
 CATEGORIES = ("writing_systems_check", "gram_categories", "inflection_features", "custom_fields", "inflection_classes", "stem_names", "exception_features", "variant_types", "complex_form_types", "adhoc_rules", "compound_rules", "affixes", "slots", "templates", "pos", "entry", "sense", "msa", "allomorph", "ph_environment", "phonological_features", "phonemes", "natural_classes", "phonological_rules", "strata", "semantic_domains")
 #: Categories that can be chosen but have no planner: asking for them is an error.
@@ -68,3 +70,20 @@ class Selection:
 
     def on(self, category: str) -> bool:
         return category in self.categories
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One side of a run: objects, refs and props in the columns of OBJECTS, REFS and PROPS, and custom fields (owner_class,
+    name)."""
+
+    objects: DataFrame
+    refs: DataFrame
+    props: DataFrame
+    custom_fields: DataFrame
+
+    def of(self, *categories: str) -> DataFrame:
+        return self.objects.where(self.objects.category.isin(*categories))
+
+    def links(self, *fields: str) -> DataFrame:
+        return self.refs.where(self.refs.field.isin(*fields))

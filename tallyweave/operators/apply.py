@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import residue
-from tallyweave.model import ReconcileError
+from tallyweave.model import ReconcileError, RunContext, Snapshot
+from tallyweave.operators import conflicts
 from tallyweave.operators.closure import dangling
+from tallyweave.operators.matching import new_guid
+from tallyweave.operators.planning import union
+from tallyweave.sources.scratch import stage
+
+#: Categories whose pieces get a new id; those that are no objects; the reference fields of templates.
+RENAMED, NO_OBJECTS = ("msa", "allomorph"), ("custom_fields", "exception_features")
+SLOT_FIELDS = ("PrefixSlotsRS", "SuffixSlotsRS", "ProcliticSlotsRS", "EncliticSlotsRS")
+#: What a reference that leads nowhere means for its piece, by field; others are warnings.
+SEVERITY = {"SegmentsRC": "fatal", "StratumRA": "ignored", "SlotsRC": "dropped"}
 
 
 def applied(source: DataFrame, target: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,6 +42,124 @@ def tagged(touched: DataFrame, run_id: str, source: str, timestamp: str) -> Data
     return touched.withColumn("text", residue.carry(F.col("existing"), F.col("class_name"), tag))
 
 
+@dataclass(frozen=True)
+class Applied:
+    """A target after a run: its tables, the tags of touched pieces (guid, text), old and new ids (source_guid, target_guid),
+    and notes (source_guid, field, to_guid, severity) on what could not be created or linked."""
+
+    objects: DataFrame
+    refs: DataFrame
+    props: DataFrame
+    residue: DataFrame
+    remap: DataFrame
+    notes: DataFrame
+
+
+def plan_remap(plan: DataFrame, run_id: str) -> DataFrame:
+    """(source_guid, target_guid) of pieces that don't keep their id: those created anew, and those matched by likeness."""
+    fresh = plan.where((F.col("verb") == "ADD") & F.col("category").isin(*RENAMED)).select("source_guid", new_guid(run_id, "source_guid").alias("target_guid"))
+    return fresh.unionByName(plan.where("verb = 'OVERWRITE' AND target_guid <> source_guid").select("source_guid", "target_guid"))
+
+
+def unmatched(refs: DataFrame, there: DataFrame) -> DataFrame:
+    """Notes on refs whose end isn't ``there`` (guid)."""
+    lost = refs.join(there.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti")
+    level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in SEVERITY.items() for x in p)), F.col("field")), F.lit("warning"))
+    return lost.select(F.col("from_guid").alias("source_guid"), "field", "to_guid", level.alias("severity"))
+
+
+def created(plan: DataFrame, source: Snapshot, target: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """(objects, notes): pieces that the plan adds and that can be created, under their source ids.
+
+    Values come with their feature. Phonemes go to the target's first phoneme set, without one they aren't created. A
+    natural class needs all its phonemes, and every owned piece its owner; what fails takes along what it owns."""
+    adds = plan.where((F.col("verb") == "ADD") & ~F.col("category").isin(*NO_OBJECTS)).select(F.col("source_guid").alias("guid"))
+    own = source.objects.join(adds, "guid", "left_semi")
+    features = own.where("category = 'inflection_features'").select(F.col("guid").alias("owner_guid"))
+    values = source.of("inflection_features").join(features, "owner_guid", "left_semi").select(own.columns)
+    rows = own.unionByName(values).dropDuplicates(["guid"]).join(target.objects.select("guid"), "guid", "left_anti")
+    home = target.objects.where("class_name = 'PhPhonemeSet'").agg(F.min_by("guid", F.struct("ord", "guid")).alias("g")).first().g
+    rows = rows.withColumn("owner_guid", F.when(F.col("category") == "phonemes", F.coalesce(F.lit(home), F.lit("no phoneme set"))).otherwise(F.col("owner_guid")))
+    rows, notes = stage(rows.select(own.columns), "created"), []
+    while True:
+        there = target.objects.select("guid").unionByName(rows.select("guid"))
+        orphans = dangling(rows, there).select(F.col("guid").alias("source_guid"), F.lit("owner").alias("field"), F.col("owner_guid").alias("to_guid"), F.lit("fatal").alias("severity"))
+        links = source.refs.join(rows.select(F.col("guid").alias("from_guid")), "from_guid", "left_semi")
+        lost = stage(orphans.unionByName(unmatched(links.where("field = 'SegmentsRC'"), there)), "lost")
+        if lost.isEmpty():
+            return rows, union([*notes, lost])
+        notes.append(lost)
+        rows = stage(rows.join(lost.select(F.col("source_guid").alias("guid")), "guid", "left_anti"), "created")
+
+
+def _renamed(df: DataFrame, column: str, remap: DataFrame) -> DataFrame:
+    """df with the ids in ``column`` moved to their new ones."""
+    to = remap.select(F.col("source_guid").alias(column), F.col("target_guid").alias("_to"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).select(df.columns)
+
+
+def with_owner_fields(new: DataFrame, target: Snapshot) -> DataFrame:
+    """Of the new allomorphs of an entry that has none yet the first is the lexeme form, all others are alternates."""
+    allomorphs = new.where("category = 'allomorph'")
+    first = allomorphs.groupBy("owner_guid").agg(F.min_by("guid", F.struct("ord", "guid")).alias("guid"))
+    first = first.join(target.of("allomorph").select("owner_guid"), "owner_guid", "left_anti").select("guid", F.lit("LexemeFormOA").alias("_first"))
+    field = F.when(F.col("category") == "allomorph", F.coalesce("_first", F.lit("AlternateFormsOS"))).otherwise(F.col("owner_field"))
+    return new.join(first, "guid", "left").withColumn("owner_field", field).select(new.columns)
+
+
+def refs_after(plan: DataFrame, source: Snapshot, target: Snapshot, new: DataFrame, remap: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refs, notes): the target's references, those of created pieces (``new``, under source ids), the slots of planned
+    templates and overwritten analyses, and planned pairs; nothing is linked twice, and nothing to what isn't there."""
+    todo = lambda where: plan.where(where).select(F.col("source_guid").alias("from_guid"))
+    of_new = source.refs.join(new.select(F.col("guid").alias("from_guid")), "from_guid", "left_semi")
+    held = source.links(*SLOT_FIELDS).join(todo("category = 'templates' AND verb <> 'ADD' AND reason IS DISTINCT FROM 'bare_bones_missing_closure'"), "from_guid", "left_semi")
+    again = source.links("SlotsRC").join(todo("category = 'msa' AND verb = 'OVERWRITE'"), "from_guid", "left_semi")
+    pair = F.split("source_guid", "::")
+    pairs = plan.where("category = 'exception_features' AND verb = 'ADD'").select(pair[0].alias("from_guid"), F.lit("ExceptionFeaturesOC").alias("field"), pair[1].alias("to_guid"), F.lit(0).cast("long").alias("ord"))
+    wanted = _renamed(_renamed(union([of_new, held, again, pairs]).select("from_guid", "field", "to_guid", "ord"), "from_guid", remap), "to_guid", remap)
+    there = objects.select("guid")
+    ends = wanted.join(there.select(F.col("guid").alias("from_guid")), "from_guid", "left_semi")
+    linked = ends.join(there.select(F.col("guid").alias("to_guid")), "to_guid", "left_semi")
+    cleared = _renamed(todo("category = 'msa' AND verb = 'OVERWRITE'"), "from_guid", remap).withColumn("field", F.lit("SlotsRC"))
+    kept = target.refs.join(cleared, ["from_guid", "field"], "left_anti").select("from_guid", "field", "to_guid", "ord")
+    added = linked.select(kept.columns).join(kept, ["from_guid", "field", "to_guid"], "left_anti").dropDuplicates(["from_guid", "field", "to_guid"])
+    return kept.unionByName(added.select(kept.columns)), unmatched(ends, there)
+
+
+def applied_snapshot(context: RunContext, plan: DataFrame, source: Snapshot, target: Snapshot, decisions: DataFrame | None = None) -> Applied:
+    """The target after a plan. Custom fields change nothing, overwritten slots only get their tag, overwritten pieces take
+    the source's facts but for the decisions on them, and every touched piece is tagged."""
+    plan, remap = stage(plan, "plan"), stage(plan_remap(plan, context.run_id), "remap")
+    new, failed = created(plan, source, target)
+    objects = stage(target.objects.unionByName(_renamed(with_owner_fields(new, target), "guid", remap).select(target.objects.columns)), "objects")
+    refs, loose = refs_after(plan, source, target, new, remap, objects)
+
+    over = plan.where("verb = 'OVERWRITE'").select(F.col("source_guid").alias("guid"), "target_guid", "category")
+    update = source.props.join(over.where("category <> 'slots'").select("guid", "target_guid"), "guid").withColumn("guid", F.col("target_guid")).select(source.props.columns)
+    update = conflicts.without_equal_customs(update, target.props)
+    log = None
+    if decisions is not None:
+        found = stage(conflicts.collected(plan, source, target), "conflicts")
+        conflicts.require_decisions(found, decisions)
+        update = conflicts.decided_facts(update, conflicts.apply_decisions(found, decisions, context.run_id))
+        log = conflicts.decision_log(decisions.join(found.select("guid", "field"), ["guid", "field"], "left_semi"))
+    born = _renamed(source.props.join(new.select("guid"), "guid", "left_semi"), "guid", remap)
+    props = conflicts.source_wins(update, target.props).unionByName(born.select(target.props.columns))
+
+    snaps = target.props.groupBy("guid").agg(F.map_from_entries(F.collect_list(F.struct("field", conflicts.plain("s", "n", "b")))).alias("fields"))
+    classes = target.objects.select(F.col("guid").alias("target_guid"), "class_name")
+    touched = over.join(classes, "target_guid").select(F.col("target_guid").alias("guid"), "class_name").distinct().join(snaps, "guid", "left")
+    if log is not None:
+        touched = touched.join(log, "guid", "left")
+    snap = residue.snapshot_json(F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    stamp = residue.serialize(F.lit(context.run_id), F.lit(context.source), F.lit(context.started_at), snap, F.col("log") if log is not None else None)
+    plain = residue.serialize(F.lit(context.run_id), F.lit(context.source), F.lit(context.started_at))
+    nothing = F.lit(None).cast("string")
+    tags = touched.select("guid", residue.carry(nothing, F.col("class_name"), stamp).alias("text"))
+    tags = tags.unionByName(_renamed(new.select("guid", "class_name"), "guid", remap).select("guid", residue.carry(nothing, F.col("class_name"), plain).alias("text")))
+    return Applied(objects, refs, props, tags, remap, failed.unionByName(loose))
+
+
 def publish(objects: DataFrame, path: str) -> None:
     """Write a checked target to a new folder; readers are pointed at it afterwards, so a failure changes nothing.
 

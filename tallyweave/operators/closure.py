@@ -13,14 +13,25 @@ from tallyweave.sources.scratch import stage
 
 
 def walk_tree(objects: DataFrame) -> DataFrame:
-    """(guid, depth, root) of every object that a root owns, level by level; objects: guid, owner_guid."""
-    objects.createOrReplaceTempView("_tree_objects")
-    return objects.sparkSession.sql("""
-        WITH RECURSIVE w(guid, depth, root) AS (
-            SELECT guid, 0, guid FROM _tree_objects WHERE owner_guid IS NULL
-            UNION ALL
-            SELECT o.guid, w.depth + 1, w.root FROM w JOIN _tree_objects o ON o.owner_guid = w.guid
-        ) SELECT * FROM w LIMIT ALL""")
+    """(guid, depth, root) of every object that a root owns; objects: guid, owner_guid. Level by level, each a join of the
+    frontier with the objects, however deep the tree is."""
+    owned = stage(objects.where("owner_guid IS NOT NULL").select("guid", "owner_guid"), "owned")
+    level = stage(objects.where("owner_guid IS NULL").select("guid", F.lit(0).alias("depth"), F.col("guid").alias("root")), "tree")
+    out = level
+    for depth in count(1):
+        above = level.select(F.col("guid").alias("owner_guid"), "root")
+        level = stage(owned.join(above, "owner_guid").select("guid", F.lit(depth).alias("depth"), "root"), "tree")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+        if depth % 50 == 49:
+            out = stage(out, "tree")  # plans stay short
+
+
+def rooted(objects: DataFrame, roots: DataFrame) -> DataFrame:
+    """walk_tree of what ``roots`` (guid) own, for instance one list of possibilities; the roots have depth 0."""
+    own = objects.join(roots.select("guid"), "guid", "left_anti").select("guid", "owner_guid").where("owner_guid IS NOT NULL")
+    return walk_tree(own.unionByName(roots.select("guid", F.lit(None).cast("string").alias("owner_guid"))))
 
 
 def walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,6 +42,7 @@ def walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     short; cycles end because nothing is visited twice. Ranks of a level are its order among all earlier levels, kept as a
     sort key (level, parent's key, pos) and numbered by range-partitioned sort, without one task that holds a level."""
     first = seeds.groupBy("guid").agg(F.min("ord").alias("ord"))
+    edges = stage(edges.select("from_guid", "to_guid", "pos"), "edges")
     frontier = stage(_numbered(first.select("guid", F.col("ord").cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")), 0, 0), "frontier")
     seen, level = frontier, 0
     while (n := frontier.count()) > 0:

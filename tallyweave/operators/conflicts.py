@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions import residue
 from tallyweave.functions.values import merge_eligible, merge_lists, merge_maps, merge_text
-from tallyweave.model import ReconcileError
+from tallyweave.model import ReconcileError, Snapshot
 
+#: Categories whose overwritten pieces are asked about, one field at a time.
+ASKED = ("pos", "entry", "sense", "allomorph")
 VALUE = ("vtype", "s", "n", "b")
 
 
@@ -42,6 +45,46 @@ def with_prior(found: DataFrame, prior: DataFrame) -> DataFrame:
     return found.join(last, ["guid", "field"], "left")
 
 
+def plain(s: str, n: str, b: str) -> Column:
+    """A typed value as text."""
+    return F.coalesce(F.col(s), F.col(n).cast("string"), F.col(b).cast("string")).alias("value")
+
+
+def collected(plan: DataFrame, source: Snapshot, target: Snapshot) -> DataFrame:
+    """conflicts of the pieces that a plan overwrites, in the categories that are asked about, under their target ids."""
+    over = plan.where((F.col("verb") == "OVERWRITE") & F.col("category").isin(*ASKED)).select(F.col("source_guid").alias("guid"), "target_guid")
+    new = source.props.join(over, "guid").withColumn("guid", F.col("target_guid")).drop("target_guid")
+    return conflicts(new, target.props.join(over.select(F.col("target_guid").alias("guid")), "guid", "left_semi"))
+
+
+def decided_facts(facts: DataFrame, decided: DataFrame) -> DataFrame:
+    """Source facts after decisions: kept and skipped fields leave, merged and edited ones carry their new text."""
+    d = decided.select("guid", "field", F.col("resolution").alias("_how"), F.col("value").alias("_value"))
+    joined = facts.join(d, ["guid", "field"], "left").where("_how IS NULL OR _how NOT IN ('keep_target', 'skip')")
+    text = F.col("_how") == "edit_custom"
+    text = F.coalesce(text | (F.col("_how") == "merge") & (F.col("vtype") == "str"), F.lit(False))
+    new = {"vtype": F.lit("str"), "s": F.col("_value"), "n": F.lit(None).cast("long"), "b": F.lit(None).cast("boolean")}
+    return joined.select(*(F.when(text, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in facts.columns))
+
+
+def interactive_skips(decided: DataFrame) -> DataFrame:
+    """Short plan rows (verb, source_guid, reason, detail) of fields that a decision skipped."""
+    return decided.where("skipped").select(F.lit("SKIP").alias("verb"), F.col("guid").alias("source_guid"), F.lit("interactive_skip").alias("reason"), F.col("field").alias("detail"))
+
+
+def prior_decisions(residue_text: DataFrame) -> DataFrame:
+    """(guid, field, resolution, custom_value, prior_run_id) out of tagged texts (guid, carrier, seq, text): of each piece the
+    last text of carrier A, or of B where A has none, if it is a tag with a readable log."""
+    parsed = residue.latest(residue_text.where("coalesce(text, '') <> ''")).select("guid", residue.parse(F.col("text")).alias("p"))
+    return recalled(parsed.select("guid", F.col("p.merge").alias("log"))).join(parsed.select("guid", F.col("p.run_id").alias("prior_run_id")), "guid")
+
+
+def accepted_priors(found: DataFrame, prior: DataFrame) -> DataFrame:
+    """Decisions (guid, field, resolution, custom_value, prior_run_id) for conflicts that an earlier run decided: the same
+    again, with the id of that run."""
+    return found.select("guid", "field").join(prior, ["guid", "field"]).select("guid", "field", "resolution", "custom_value", "prior_run_id")
+
+
 def without_equal_customs(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source facts without the custom fields (Custom...) that the target has with an equal value."""
     l = target.select("guid", "field", F.struct(*VALUE).alias("_l"), F.lit(True).alias("_there"))
@@ -83,6 +126,16 @@ def merged_lists(target: DataFrame, source: DataFrame) -> DataFrame:
     return both.select("guid", merge_lists(F.col("_l"), F.col("_r")).alias("arr"))
 
 
+def merged_any(both: DataFrame, run_id: str) -> DataFrame:
+    """(guid, field, value) of facts with columns left_type, left_value, right_type, right_value, as text: equal types that
+    can be merged are, other mergeable pairs become both texts in their quoted form, and scalars take the source's."""
+    scalar = ~merge_eligible(F.col("left_type"), F.col("right_type"))
+    quoted = lambda side: F.when(F.col(f"{side}_type") == "str", F.concat(F.lit("'"), F.col(f"{side}_value"), F.lit("'"))).otherwise(F.col(f"{side}_value"))
+    same = (F.col("left_type") == "str") & (F.col("right_type") == "str")
+    text = F.when(scalar, F.col("right_value")).when(same, merge_text(F.col("left_value"), F.col("right_value"), run_id)).otherwise(merge_text(quoted("left"), quoted("right"), run_id))
+    return both.select("guid", "field", text.alias("value"))
+
+
 def merged_maps(target: DataFrame, source: DataFrame, run_id: str) -> DataFrame:
     both = target.select("guid", F.col("ms").alias("_l")).join(source.select("guid", F.col("ms").alias("_r")), "guid")
     return both.select("guid", merge_maps(F.col("_l"), F.col("_r"), run_id).alias("ms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tallyweave.functions.values import is_gold
 from tallyweave.model import ReconcileError, Selection
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
 
 def plan_row(category: str | Column, verb: Column, reason: Column, detail: Column, target: Column, via: Column, owner: Column, parents: Column) -> list[Column]:
     c = F.lit(category) if isinstance(category, str) else category
@@ -58,7 +63,10 @@ def plan_vertical(owners: DataFrame, templates: DataFrame, slots: DataFrame, sel
     its template planned."""
     pos, tpl, slt = (selection.on(c) for c in ("pos", "templates", "slots"))
     lit, on = F.lit, selection.closure and (pos or tpl or slt)
-    counted = templates.join(slots.groupBy(F.col("template").alias("guid")).agg(F.array_join(F.array_sort(F.collect_list("guid")), ", ").alias("_slots")), "guid", "left")
+    if on or slt:
+        counted = templates.withColumn("_slots", lit(None).cast("string"))
+    else:  # skipped templates tell which of their slots aren't selected
+        counted = templates.join(slots.groupBy(F.col("template").alias("guid")).agg(F.array_join(F.array_sort(F.collect_list("guid")), ", ").alias("_slots")), "guid", "left")
     none = F.array().cast("array<string>")
     parts = []
     if on or pos:
@@ -73,10 +81,7 @@ def plan_vertical(owners: DataFrame, templates: DataFrame, slots: DataFrame, sel
     if on or (pos and tpl and slt):
         once = slots.groupBy("guid").agg(F.min("template").alias("template"), F.min("ord").alias("ord"), F.max("present").alias("present"))
         parts.append(plan_pieces(once, "slots", selection.overwrite, none if slt else F.array("template")))
-    out = parts[0] if parts else plan_pieces(owners, "pos").where("false")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union(parts) if parts else plan_pieces(owners, "pos").where("false")
 
 
 def lockstep(entries: DataFrame, senses: DataFrame, overwrite: bool) -> DataFrame:
@@ -85,6 +90,32 @@ def lockstep(entries: DataFrame, senses: DataFrame, overwrite: bool) -> DataFram
     return plan_pieces(entries, "entry", overwrite).unionByName(plan_pieces(of, "sense", overwrite))
 
 
+def full_row(rows: DataFrame, category: str) -> DataFrame:
+    """Short plan rows (verb, source_guid, reason and maybe detail) with all columns of a plan."""
+    own = rows.select(F.col("source_guid").alias("guid"), "verb", "reason", F.col("detail") if "detail" in rows.columns else F.lit(None).alias("detail"))
+    target = F.when(F.col("verb") != "SKIP", F.col("guid"))
+    return own.select(*plan_row(category, F.col("verb"), F.col("reason"), F.col("detail"), target, F.lit("none"), F.lit(None), F.array()))
+
+
+def unresolved_skipped(plan: DataFrame, missing: DataFrame) -> DataFrame:
+    """The plan with its ADD rows among ``missing`` (source_guid, reason, detail) turned into skips."""
+    why = missing.select("source_guid", F.col("reason").alias("_reason"), F.col("detail").alias("_detail"))
+    joined = plan.join(why, "source_guid", "left")
+    hit = (F.col("verb") == "ADD") & F.col("_reason").isNotNull()
+    new = {"verb": F.lit("SKIP"), "reason": F.col("_reason"), "detail": F.col("_detail"), "target_guid": F.lit(None).cast("string")}
+    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in plan.columns))
+
+
+def first_planned(plan: DataFrame, category: str) -> DataFrame:
+    """The first piece of a category that the plan (column ord) adds or overwrites: one row, or none."""
+    rows = plan.where((F.col("category") == category) & (F.col("verb") != "SKIP"))
+    return rows.agg(F.min_by("source_guid", F.struct("ord", "source_guid")).alias("source_guid")).where("source_guid IS NOT NULL")
+
+
+def count_of(plan: DataFrame, category: str) -> int:
+    return plan.where(F.col("category") == category).count()
+
+
 def ordered_touched(plan: DataFrame) -> DataFrame:
     """(source_guid, ord): pieces in the order in which the plan first names them (column ord)."""
     return plan.groupBy("source_guid").agg(F.min("ord").alias("ord"))

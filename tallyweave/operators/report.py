@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyweave.model import CATEGORIES, ReconcileError
 
 COUNTS = ("added", "overwritten", "skipped", "closure_pulled_in", "interactive_skipped")
+#: Counters of printed reports that nothing adds to.
+UNUSED = ("interactive_resolved", "ws_mapped", "ws_created", "ws_skipped")
 
 
 def by_category(plan: DataFrame) -> DataFrame:
@@ -21,6 +23,11 @@ def by_category(plan: DataFrame) -> DataFrame:
     return unique.groupBy("category").agg(*(x.alias(n) for x, n in zip((is_verb("ADD"), is_verb("OVERWRITE"), is_verb("SKIP"), pulled, chosen), COUNTS, strict=True)))
 
 
+def with_unused(report: DataFrame) -> DataFrame:
+    """The report with the counters that stay 0."""
+    return report.select("*", *(F.lit(0).cast("long").alias(c) for c in UNUSED))
+
+
 def totals(report: DataFrame) -> DataFrame:
     return report.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS))
 

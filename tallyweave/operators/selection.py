@@ -7,6 +7,34 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.model import CUSTOM_OWNERS, Selection, Snapshot
+
+#: Categories that make a run walk parts of speech and what lies below them.
+WALKED = ("pos", "templates", "slots", "entry", "sense", "msa", "allomorph")
+
+
+def walked_poses(source: Snapshot, selection: Selection) -> DataFrame | None:
+    """Parts of speech to walk: none if no category below them is on, else those picked, else all."""
+    if not any(map(selection.on, WALKED)):
+        return None
+    wanted = [(g,) for g in sorted(selection.picks.get("pos", ()))]
+    return picked(source.of("pos"), source.objects.sparkSession.createDataFrame(wanted, "guid string"))
+
+
+def scanned_fields(fields: DataFrame) -> DataFrame:
+    """Custom fields (owner_class, name) of the owner classes that are scanned."""
+    return fields.where(F.col("owner_class").isin(*CUSTOM_OWNERS)).distinct()
+
+
+def build_selection(template_slots: DataFrame, slot_affixes: DataFrame, unbound: DataFrame, picks: DataFrame, extra: Iterable[str] = (), closure: bool = True) -> tuple[Selection, DataFrame, DataFrame]:
+    """(selection, affixes, templates) of the picker: what its picks require, and templates on if there are any.
+
+    Affixes have no planner, so their picks come back as a table beside the selection and turn no category on."""
+    affixes = required_affixes(template_slots, slot_affixes, unbound, picks)
+    templates = required_templates(template_slots, picks)
+    on = frozenset(extra) | (frozenset({"templates"}) if not templates.isEmpty() else frozenset())
+    return Selection(on, closure=closure), affixes, templates
+
 
 def selected(df: DataFrame, categories: Iterable[str]) -> DataFrame:
     return df.where(F.col("category").isin(*categories))
@@ -40,3 +68,7 @@ def all_affixes(slot_affixes: DataFrame, unbound: DataFrame) -> DataFrame:
 def picker_state(children: DataFrame) -> DataFrame:
     """(parent, checked) from (parent, child, checked): a parent is checked when all its children are."""
     return children.groupBy("parent").agg(F.every("checked").alias("checked"))
+
+
+def all_templates(template_slots: DataFrame) -> DataFrame:
+    return template_slots.select("template").distinct()

@@ -20,16 +20,12 @@ def mismatches(source: DataFrame, target: DataFrame) -> DataFrame:
     return source.join(target.select("ws_id").distinct(), "ws_id", "left_anti")
 
 
-def ranked_candidates(missing: DataFrame, target: DataFrame, most: int = 10_000) -> DataFrame:
-    """(ws_id, kind, candidates): all target ids, likest first, then by id.
-
-    Every target id is a candidate of every missing one, so a list of ids travels as one row; more than ``most`` ids in the
-    target are refused."""
-    ids = [r.ws_id for r in target.select("ws_id").distinct().orderBy("ws_id").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ReconcileError(f"more than {most} writing systems in the target")
-    options = F.array(*(F.struct(ws_rank(F.col("ws_id"), F.lit(i)).alias("rank"), F.lit(i).alias("id")) for i in ids)) if ids else F.array().cast("array<struct<rank:int,id:string>>")
-    return missing.select("ws_id", "kind", F.array_sort(options).alias("candidates"))
+def ranked_candidates(missing: DataFrame, target: DataFrame) -> DataFrame:
+    """(ws_id, kind, candidates): all target ids, likest first, then by id. Every target id is a candidate of every missing
+    one, so the target's ids travel as one list, as long as the answer's own."""
+    ids = target.select("ws_id").distinct().agg(F.collect_list("ws_id").alias("_ids"), F.lit(1).alias("_all"))
+    options = F.transform(F.coalesce("_ids", F.array().cast("array<string>")), lambda i: F.struct(ws_rank(F.col("ws_id"), i).alias("rank"), i.alias("id")))
+    return missing.withColumn("_all", F.lit(1)).join(ids, "_all", "left").select("ws_id", "kind", F.array_sort(options).alias("candidates"))
 
 
 def folded(mapping: DataFrame, choices: DataFrame) -> DataFrame:

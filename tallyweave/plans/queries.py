@@ -4,32 +4,22 @@ A source is a table as given; its target is the part whose key isn't divisible b
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import residue, values
 from tallyweave.model import Selection
 from tallyweave.operators import apply, closure, conflicts, matching, planning, report, selection, wsmap
+from tallyweave.plans import run_queries  # noqa: F401  registers its queries
+from tallyweave.plans.registry import ORACLES, QUERIES, query
 from tallyweave.sources.snapshots import customer_pair, pieces, properties, read, target_of, tree
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+
 RUN, TIME = "GT-20260619-150000", "2026-06-19T15:00:00"
 C = F.col
 
 
-def query(sql: str | None = None) -> Callable:
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def long(name: str):
     return C(name).cast("long").alias(name)
 

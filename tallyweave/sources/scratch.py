@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from tallyweave.model import ReconcileError
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts lineage and survives lost executors. A temporary folder only where none is configured."""
+    """Write and read back: cuts lineage and survives lost executors. Where no shared folder is configured, a session on one
+    machine takes a temporary one; on a cluster that is an error, since executors don't see each other's disks."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ReconcileError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
