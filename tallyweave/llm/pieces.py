@@ -4,36 +4,68 @@ A text's lattice has a node before each character and an edge for each vocabular
 pieces' scores times ALPHA, which defines a distribution over segmentations. Perturbing every path's log-probability with
 Gumbel noise and taking the greatest k draws k different segmentations without replacement. The search is A* from the top
 down: the maximum of the perturbed values below a node has a Gumbel distribution located at the node's log-mass, so
-children are drawn given their parent's maximum, and the frontier's best node is always expanded first."""
+children are drawn given their parent's maximum, and the frontier's best node is always expanded first.
+
+All texts of a batch are searched side by side. No piece crosses the start of a unit (a run of space marks and what follows
+it), so a node's best path is found unit by unit at once, and the values of the siblings it passed follow from it. Noise is a
+hash of the row's seed, the expansion, the place in the text and the piece's length, so it doesn't depend on the batch."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from array import array
-from bisect import insort
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, starts_of, utf8
+from .common import concat_ranges, mix, powers, slices, starts_of, utf8
 from .tokens import vocabulary_path
 
-#: Segmentations of each text, the scale of piece scores, the longest unit whose edges are kept, the base of the seeds.
-SAMPLES, ALPHA, UNIT, SEED = 2, 0.002, 24, 17
+#: Segmentations of each text, the scale of piece scores, the base of the seeds.
+SAMPLES, ALPHA, SEED = 2, 0.002, 17
 SPACE = "▁"
 SCHEMA = "sample int, ids array<int>, pieces array<string>, log_p double, inclusion double"
-#: Bytes of text in one batch of results; a longer text stands alone.
+#: Bytes of text that are searched at once; a longer text stands alone.
 PART_BYTES = 256 << 10
+_U = np.uint64
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which the hash of any run of characters follows, and the factors that shift it to the start."""
+    up, down = powers(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, _U)
+    np.cumsum(mix(codes.astype(_U) + _U(1)) * up[: len(codes)], out=total[1:])
+    return total, down
+
+
+def _name(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` characters from each place on."""
+    return mix((total[at + size] - total[at]) * down[at] + _U(size))
+
+
+def _firsts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+
+
+class Edges:
+    """Lattices laid end to end: edges of node i are those from ptr[i] to ptr[i + 1]; cond is an edge's log-probability given
+    its start, length its characters, piece its id (-1: a character without a piece)."""
+
+    def __init__(self, ptr: np.ndarray, length: np.ndarray, cond: np.ndarray, piece: np.ndarray):
+        self.ptr, self.length, self.cond, self.piece = ptr, length, cond, piece
 
 
 class Lattice:
-    """Pieces of a vocabulary and the lattices of units, kept by unit while the cache is small."""
+    """Pieces of a vocabulary, and the lattices that they span."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -43,124 +75,237 @@ class Lattice:
         usable = [i for i in range(n) if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i) or self.lib.is_unused(i))]
         self.score = {self.lib.id_to_piece(i): alpha * self.lib.get_score(i) for i in usable}
         self.id = {self.lib.id_to_piece(i): i for i in usable}
-        self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes = np.array([self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.longest = max(map(len, self.score), default=1)
         self.least = min(self.score.values(), default=0.0) - 1.0  # of a character without a piece, spelt in bytes
         self.cut = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
         if any(self.cut.search(p) for p in self.score):
             raise ValueError("a piece of the vocabulary has a space mark behind another character")
-        self.kept: dict[str, list] = {}
-
-    def unit(self, text: str) -> list[list[tuple[float, int]]] | _Edges:
-        """For each start, (log-probability given the start, end) of each edge that can begin there, likeliest first."""
-        known = self.kept.get(text)
-        if known is not None:
-            return known
-        n = len(text)
-        mass = array("d", [-math.inf]) * n + array("d", [0.0])
-        for i in range(n - 1, -1, -1):
-            found = [x for x, _ in self.starting(text, mass, i)]
-            top = max(found)
-            mass[i] = top + math.log(sum(math.exp(x - top) for x in found))
-        edges = _Edges(self, text, mass)
-        if n > UNIT:
-            return edges
-        if len(self.kept) > 50_000:
-            self.kept.clear()
-        self.kept[text] = [edges[i] for i in range(n)]
-        return self.kept[text]
-
-    def starting(self, text: str, mass: array, i: int) -> list[tuple[float, int]]:
-        """(log-mass of all paths by it, end) of each edge that begins at i."""
-        score = self.score
-        found = [(score[text[i:j]] + mass[j], j) for j in range(i + 1, min(len(text), i + self.longest) + 1) if text[i:j] in score]
-        if text[i] not in score:
-            found.append((self.least + mass[i + 1], i + 1))
-        return found
+        # sorted hashes of all pieces, each with its id, score, length, first and last character; runs of hashes by their top bits
+        names = sorted(self.score, key=lambda p: (len(p), p))
+        self.sizes = sorted({len(p) for p in names})
+        codes = [_codes(p) for p in names]
+        key = np.array([_name(*_hashes(c), np.zeros(1, np.int64), len(c))[0] for c in codes], _U)
+        by = np.argsort(key)
+        self.key = np.append(key[by], np.full(4, ~_U(0)))
+        columns = ([self.id[p] for p in names], [self.score[p] for p in names], [len(c) for c in codes], [c[0] for c in codes], [c[-1] for c in codes])
+        self.columns = [np.append(np.array(c)[by], np.zeros(4, np.array(c).dtype)) for c in columns]
+        self.slot = np.searchsorted(self.key, np.arange(1 << 20, dtype=_U) << _U(44)).astype(np.int32)
+        self.deepest = int(np.bincount((self.key[:-4] >> _U(44)).astype(np.int64)).max(initial=1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the pieces' (of one that isn't there, any place)."""
+        k = self.slot[(h >> _U(44)).astype(np.int32)]
+        for _ in range(self.deepest - 1):
+            late = self.key[k] < h
+            if not late.any():
+                break
+            k = k + late
+        return k
 
     def units(self, text: str) -> list[str]:
         """The text with spaces marked, cut before each run of marks; no piece has a mark behind another character."""
         marked = (SPACE + text.replace(" ", SPACE)) if text else ""
         return [u for u in self.cut.split(marked) if u]
 
-    def spell(self, piece: str) -> list[int]:
-        known = self.id.get(piece)
-        return [known] if known is not None else [self.bytes[b] for b in piece.encode()]
+    def unit(self, text: str) -> list[list[tuple[float, int]]]:
+        """For each start, (log-probability given the start, end) of each edge that can begin there, likeliest first."""
+        e = self.edges(_codes(text), np.array([0, len(text)]))
+        return [sorted(((float(e.cond[k]), i + int(e.length[k])) for k in range(e.ptr[i], e.ptr[i + 1])), reverse=True) for i in range(len(text))]
+
+    def edges(self, codes: np.ndarray, offs: np.ndarray) -> Edges:
+        """The lattices of units laid end to end."""
+        n = len(codes)
+        left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)  # characters from here to the end of the unit
+        sums = _hashes(codes)
+        start, length, piece, score = [], [], [], []
+        single = np.zeros(n, bool)
+        at = np.arange(n, dtype=np.int32)
+        for size in self.sizes:
+            at = at[left[at] >= size]
+            h = _name(*sums, at, size)
+            k = self.find(h)
+            ids, scores, _, first, last = self.columns
+            ok = np.flatnonzero(self.key[k] == h)
+            begin, k = at[ok], k[ok]
+            ok = (first[k] == codes[begin]) & (last[k] == codes[begin + size - 1])
+            if not ok.all():
+                begin, k = begin[ok], k[ok]
+            if size == 1:
+                single[begin] = True
+            start.append(begin), length.append(np.full(len(begin), size, np.int32)), piece.append(ids[k]), score.append(scores[k])
+        bare = np.flatnonzero(~single)
+        start.append(bare), length.append(np.ones(len(bare), np.int32)), piece.append(np.full(len(bare), -1)), score.append(np.full(len(bare), self.least))
+        start, length, piece, score = map(np.concatenate, (start, length, piece, score))
+        # masses from the ends of units backwards, all units side by side
+        by = np.lexsort((start, left[start]))
+        s, end, x = start[by], (start + length)[by], score[by]
+        mass = np.zeros(n + 1)
+        ends = np.zeros(n + 1, bool)
+        ends[offs] = True
+        cuts = np.append(_firsts(left[s]), len(s))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            below = x[a:b] + np.where(ends[end[a:b]], 0.0, mass[end[a:b]])
+            at = _firsts(s[a:b])
+            top = np.maximum.reduceat(below, at)
+            size = np.diff(np.append(at, b - a))
+            mass[s[a:b][at]] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
+        cond = score + np.where(ends[start + length], 0.0, mass[start + length]) - mass[start]
+        cond = np.round(cond * 2.0**32) * 2.0**-32  # so that sums are exact, whatever else is in the batch
+        by = np.argsort(start, kind="stable")
+        ptr = np.searchsorted(start[by], np.arange(n + 1))
+        return Edges(ptr, length[by], cond[by], piece[by])
 
     def sample(self, text: str, k: int, rng: np.random.Generator, whole: bool = True) -> list[tuple[float, float, list[str]]]:
         """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first; without
-        ``whole`` the last one, from which only the perturbed value is wanted, isn't followed and has no pieces.
-
-        The frontier holds no more nodes than paths are wanted: each opened node gives a path, so others are never opened."""
-        units = self.units(text)
-        lattices = [self.unit(u) for u in units]
-        noise = _Noise(rng)
-        number = count()
-        # a node: its maximum negated, next unit, place in it, log-probability so far, and its path as nested pairs
-        frontier = [(-noise.gumbel(), next(number), 0, 0, 0.0, None)]
-        done: list[tuple[float, float, list[str]]] = []
-        while frontier and len(done) <= k:
-            g, _, u, i, log_p, path = frontier.pop(0)
-            g = -g
-            room = k - len(done)
-            if not room and not whole:
-                done.append((g, log_p, []))
-                break
-            while u < len(units):  # follow the child that keeps the maximum; its siblings may join the frontier
-                edges = lattices[u][i]
-                if len(edges) == 1:
-                    best = 0
-                else:
-                    drawn = [x + noise.gumbel() for x, _ in edges]
-                    top = max(drawn)
-                    best = drawn.index(top)
-                    for e, (x, j) in enumerate(edges) if room else ():
-                        if e != best:
-                            # the sibling's own maximum, given that the greatest of all is g - log_p
-                            v = (g - log_p) - drawn[e] + _log1mexp(drawn[e] - top)
-                            lower = log_p + (g - log_p) - max(v, 0.0) - math.log1p(math.exp(-abs(v)))
-                            if len(frontier) < room or -lower < frontier[-1][0]:
-                                at = (u, j) if j < len(units[u]) else (u + 1, 0)
-                                insort(frontier, (-lower, next(number), *at, log_p + x, (path, units[u][i:j])))
-                                del frontier[room:]
-                x, j = edges[best]
-                path, log_p = (path, units[u][i:j]), log_p + x
-                u, i = (u, j) if j < len(units[u]) else (u + 1, 0)
-            pieces = []
-            while path is not None:
-                path, piece = path
-                pieces.append(piece)
-            done.append((g, log_p, pieces[::-1]))
-        return done
-
-
-class _Edges:
-    """Edges of one unit, made when they are asked for: only the masses stay, 8 bytes a character."""
-
-    def __init__(self, lattice: Lattice, text: str, mass: array):
-        self.lattice, self.text, self.mass = lattice, text, mass
-
-    def __getitem__(self, i: int) -> list[tuple[float, int]]:
-        return sorted(((x - self.mass[i], j) for x, j in self.lattice.starting(self.text, self.mass, i)), reverse=True)
-
-
-class _Noise:
-    """Standard Gumbel draws, made in lots."""
-
-    def __init__(self, rng: np.random.Generator):
-        self.rng, self.lot = rng, []
-
-    def gumbel(self) -> float:
-        if not self.lot:
-            self.lot = self.rng.gumbel(size=256).tolist()
-        return self.lot.pop()
-
-
-def _log1mexp(x: float) -> float:
+        ``whole`` the last one, from which only the perturbed value is wanted, isn't followed and has no pieces."""
+        found = Search(self, [text], np.array([rng.integers(1 << 63)], _U), k + 1 if whole else k)
+        marked, out = "".join(self.units(text)), []
+        for s in range(len(found.value)):
+            if found.value[s][0] > -np.inf:
+                at = np.flatnonzero(found.taken[s] >= 0)
+                out.append((float(found.value[s][0]), float(found.log_p[s][0]), [marked[a:b] for a, b in zip(at, np.append(at[1:], len(marked)), strict=True)]))
+        return out if whole or found.bar[0] == -np.inf else [*out, (float(found.bar[0]), 0.0, [])]
+
+
+def _log1mexp(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(x)) for x <= 0."""
-    if x > -1e-12:
-        return -math.inf
-    return math.log(-math.expm1(x)) if x > -0.6931 else math.log1p(-math.exp(x))
+    with np.errstate(divide="ignore"):
+        return np.where(x > -0.6931, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
+
+
+#: What a unit of the place in a seed's sequence adds to its hash.
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def _gumbel(key: np.ndarray) -> np.ndarray:
+    """A standard Gumbel draw for each key."""
+    u = (mix(key) >> _U(11)).astype(float)
+    return -np.log(-np.log((u + 0.5) * 2.0**-53))
+
+
+class Search:
+    """Gumbel top-k over many lattices at once.
+
+    value[s] and log_p[s] are the s-th sample's perturbed and plain log-probability by text (-inf: it has no more), taken[s]
+    the edge that it takes at each character (-1: none starts there), bar the perturbed value of the sample after the last.
+
+    The frontier of a text holds no more nodes than paths are still wanted: each opened node gives a path, so others are
+    never opened. A node is a place in the text, the log-probability up to there, and the sample it leaves at some place."""
+
+    def __init__(self, lattice: Lattice, texts: Sequence[str], seeds: np.ndarray, k: int):
+        codes = [_codes((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
+        self.offs = starts_of(np.array([len(c) for c in codes], np.int64)).astype(np.int64)
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *codes])
+        n, rows = len(self.codes), len(texts)
+        self.row = np.repeat(np.arange(rows), np.diff(self.offs))
+        self._lay(lattice)
+        self.seed = mix(seeds)
+        self.value, self.log_p, self.taken = [], [], []
+        value, at, log_p = (np.full((rows, 1), x) for x in (-np.inf, 0, 0.0))
+        value[:, 0] = _gumbel(self.seed)  # the greatest value of a whole text is a Gumbel draw
+        at[:, 0] = self.offs[:-1]
+        leaves, over, edge = (np.zeros((rows, 1), np.int64) for _ in range(3))
+        for s in range(k):
+            live = value[:, 0] > -np.inf
+            if not live.any():
+                break
+            g, begin, base = value[:, 0], np.where(live, at[:, 0], self.offs[1:]), log_p[:, 0]
+            taken = np.full(n, -1)
+            if s:
+                old = np.stack(self.taken)[leaves[self.row, 0], np.arange(n)] if s > 1 else self.taken[0]
+                keep = np.arange(n) < over[self.row, 0]
+                taken[keep & live[self.row]] = old[keep & live[self.row]]
+                some = np.flatnonzero(live)
+                taken[over[some, 0]] = edge[some, 0]
+            total, new = self._follow(s, g, begin, base, taken, k - s)
+            self.value.append(np.where(live, g, -np.inf)), self.log_p.append(total), self.taken.append(taken)
+            lower, start, e, before = new
+            new_at = start + self.edges.length[e]
+            columns = [(value[:, 1:], lower), (at[:, 1:], new_at), (log_p[:, 1:], before + self.edges.cond[e]), (leaves[:, 1:], np.full(e.shape, s)), (over[:, 1:], start), (edge[:, 1:], e)]
+            value, at, log_p, leaves, over, edge = (np.concatenate(c, axis=1) for c in columns)
+            by = np.argsort(-value, axis=1, kind="stable")[:, : max(1, k - s)]
+            value, at, log_p, leaves, over, edge = (np.take_along_axis(c, by, 1) for c in (value, at, log_p, leaves, over, edge))
+        self.bar = value[:, 0] if k else np.full(rows, -np.inf)
+
+    def _lay(self, lattice: Lattice) -> None:
+        """Lattices of the different units of the batch, and each character's node in them."""
+        mark = self.codes == ord(SPACE)
+        opens = mark & ~np.concatenate(([False], mark[:-1]))
+        opens[self.offs[:-1][np.diff(self.offs) > 0]] = True
+        begin = np.flatnonzero(opens)
+        size = np.diff(np.append(begin, len(self.codes)))
+        total, down = _hashes(self.codes)
+        name = mix((total[begin + size] - total[begin]) * down[begin] + size.astype(_U))
+        _, first, kind = np.unique(name, return_index=True, return_inverse=True)
+        inside = np.arange(len(self.codes)) - np.repeat(begin, size)
+        if (self.codes != self.codes[np.repeat(begin[first][kind], size) + inside]).any():  # two units of one hash
+            first, kind = np.arange(len(begin)), np.arange(len(begin))
+        offs = starts_of(size[first])
+        self.edges = lattice.edges(self.codes[concat_ranges(begin[first], size[first])], offs)
+        self.node = np.repeat(offs[:-1][kind], size) + inside
+        self.begin, self.end = begin, begin + size
+        self.unit = np.repeat(np.arange(len(begin)), size)
+
+    def _follow(self, turn: int, g: np.ndarray, begin: np.ndarray, base: np.ndarray, taken: np.ndarray, room: int):
+        """Follow each text's best path from ``begin`` on, unit by unit side by side, writing its edges to ``taken``.
+
+        Gives each text's log-probability, and of its passed siblings the ``room`` best as (value, place, edge,
+        log-probability before it), matrices of a row for each text."""
+        e, rows = self.edges, len(g)
+        # one cursor for each unit behind the start of its text's part, and one where a text starts within a unit
+        mine = self.begin >= begin[self.row[self.begin]] if len(self.begin) else np.zeros(0, bool)
+        inner = begin[(begin < self.offs[1:])]
+        inner = inner[~np.isin(inner, self.begin)]
+        at = np.concatenate((self.begin[mine], inner))
+        stop = np.concatenate((self.end[mine], self.end[self.unit[inner]]))
+        steps = []
+        while len(at):
+            node = self.node[at]
+            degree = e.ptr[node + 1] - e.ptr[node]
+            flat = concat_ranges(e.ptr[node], degree)
+            row = self.row[at]
+            key = self.seed[row] + (((at - self.offs[row]) * 64).astype(_U) + _U((turn + 1) << 52)) * _STEP
+            drawn = e.cond[flat] + _gumbel(np.repeat(key, degree) + e.length[flat].astype(_U) * _STEP)
+            head = starts_of(degree)[:-1]
+            top = np.maximum.reduceat(drawn, head)
+            each = np.repeat(top, degree)
+            others = drawn < each
+            best = np.flatnonzero(~others)
+            if len(best) > len(at):  # equal values: the first counts
+                of = np.repeat(np.arange(len(at)), degree)
+                best = best[_firsts(of[best])]
+            chosen = flat[best]
+            taken[at] = chosen
+            steps.append((np.repeat(at, degree)[others], flat[others], drawn[others], each[others]))
+            at = at + e.length[chosen]
+            on = at < stop
+            at, stop = at[on], stop[on]
+        fresh = np.flatnonzero((taken >= 0) & (np.arange(len(taken)) >= begin[self.row])) if len(taken) else np.zeros(0, np.int64)
+        step = np.zeros(len(taken) + 1)
+        step[fresh] = e.cond[taken[fresh]]
+        run = np.concatenate(([0.0], np.cumsum(step)))  # sums up to a place, of the parts that were followed
+        total = base + run[self.offs[1:]] - run[self.offs[:-1]]
+        place, edge, drawn, top = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        row = self.row[place]
+        before = base[row] + run[place] - run[self.offs[row]]
+        # a sibling's own maximum, given that the greatest of all is g
+        v = (g[row] - before) - drawn + _log1mexp(drawn - top)
+        lower = g[row] - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+        out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
+        rest = np.arange(len(lower))
+        for r in range(room):
+            most = np.full(rows, -np.inf)
+            np.maximum.at(most, row[rest], lower[rest])
+            hit = np.flatnonzero((lower[rest] == most[row[rest]]) & (lower[rest] > -np.inf))
+            if not len(hit):
+                break
+            hit = hit[np.unique(row[rest[hit]], return_index=True)[1]]
+            chosen = rest[hit]
+            for column, values in zip(out, (lower, place, edge, before), strict=True):
+                column[row[chosen], r] = values[chosen]
+            rest = np.delete(rest, hit)
+        return total, out
 
 
 _lattices: dict[tuple[str, float], Lattice] = {}
@@ -172,6 +317,26 @@ def lattice(path: str, alpha: float) -> Lattice:
     return _lattices[path, alpha]
 
 
+def _utf8_sizes(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 0x80) + (codes >= 0x800).astype(np.int64) + (codes >= 0x10000)
+
+
+def spelt(lat: Lattice, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces end to end and how many each has: one, or the bytes of a character (``codes``) without a piece."""
+    size = np.where(piece >= 0, 1, _utf8_sizes(codes))
+    ids = np.zeros(size.sum(), np.int32)
+    at = starts_of(size)[:-1]
+    ids[at[piece >= 0]] = piece[piece >= 0]
+    bare = np.flatnonzero(piece < 0)
+    c, n, at = codes[bare].astype(np.int64), size[bare], at[bare]
+    for i in range(int(n.max(initial=0))):
+        on = n > i
+        bits = c[on] >> 6 * (n[on] - 1 - i)
+        lead = np.choose(n[on] - 1, (0, 0xC0, 0xE0, 0xF0))
+        ids[at[on] + i] = lat.bytes[np.where(i == 0, lead | bits, 0x80 | (bits & 0x3F))]
+    return ids, size
+
+
 def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, vocabulary: str | None = None) -> DataFrame:
     """keys, sample (from 0, greatest perturbed value first), ids, pieces, log_p, inclusion: for each row, ``samples``
     different segmentations of its whole text, or all if it has fewer.
@@ -186,24 +351,29 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
         lat = lattice(vocabulary, alpha)
         for b in batches:
             for lo, hi in slices(utf8(b.column(n_keys))[1], PART_BYTES):
-                for at in range(lo, hi, 500):
-                    yield drawn(lat, b.slice(at, min(hi - at, 500)))
+                for at in range(lo, hi, 4000):
+                    yield from drawn(lat, b.slice(at, min(hi - at, 4000)))
 
-    def drawn(lat: Lattice, part: pa.RecordBatch) -> pa.RecordBatch:
-        row, out = [], []
+    def drawn(lat: Lattice, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
-        for at, (key, text) in enumerate(zip(names, part.column(n_keys).to_pylist(), strict=True)):
-            seed = hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()
-            found = lat.sample(text or "", samples, np.random.Generator(np.random.PCG64(int.from_bytes(seed))), whole=False)
-            bar = found[samples][0] if len(found) > samples else -math.inf
-            for s, (_, log_p, pieces) in enumerate(found[:samples]):
-                row.append(at)
-                included = -math.expm1(-math.exp(min(log_p - bar, 50.0))) if bar > -math.inf else 1.0
-                out.append((s, [x for p in pieces for x in lat.spell(p)], pieces, log_p, included))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.float64(), pa.float64())
-        own = [part.column(i).take(pa.array(row, pa.int64())) for i in range(n_keys)]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*keys, "sample", "ids", "pieces", "log_p", "inclusion"])
+        seeds = [int.from_bytes(hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()) for key in names]
+        found = Search(lat, part.column(n_keys).fill_null("").to_pylist(), np.array(seeds, _U), samples)
+        width = starts_of(_utf8_sizes(found.codes))
+        raw = pa.py_buffer(found.codes.tobytes().decode("utf-32-le").encode())
+        for s, (value, log_p, taken) in enumerate(zip(found.value, found.log_p, found.taken, strict=True)):
+            at = np.flatnonzero(taken >= 0)
+            piece = found.edges.piece[taken[at]]
+            ids, size = spelt(lat, found.codes[at], piece)
+            cuts = np.searchsorted(at, found.offs)
+            lists = pa.ListArray.from_arrays(pa.array(starts_of(size)[cuts].astype(np.int32)), pa.array(ids))
+            ends = np.append(width[at], width[-1]).astype(np.int32)
+            texts = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), raw))
+            with np.errstate(over="ignore"):
+                included = np.where(found.bar > -np.inf, -np.expm1(-np.exp(np.minimum(log_p - np.where(found.bar > -np.inf, found.bar, 0.0), 50.0))), 1.0)
+            live = pa.array(value > -np.inf)
+            columns = [pa.array(np.full(len(value), s, np.int32)), lists, texts, pa.array(log_p), pa.array(included)]
+            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keys)), *columns], [*keys, "sample", "ids", "pieces", "log_p", "inclusion"])
+            yield out.filter(live)
 
     chosen = rows.select(*keys, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -212,20 +382,38 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
 
 def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """rows with the text that its ids spell: pieces joined, bytes put together, marks turned into spaces, the first one
-    dropped. Any sample of a text gives the text back, but for marks that it held itself."""
+    dropped; a column of the result's name is replaced. Any sample of a text gives the text back, but for marks that it
+    held itself. Null ids give a null text, bytes that are no text become replacement marks."""
     vocabulary = vocabulary or vocabulary_path("piece_bpe_32k.model")
     rows = rows.drop(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = lattice(vocabulary, ALPHA).lib
-        spelt = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.encode() for i, p in ((i, lib.id_to_piece(i)) for i in range(lib.get_piece_size()))]
-        mark = SPACE.encode()
+        names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
+        spell = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        marked = np.array([p.startswith(SPACE) for p in names])
+        letters = np.frombuffer(b"".join(spell), np.uint8)
+        size = np.array([len(x) for x in spell])
+        begin = starts_of(size)[:-1]
         for whole in batches:
             at = whole.schema.get_field_index(ids_col)
             per = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(starts_of(per), PART_BYTES):
                 b = whole.slice(lo, hi - lo)
-                texts = [None if ids is None else b"".join(spelt[i] for i in ids).removeprefix(mark).replace(mark, b" ").decode(errors="replace") for ids in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
+                ids, offs = b.column(at).flatten().to_numpy(zero_copy_only=False), starts_of(per[lo:hi])
+                first = offs[:-1][per[lo:hi] > 0]
+                first = first[marked[ids[first]]]
+                a, n = begin[ids], size[ids]
+                a[first] += 1
+                n[first] -= 1
+                raw = letters[concat_ranges(a, n)]
+                text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(starts_of(n)[offs].astype(np.int64)), pa.py_buffer(raw))
+                try:
+                    text.validate(full=True)
+                except pa.ArrowInvalid:
+                    ends = starts_of(n)[offs]
+                    text = pa.array([raw[x:y].tobytes().decode(errors="replace") for x, y in zip(ends, ends[1:], strict=False)], pa.large_string())
+                text = pc.if_else(b.column(at).is_valid(), text, pa.scalar(None, pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, text_col])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").cast("string").alias(text_col)).schema)

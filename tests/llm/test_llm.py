@@ -492,3 +492,27 @@ def test_pipeline_stages_against_brute_force(spark):
             root = component_of(len(rows), links)
             assert {r.doc_id for r in kept.collect()} == {rows[i].doc_id for i in range(len(rows)) if root[i] == i}
     assert kept.agg(F.sum("length")).first()[0] > 0
+
+
+def test_sampled_pieces_of_odd_rows(spark):
+    rng = random.Random(12)
+    texts = ["a\n\tb", "é😀 x", "", None, " ", "  two  spaces ", "▁mark", "日本語" * 30, "x" * 3000, prose(rng, 40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[9]), (None, None), (9, texts[9]), (9, "other")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("text", F.lit("clash")).withColumn("decoded", F.lit(1))
+    keyed = df.select("id", "decoded", "t")
+    a = pieces.decoded(pieces.sampled_pieces(keyed, ["id", "decoded"], "t", 3)).collect()
+    by = collections.defaultdict(list)
+    for r in a:
+        by[r.id, r.decoded].append(r)
+    for (i, text), got in ((p, [r for r in v]) for p, v in by.items()):
+        assert len({(tuple(r.pieces)) for r in got}) >= 1 and all("".join(r.pieces).removeprefix(pieces.SPACE).replace(pieces.SPACE, " ") == r.decoded for r in got)
+    want = collections.Counter((i, (t or "").replace("▁", " ")) for i, t in rows)
+    for (i, t), n in want.items():
+        got = [r for r in by[i, t]]
+        assert sum(r["sample"] == 0 for r in got) == n and len(got) <= 3 * n
+        if n == 1:
+            assert len({tuple(r.pieces) for r in got}) == len(got) and len(got) == (1 if not t else len(got))
+    again = pieces.sampled_pieces(keyed.repartition(5), ["id", "decoded"], "t", 3).collect()
+    key = lambda r: (r.id is None, r.id or 0, r["sample"], str(r.pieces))
+    assert [(r.id, r.ids, r.log_p, r.inclusion) for r in sorted(a, key=key)] == [(r.id, r.ids, r.log_p, r.inclusion) for r in sorted(again, key=key)]
+    assert pieces.sampled_pieces(keyed.limit(0), ["id"], "t").count() == 0
