@@ -55,16 +55,21 @@ def write_tokens(
     out.option("parquet.writer.version", "v2").option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, shard, start (ids of all documents before it), n_tokens, ids.
+def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, shard, start (ids of all documents before it), n_tokens, ids; the documents of first_id to last_id, if given.
 
-    Each shard's offset is the sum of those before it; that table has a row for each file, so it is broadcast."""
+    Bounds go down to the scan, where row groups and pages that hold none of them are skipped; without ``ids`` that column,
+    nearly all of the store, isn't read (rows whose id is null are left out by bounds). Each shard's offset is the sum of
+    those before it, from the small columns alone; that table has a row for each file, so Spark may broadcast it by size."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    joined = rows.join(F.broadcast(offsets), "shard")
-    return joined.select("doc_id", "shard", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids")
+    for bound, test in ((first_id, F.col("doc_id") >= first_id), (last_id, F.col("doc_id") <= last_id)):
+        rows = rows if bound is None else rows.where(test)
+    joined = rows.join(offsets, "shard")
+    columns = ["doc_id", "shard", (F.col("offset") + F.col("first")).alias("start"), "n_tokens"]
+    return joined.select(*columns, "ids") if ids else joined.select(*columns)
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -15,11 +15,13 @@ from .common import scratch_path
 
 #: Payloads shorter than this are always stored whole.
 MIN_REVISIT = 100
-#: Records of one archive file, at most.
-FILE_RECORDS = 10_000
+#: Records of one archive file, at most. A file also holds no more than one partition of the write, which Spark sizes by bytes.
+FILE_RECORDS = 2_000
+#: Compressed bytes that are inflated in one step.
+STEP = 1 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "file string, url_key string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+INDEX = "file string, url_key string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long"
 FIELDS = [x.split()[0] for x in INDEX.split(", ")]
 
 
@@ -41,7 +43,9 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
 
 def records(c: DataFrame) -> DataFrame:
-    """One string for each capture: its WARC record without the closing blank lines."""
+    """One string for each capture: its WARC record without the closing blank lines.
+
+    Pages have no time of capture, so WARC-Date is one made of the page id: distinct, and the same in every run."""
     revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     date = F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) % 4_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -81,21 +85,61 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}){rest.lower()}"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record."""
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.index(end, at)
-        lines = data[at:stop].decode().split("\r\n")
+class Inflated:
+    """The bytes of a gzip file of any number of members, inflated as they are asked for."""
+
+    def __init__(self, data: bytes | memoryview):
+        self.data, self.at, self.place = memoryview(data), 0, 0
+        self.members, self.ready = zlib.decompressobj(31), bytearray()
+
+    def _more(self) -> bool:
+        if self.members.eof:
+            self.members = zlib.decompressobj(31)
+        if self.at >= len(self.data):
+            return False
+        piece = self.data[self.at : self.at + STEP]
+        self.at += len(piece)
+        self.ready += self.members.decompress(piece, 8 * STEP)
+        self.at -= len(self.members.unused_data if self.members.eof else self.members.unconsumed_tail)
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before ``mark``, which is passed; nothing at the end of the file."""
+        seen = 0
+        while (stop := self.ready.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.ready)
+            if not self._more():
+                if self.ready:
+                    raise ValueError(f"the archive ends within a record, at byte {self.place}")
+                return b""
+        out = self.take(stop)
+        self.take(len(mark))
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.ready) < n and self._more():
+            pass
+        if len(self.ready) < n:
+            raise ValueError(f"the archive ends within a record, at byte {self.place}")
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
+        self.place += n
+        return out
+
+
+def parse(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers (lower-case names), block, place and length (in bytes of the inflated archive) of each record, one in memory
+    at a time."""
+    source, end = Inflated(data), END.encode()
+    while head := (place := source.place, source.until(end))[1]:
+        lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        block = data[stop + 4 : stop + 4 + int(head["content-length"])]
-        at = stop + 4 + len(block)
-        if data[at : at + 4] != end:
+            raise ValueError(f"no WARC record at byte {place}")
+        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        block = source.take(int(fields["content-length"]))
+        if source.take(len(end)) != end:
             raise ValueError("a record doesn't end where its length says")
-        yield head, block
-        at += 4
+        yield fields, block, place, source.place - place
 
 
 def _number(name: str | None) -> int | None:
@@ -103,26 +147,29 @@ def _number(name: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def entry(file: str, head: dict[str, str], block: bytes) -> tuple:
+def entry(file: str, head: dict[str, str], block: bytes, place: int, length: int) -> tuple:
     """The index line of a record; a response's payload is held against its length and digest."""
-    http, _, payload = block.partition(END.encode())
+    cut = block.index(END.encode())
+    http, payload = block[:cut], memoryview(block)[cut + len(END) :]
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     digest = head["warc-payload-digest"].removeprefix("sha256:")
     if head["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {head['warc-record-id']}")
     ts = re.sub(r"\D", "", head["warc-date"])
-    return file, url_key(head.get("warc-target-uri", "")), ts, _number(head["warc-record-id"]), head["warc-type"], _number(head.get("warc-refers-to")), size, digest
+    return file, url_key(head.get("warc-target-uri", "")), ts, _number(head["warc-record-id"]), head["warc-type"], _number(head.get("warc-refers-to")), size, digest, place, length
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The capture index of the archives: a locally sorted run (url key, timestamp, page) for each file."""
+    """The capture index of the archives: a locally sorted run (url key, timestamp, page) for each file. A task holds one
+    compressed file, one inflated record and the file's index lines; offset and length say where a record lies in the
+    inflated archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                lines = sorted((entry(name, h, x) for h, x in parse(gzip.decompress(content.as_py()))), key=order)
-                if lines:
-                    yield pa.RecordBatch.from_pandas(_frame(lines), preserve_index=False)
+                found = sorted((entry(name, *r) for r in parse(memoryview(content.as_buffer()))), key=order)
+                if found:
+                    yield pa.RecordBatch.from_pandas(_frame(found), preserve_index=False)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("path", "content").mapInArrow(run, INDEX)

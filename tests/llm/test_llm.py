@@ -516,3 +516,77 @@ def test_sampled_pieces_of_odd_rows(spark):
     key = lambda r: (r.id is None, r.id or 0, r["sample"], str(r.pieces))
     assert [(r.id, r.ids, r.log_p, r.inclusion) for r in sorted(a, key=key)] == [(r.id, r.ids, r.log_p, r.inclusion) for r in sorted(again, key=key)]
     assert pieces.sampled_pieces(keyed.limit(0), ["id"], "t").count() == 0
+
+
+def test_warc_of_odd_pages_and_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    monkeypatch.setattr(warc, "STEP", 64)
+    rng = random.Random(3)
+    long = prose(rng, 20_000) + "\r\n\r\nWARC/1.1\r\n" + prose(rng, 20_000)
+    rows = [(i, f"http://h{i % 4}.org/{i}", rng.choice([long, "x" * 99, "y" * 100, "é" * 50, None])) for i in range(40)]
+    rows += [(5, "http://h5.org", "y" * 100), (None, None, "y" * 100), (None, "u", "alone" * 30), (41, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(df, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    assert len(files) > 8
+    by_file = {f.path: bytes(f.content) for f in files}
+    lines = warc.read_index(spark, path).collect()
+    assert len(lines) == len(rows)
+    first = {}
+    for i, _, t in rows:
+        if i is not None and len((t or "").encode()) >= 100:
+            first[t] = min(first.get(t, i), i)
+    import gzip
+
+    for r in lines:
+        record = gzip.decompress(by_file[r.file])[r.offset : r.offset + r.length]
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and (r.payload_digest.encode() in record)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in lines)
+    want = collections.Counter()
+    for i, _, t in rows:
+        raw, to = (t or "").encode(), first.get(t)
+        copy = to is not None and to != i and (i is not None)
+        want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if copy else "response", to if copy else None] += 1
+    assert {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None}
+    merged = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in warc.merge_index(warc.read_index(spark, path), 3).collect()]
+    assert merged == sorted(merged)
+    with pytest.raises(ValueError):
+        list(warc.parse(by_file[lines[0].file][:-20]))
+
+
+def test_a_large_page_is_read_back_whole():
+    body = b"z" * 50_000_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body)
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(http + body) + http + body + b"\r\n\r\n"
+    import gzip
+
+    found = [(len(b), at, n) for _, b, at, n in warc.parse(gzip.compress(record, 1) + gzip.compress(record, 1))]  # two members
+    assert found == [(len(http + body), 0, len(record)), (len(http + body), len(record), len(record))]
+
+
+def test_token_store_reads_selectively(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = f"file://{tmp_path}/t"
+    token_store.write_tokens(docs, path)
+    whole = {r.doc_id: r for r in token_store.read_tokens(spark, path).collect()}
+    some = token_store.read_tokens(spark, path, 50, 59)
+    assert [r.doc_id for r in some.orderBy("doc_id").collect()] == list(range(50, 60))
+    assert all(r == whole[r.doc_id] for r in some.collect())
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,50)" in plan and "LessThanOrEqual(doc_id,59)" in plan
+    small = token_store.read_tokens(spark, path, ids=False)
+    assert {r.doc_id: (r.start, r.n_tokens) for r in small.collect()} == {i: (r.start, r.n_tokens) for i, r in whole.items()}
+    assert "ids" not in small._jdf.queryExecution().executedPlan().toString()
+    for file in glob.glob(f"{tmp_path}/t/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert group.total_byte_size <= 40 << 20 and all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "shard", "first", "n_tokens"))
