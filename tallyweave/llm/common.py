@@ -16,9 +16,12 @@ MIX_A, MIX_B, BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (local tests)."""
+    """The folder all executors share. Where none is configured a session on one machine (tests) takes a temporary one; on a
+    cluster that is an error, since executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 from .components import connected_components
-from .vectors import blocked, dimension_steps, matrix, rotations, suffix_norms, usable
+from .vectors import blocked, by_length, dimension_steps, lists, matrix, rotations, suffix_norms, usable
 
 #: Rows of a tile, and the width of a tile along the first axis.
 TILE, WIDTH = 1024, 0.1
@@ -25,18 +25,17 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            ok = usable(b.column(2))
-            for i in np.flatnonzero(ok):
-                v = np.array(b.column(2)[i].as_py(), float) + 0.0
-                top = np.abs(v).max(initial=0.0)
-                if top > 0:
-                    u = v / top
-                    label = b.column(1)[i].as_py()
-                    digest = hashlib.sha256(f"{label}:".encode() + v.tobytes()).digest()
-                    out.append((b.column(0)[i].as_py(), label, len(v), digest, v.tolist(), (u / np.sqrt(u @ u)).tolist()))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["vec_id", "label", "dim", "same", "v", "u"]), preserve_index=False)
+            for lo, v in by_length(b.column(2), np.flatnonzero(usable(b.column(2)))):
+                v = v + 0.0  # no negative zeros
+                top = np.abs(v).max(1, initial=0.0)
+                lo, v, top = lo[top > 0], v[top > 0], top[top > 0]
+                u = v / top[:, None]
+                u /= np.sqrt((u * u).sum(1))[:, None]
+                own = b.take(pa.array(lo))
+                raw, n = memoryview(np.ascontiguousarray(v)).cast("B"), 8 * v.shape[1]
+                same = [hashlib.sha256(f"{x}:".encode() + raw[i * n : (i + 1) * n]).digest() for i, x in enumerate(own.column(1).to_pylist())]
+                columns = [own.column(0), own.column(1), pa.array(np.full(len(lo), v.shape[1])), pa.array(same, pa.binary()), lists(v), lists(u)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "dim", "same", "v", "u"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL")
@@ -87,7 +86,8 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
-    Vectors link only within a label and length. Null or zero vectors, null or non-finite components, and null labels
+    Vectors link only within a label and length. An id that is given twice counts the links of all its vectors, and joins what
+    they link. Null or zero vectors, null or non-finite components, and null labels
     link with nothing: n_links 0, their own component, kept. A null id gives nulls and kept false. Vectors of one label
     that are equal in every component are one node with a weight, so a popular vector costs no pairs. Tiles are bins
     along the first principal axis, salted to at most about TILE rows; only tiles near enough to hold a link meet. A
@@ -99,10 +99,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pandas()
-            d["r"] = [u if n not in turn else (u @ turn[n]) for n, u in zip(d.dim, d.u, strict=True)]
-            d["bin"] = [int(np.floor(r[0] / WIDTH)) for r in d.r]
-            yield pa.RecordBatch.from_pandas(d.drop(columns="u"), preserve_index=False)
+            for at, u in by_length(b.column(5), np.arange(b.num_rows)):
+                r = u @ turn[u.shape[1]] if u.shape[1] in turn else u
+                own = b.take(pa.array(at))
+                bins = np.floor(r[:, 0] / WIDTH).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], lists(r), pa.array(bins)], [*own.schema.names[:5], "r", "bin"])
 
     schema = "node long, weight long, label string, dim long, v array<double>, r array<double>, bin long"
     tiles = nodes.select("node", "weight", "label", "dim", "v", "u").mapInArrow(rotate, schema)

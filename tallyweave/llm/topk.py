@@ -14,7 +14,8 @@ from .common import stage
 from .vectors import blocked, dimension_steps, matrix, rotations, suffix_norms, usable
 
 #: Rows of a candidate block, of a query block, of a chunk within a block; candidates of greatest norm that set thresholds.
-BLOCK, QUERIES, CHUNK, HEAD = 8192, 1024, 1024, 4096
+#: Small candidate blocks spread the work over tasks, large query blocks keep copies of candidates few.
+BLOCK, QUERIES, CHUNK, HEAD = 1024, 4096, 512, 4096
 HITS = "query_id long, vec_id long, score long"
 
 

@@ -30,6 +30,22 @@ def matrix(lists: pd.Series) -> np.ndarray:
     return np.stack(lists.to_numpy()).astype(float) if len(lists) else np.zeros((0, 0))
 
 
+def by_length(col: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix of doubles) for each length of vector among ``rows``, which hold no nulls."""
+    own = col.take(pa.array(rows))
+    n = own.value_lengths().to_numpy(zero_copy_only=False)
+    flat = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    begin = np.concatenate(([0], np.cumsum(n)))[:-1]
+    for d in np.unique(n[n > 0]):
+        at = np.flatnonzero(n == d)
+        yield rows[at], flat[begin[at][:, None] + np.arange(d)]
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def rotations(rows: DataFrame, vector: str = "v") -> dict[int, np.ndarray]:
     """For each length of vector, the orthogonal axes in order of descending second moment.
 
