@@ -48,7 +48,7 @@ def _hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _name(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` characters from each place on."""
-    return mix((total[at + size] - total[at]) * down[at] + _U(size))
+    return (total[at + size] - total[at]) * down[at] + _U(size)
 
 
 def _firsts(key: np.ndarray) -> np.ndarray:
@@ -91,17 +91,19 @@ class Lattice:
         columns = ([self.id[p] for p in names], [self.score[p] for p in names], [len(c) for c in codes], [c[0] for c in codes], [c[-1] for c in codes])
         self.columns = [np.append(np.array(c)[by], np.zeros(4, np.array(c).dtype)) for c in columns]
         self.slot = np.searchsorted(self.key, np.arange(1 << 20, dtype=_U) << _U(44)).astype(np.int32)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.key[:-4] >> _U(44)).astype(np.int64)] = True
         self.deepest = int(np.bincount((self.key[:-4] >> _U(44)).astype(np.int64)).max(initial=1))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash among the pieces' (of one that isn't there, any place)."""
-        k = self.slot[(h >> _U(44)).astype(np.int32)]
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of pieces, and the places of these among the pieces' own."""
+        top = (h >> _U(44)).astype(np.int32)
+        at = np.flatnonzero(self.some[top])
+        k, h = self.slot[top[at]], h[at]
         for _ in range(self.deepest - 1):
-            late = self.key[k] < h
-            if not late.any():
-                break
-            k = k + late
-        return k
+            k += self.key[k] < h
+        ok = np.flatnonzero(self.key[k] == h)
+        return at[ok], k[ok]
 
     def units(self, text: str) -> list[str]:
         """The text with spaces marked, cut before each run of marks; no piece has a mark behind another character."""
@@ -123,11 +125,9 @@ class Lattice:
         at = np.arange(n, dtype=np.int32)
         for size in self.sizes:
             at = at[left[at] >= size]
-            h = _name(*sums, at, size)
-            k = self.find(h)
+            hit, k = self.find(_name(*sums, at, size))
             ids, scores, _, first, last = self.columns
-            ok = np.flatnonzero(self.key[k] == h)
-            begin, k = at[ok], k[ok]
+            begin = at[hit]
             ok = (first[k] == codes[begin]) & (last[k] == codes[begin + size - 1])
             if not ok.all():
                 begin, k = begin[ok], k[ok]
@@ -168,12 +168,6 @@ class Lattice:
         return out if whole or found.bar[0] == -np.inf else [*out, (float(found.bar[0]), 0.0, [])]
 
 
-def _log1mexp(x: np.ndarray) -> np.ndarray:
-    """log(1 - exp(x)) for x <= 0."""
-    with np.errstate(divide="ignore"):
-        return np.where(x > -0.6931, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
-
-
 #: What a unit of the place in a seed's sequence adds to its hash.
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -236,7 +230,7 @@ class Search:
         begin = np.flatnonzero(opens)
         size = np.diff(np.append(begin, len(self.codes)))
         total, down = _hashes(self.codes)
-        name = mix((total[begin + size] - total[begin]) * down[begin] + size.astype(_U))
+        name = (total[begin + size] - total[begin]) * down[begin] + size.astype(_U)
         _, first, kind = np.unique(name, return_index=True, return_inverse=True)
         inside = np.arange(len(self.codes)) - np.repeat(begin, size)
         if (self.codes != self.codes[np.repeat(begin[first][kind], size) + inside]).any():  # two units of one hash
@@ -289,22 +283,25 @@ class Search:
         place, edge, drawn, top = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         row = self.row[place]
         before = base[row] + run[place] - run[self.offs[row]]
-        # a sibling's own maximum, given that the greatest of all is g
-        v = (g[row] - before) - drawn + _log1mexp(drawn - top)
-        lower = g[row] - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+        # a sibling's own maximum is g - log(1 + exp(v)), given that the greatest of all is g
+        with np.errstate(divide="ignore"):
+            v = (g[row] - before) - drawn + np.log(1.0 - np.exp(drawn - top))
         out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
-        rest = np.arange(len(lower))
+        rest = np.arange(len(v))
         for r in range(room):
-            most = np.full(rows, -np.inf)
-            np.maximum.at(most, row[rest], lower[rest])
-            hit = np.flatnonzero((lower[rest] == most[row[rest]]) & (lower[rest] > -np.inf))
+            low = np.full(rows, np.inf)
+            np.minimum.at(low, row[rest], v[rest])
+            hit = np.flatnonzero(v[rest] == low[row[rest]])
             if not len(hit):
                 break
             hit = hit[np.unique(row[rest[hit]], return_index=True)[1]]
             chosen = rest[hit]
-            for column, values in zip(out, (lower, place, edge, before), strict=True):
-                column[row[chosen], r] = values[chosen]
-            rest = np.delete(rest, hit)
+            least = v[chosen]
+            lower = g[row[chosen]] - np.maximum(least, 0.0) - np.log1p(np.exp(-np.abs(least)))
+            for column, values in zip(out, (lower, place[chosen], edge[chosen], before[chosen]), strict=True):
+                column[row[chosen], r] = values
+            if r + 1 < room:
+                rest = np.delete(rest, hit)
         return total, out
 
 
@@ -337,15 +334,18 @@ def spelt(lat: Lattice, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarra
     return ids, size
 
 
-def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, vocabulary: str | None = None) -> DataFrame:
+def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, vocabulary: str | None = None, pieces: bool = True) -> DataFrame:
     """keys, sample (from 0, greatest perturbed value first), ids, pieces, log_p, inclusion: for each row, ``samples``
     different segmentations of its whole text, or all if it has fewer.
 
     inclusion is the chance that a segmentation is among the samples, given the perturbed value of the next one (1 if there
     is none). The seed is a hash of the key, so results do not depend on partitions; rows of equal keys and texts get equal
-    samples. Null or empty text has one empty segmentation. Null keys count as a value of their own. No shuffle."""
+    samples. Null or empty text has one empty segmentation. Null keys count as a value of their own. Without ``pieces`` their texts are
+    left out. No shuffle."""
     vocabulary = vocabulary or vocabulary_path("piece_bpe_32k.model")
     n_keys = len(keys)
+    result = [x for x in SCHEMA.split(", ") if pieces or not x.startswith("pieces ")]
+    names_out = [x.split()[0] for x in result]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary, alpha)
@@ -358,26 +358,28 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
         names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
         seeds = [int.from_bytes(hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()) for key in names]
         found = Search(lat, part.column(n_keys).fill_null("").to_pylist(), np.array(seeds, _U), samples)
-        width = starts_of(_utf8_sizes(found.codes))
-        raw = pa.py_buffer(found.codes.tobytes().decode("utf-32-le").encode())
+        width = starts_of(_utf8_sizes(found.codes)) if pieces else None
+        raw = pa.py_buffer(found.codes.tobytes().decode("utf-32-le").encode()) if pieces else None
         for s, (value, log_p, taken) in enumerate(zip(found.value, found.log_p, found.taken, strict=True)):
             at = np.flatnonzero(taken >= 0)
             piece = found.edges.piece[taken[at]]
             ids, size = spelt(lat, found.codes[at], piece)
             cuts = np.searchsorted(at, found.offs)
             lists = pa.ListArray.from_arrays(pa.array(starts_of(size)[cuts].astype(np.int32)), pa.array(ids))
-            ends = np.append(width[at], width[-1]).astype(np.int32)
-            texts = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), raw))
+            texts = []
+            if pieces:
+                ends = np.append(width[at], width[-1]).astype(np.int32)
+                texts = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), raw))]
             with np.errstate(over="ignore"):
                 included = np.where(found.bar > -np.inf, -np.expm1(-np.exp(np.minimum(log_p - np.where(found.bar > -np.inf, found.bar, 0.0), 50.0))), 1.0)
             live = pa.array(value > -np.inf)
-            columns = [pa.array(np.full(len(value), s, np.int32)), lists, texts, pa.array(log_p), pa.array(included)]
-            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keys)), *columns], [*keys, "sample", "ids", "pieces", "log_p", "inclusion"])
+            columns = [pa.array(np.full(len(value), s, np.int32)), lists, *texts, pa.array(log_p), pa.array(included)]
+            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keys)), *columns], [*keys, *names_out])
             yield out.filter(live)
 
     chosen = rows.select(*keys, F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, {SCHEMA}")
+    return chosen.mapInArrow(run, f"{schema}, {', '.join(result)}")
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
