@@ -29,7 +29,7 @@ PERCENT, MISSED = 85, 6.3e-4
 #: Slots of a sketch (16 bits each); a pair is proposed from a share of equal slots that lies so many deviations of that share
 #: below the similarity of links.
 SLOTS, DEVIATIONS = 64, 5.15
-#: Bytes of shingle sets in one block of a group; a larger group is settled block against block.
+#: Bytes of shingle sets in one block of a group; a larger group is settled against a pivot first.
 BLOCK_BYTES = 32 << 20
 _U = np.uint64
 
@@ -156,12 +156,11 @@ def _propose(nodes: DataFrame, proposed: float) -> DataFrame:
     return nodes.mapInArrow(run, "a long, b long")
 
 
-def _nodes(reps: DataFrame, trees: int) -> DataFrame:
-    """members: the (rep, sketch) that rest in one node, for all nodes of two or more.
+def _nodes(reps: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
+    """members: the (rep, sketch) that rest in one small node, for all of two or more; and (rep, key, size) in large ones.
 
     Level by level, a pre-aggregated count tells small nodes from large ones; only documents of large ones go deeper.
-    What is still large at the last level is dealt into parts of SMALL, and every two parts meet, so no link is lost and no
-    list exceeds two parts. The paths travel without the sketches, which join the few rows that share a node."""
+    The paths travel without the sketches, which join the few rows that share a node."""
     paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("keys", t * DEPTH + 1, DEPTH)))
     flat = reps.select("rep", paths.alias("path")).select("rep", *(F.col("path")[d].alias(f"k{d}") for d in range(DEPTH)))
     rest = None
@@ -169,19 +168,47 @@ def _nodes(reps: DataFrame, trees: int) -> DataFrame:
         deeper = [f"k{x}" for x in range(d + 1, DEPTH)]
         sizes = flat.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1")
         here = stage(flat.join(sizes, f"k{d}").select("rep", F.col(f"k{d}").alias("key"), "size", *deeper), "level")
-        small = here.where(F.col("size") <= SMALL).select("rep", "key", F.lit(0).cast("long").alias("pair"))
+        small = here.where(F.col("size") <= SMALL).select("rep", "key")
         rest = small if rest is None else rest.unionByName(small)
         flat = here.where(F.col("size") > SMALL)
         if d < DEPTH - 1:
             flat = flat.select("rep", *deeper)
-    parts = F.ceil(F.col("size") / SMALL).cast("long")
-    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    large = flat.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other") + 1
-    rest = rest.unionByName(large.select("rep", "key", pair.alias("pair")))
-    met = rest.join(reps.select("rep", "sketch"), "rep")
-    lists = met.groupBy("key", "pair").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-    return lists.where(F.size("members") > 1).select("members")
+    small = rest.join(reps.select("rep", "sketch"), "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+    return small.where(F.size("members") > 1).select("members"), flat.select("rep", "key", "size")
+
+
+def _against_pivots(large: DataFrame, reps: DataFrame, proposed: float) -> tuple[DataFrame, DataFrame]:
+    """(links to pivots, lists of members to compare) of nodes that are large at the last level; large: rep, key, size.
+
+    Every document of a node is held against one, its pivot. Those near it are one group already and needn't meet; only the
+    others, dealt into parts of SMALL, meet all parts of their node. A node of near copies costs a row for each."""
+    met = stage(large.join(reps.select("rep", "sketch"), "rep"), "large")
+    pivots = stage(met.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("sketch").alias("other")), F.xxhash64("rep", "key")).alias("p")).select("key", "p.*"), "pivots")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SLOTS) for i in (3, 5))
+            close = (x == y).sum(1) >= proposed * SLOTS
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(close)], ["rep", "key", "size", "sketch", "pivot", "near"])
+
+    held = met.join(pivots.hint("merge"), "key").select("rep", "key", "size", "sketch", "pivot", "other")
+    held = stage(held.mapInArrow(near, "rep long, key long, size long, sketch binary, pivot long, near boolean"), "held")
+    links = held.where("near AND rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    far = held.where("NOT near")
+    parts = stage(far.groupBy("key").agg(F.ceil(F.count("*") / SMALL).cast("long").alias("u"), F.max(F.ceil(F.col("size") / SMALL)).cast("long").alias("v")), "parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    ours = far.join(parts, "key").select("key", dealt("u").alias("i"), every("v").alias("j"), "rep", "sketch")
+    theirs = held.join(parts.hint("merge"), "key").select("key", every("u").alias("i"), dealt("v").alias("j"), "rep", "sketch")
+    lists = ours.unionByName(theirs).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
+    return links, lists.select("members")
+
+
+def _proposals(reps: DataFrame, trees: int, proposed: float) -> DataFrame:
+    """(a, b): links that join what the trees propose."""
+    small, large = _nodes(reps, trees)
+    links, lists = _against_pivots(large, reps, proposed)
+    return _propose(small.unionByName(lists), proposed).unionByName(links)
 
 
 def _group_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -235,18 +262,47 @@ def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(8 * counts), pa.array(sets, pa.binary())], ["rep", "grp", "bytes", "shingles"])
 
     full = stage(texts.select("doc_id", "text", "grp").mapInArrow(run, "rep long, grp long, bytes long, shingles binary"), "sets")
-    parts = full.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("parts"))
-    dealt = full.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "shingles")
+    parts = stage(full.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("parts")), "parts")
+    dealt = full.join(parts.hint("merge"), "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
 
-    def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rep")
         ids = g.rep.to_numpy()
-        edges = _group_links([np.frombuffer(x, _U) for x in g.shingles], None if key[1] == key[2] else g.part.to_numpy(), percent)
+        edges = _group_links([np.frombuffer(x, _U) for x in g.shingles], None, percent)
+        return pd.DataFrame({"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]}, dtype="int64")
+
+    alone = dealt.where("parts <= 1").select("grp", "rep", "shingles").groupBy("grp").applyInPandas(settle, "a long, b long")
+
+    # a group of several blocks: all against a pivot; what the pivot links needn't meet, the others meet every block
+    large = stage(dealt.where("parts > 1").select("grp", "part", "parts", "rep", "bytes", "shingles"), "blocks")
+    if large.isEmpty():
+        return alone
+    pivots = large.groupBy("grp").agg(F.min("parts").alias("parts"), F.min_by(F.struct("rep", "shingles"), "rep").alias("p"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pivots = pivots.select("grp", every("parts").alias("part"), "p.*", F.lit(True).alias("pivot"))
+
+    def linked(g: pd.DataFrame) -> pd.DataFrame:
+        p = g[g["pivot"]].iloc[0]
+        g = g[~g["pivot"]]
+        own, size = np.frombuffer(p.shingles, _U), np.array([len(x) // 8 for x in g.shingles])
+        common = np.array([len(np.intersect1d(own, np.frombuffer(x, _U), assume_unique=True)) for x in g.shingles])
+        return pd.DataFrame({"a": g.rep, "b": p.rep, "ok": 100 * common >= percent * (size + len(own) - common)})
+
+    with_pivots = large.select("grp", "part", "rep", "shingles", F.lit(False).alias("pivot")).unionByName(pivots.select("grp", "part", "rep", "shingles", "pivot"))
+    held = stage(with_pivots.groupBy("grp", "part").applyInPandas(linked, "a long, b long, ok boolean"), "held")
+    far = large.join(held.where("NOT ok").select(F.col("a").alias("rep")).hint("merge"), "rep")
+    shares = stage(far.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("u")), "shares")
+    ours = far.join(shares, "grp").select("grp", F.pmod(F.xxhash64("rep"), F.col("u")).alias("i"), every("parts").alias("j"), F.lit(0).alias("side"), "rep", "shingles")
+    theirs = large.join(shares.hint("merge"), "grp").select("grp", every("u").alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "rep", "shingles")
+
+    def across(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["rep", "side"])
+        ids = g.rep.to_numpy()
+        edges = _group_links([np.frombuffer(x, _U) for x in g.shingles], g.side.to_numpy(), percent)
         return pd.DataFrame({"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]}, dtype="int64")
 
-    return dealt.groupBy("grp", "i", "j").applyInPandas(settle, "a long, b long")
+    met = ours.unionByName(theirs).groupBy("grp", "i", "j").applyInPandas(across, "a long, b long")
+    return alone.unionByName(held.where("ok AND a <> b").select("a", "b")).unionByName(met)
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -261,7 +317,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["n_shingles", "set_a", "set_b"]
     reps = some.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch"))
     reps = stage(reps, "reps")
-    groups = connected_components(_propose(_nodes(reps, trees_for(percent)), proposed_for(percent))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    groups = connected_components(_proposals(reps, trees_for(percent), proposed_for(percent))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     links = connected_components(_confirm(groups, rows.where("doc_id IS NOT NULL"), percent)).withColumnRenamed("node", "rep")
     known = reps.select(*names, "rep").join(links, "rep", "left").select(*names, F.coalesce("component", "rep").alias("of"))
     out = sets.select("doc_id", *names).join(known, names, "left")

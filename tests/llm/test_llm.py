@@ -590,3 +590,24 @@ def test_token_store_reads_selectively(spark, tmp_path):
             assert group.total_byte_size <= 40 << 20 and all(c.has_column_index and c.has_offset_index for c in columns.values())
             assert any("DICTIONARY" in e for e in columns["ids"].encodings)
             assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "shard", "first", "n_tokens"))
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_minhash_of_hot_groups_loses_no_link(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)  # 3: near copies stay together to the last level and meet their pivot
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000 if small == 3 else 32 << 20)
+    rng = random.Random(21)
+    rows = []
+    for group in range(3):
+        words = prose(rng, 220).split()
+        for i in range(60):  # a chain of edits: far ends of a group are unlike, neighbours are alike
+            words = list(words)
+            words[rng.randrange(len(words))] = f"w{group}x{i}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    root = component_of(len(rows), links)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
+    got = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {rows[i][0]: least[root[i]] for i in range(len(rows))}
