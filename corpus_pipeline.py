@@ -19,13 +19,21 @@ NEAR = 85
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it is fitted on the labelled ones that are not held out."""
+    """Documents that the classifier accepts; it is fitted on the labelled ones that are not held out.
+
+    Each row is judged by its own text: repeated rows share a fate, null and empty texts are scored like others. Columns of
+    any name stay as they are; an empty table stays empty."""
     model = quality.fit(quality.document_statistics(docs), table(spark, sf_dir, "labels"))
-    return model.transform(docs).where(F.col("quality_score") >= quality.ACCEPT).select(docs.columns)
+    score = "quality_score"
+    while score in docs.columns:
+        score += "_"
+    return model.transform(docs, score_col=score).where(F.col(score) >= quality.ACCEPT).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate rows one: that of least id, null ids last, whatever other rows of its id hold."""
+    """Of each group of near-duplicate rows one: that of least id, null ids last, whatever other rows of its id hold.
+
+    Null and blank texts are nobody's copies and stay. Columns of any name stay as they are."""
     rows = stage(docs.withColumn("near_dedup_row", F.monotonically_increasing_id()), "rows")
     groups = near_documents(rows, id_col="near_dedup_row", percent=NEAR).select(F.col("doc_id").alias("near_dedup_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "near_dedup_row")
@@ -34,13 +42,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 200 bytes that occur twice; n_chars follows the text."""
+    """All documents, without the strings of 200 bytes that occur twice; n_chars follows the text.
+
+    Null texts stay null; a text of which nothing is left stays as an empty one; a null n_chars stays null."""
     n = F.when(F.col("n_chars").isNotNull(), F.char_length(F.coalesce("text", F.lit("")))).cast("long")
     return without_repeats(docs).withColumn("n_chars", n).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, in the columns of op7. A null text counts as empty, which is one end mark; rows of one id are
+    documents of their own."""
     return pack(docs)
 
 
