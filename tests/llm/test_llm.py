@@ -611,3 +611,101 @@ def test_minhash_of_hot_groups_loses_no_link(spark, monkeypatch, small):
     least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
     got = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {rows[i][0]: least[root[i]] for i in range(len(rows))}
+
+
+def test_embedding_links_of_repeated_rows_and_other_columns(spark):
+    df = vectors(spark).withColumn("node", F.lit(1)).withColumn("u", F.lit("clash"))
+    rows = [r for r in df.collect() if r.vec_id is not None]
+    unit = lambda v: np.array(v, float) / np.sqrt(np.dot(v, v))
+    ok = [usable(r.embedding) and r.label is not None and np.array(r.embedding).any() for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if ok[i] and ok[j] and rows[i].label == rows[j].label and len(rows[i].embedding) == len(rows[j].embedding) > 0 and unit(rows[i].embedding) @ unit(rows[j].embedding) >= 0.93]
+    assert sum(r.vec_id == 7 for r in rows) == 2  # one row twice: each counts the other as a link
+    n = collections.Counter(i for p in links for i in p)
+    root = component_of(len(rows), links)
+    least = {r: min(rows[i].vec_id for i in range(len(rows)) if root[i] == r) for r in set(root)}
+    want = collections.Counter((r.vec_id, n[i], least[root[i]]) for i, r in enumerate(rows))
+    got = embed_dedup.near_vectors(df).where("vec_id IS NOT NULL").collect()
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_top_k_of_repeated_ids(spark):
+    df = vectors(spark).withColumn("norm", F.lit("clash")).withColumn("vec_id", F.when(F.col("vec_id") == 7, 50).otherwise(F.col("vec_id")))
+    rows = [(r.vec_id, np.floor(256 * np.array(r.embedding, float))) for r in df.collect() if r.vec_id is not None and usable(r.embedding)]
+    want = collections.defaultdict(list)
+    for q, v in {(i, tuple(x)) for i, x in rows if i % 50 == 0}:
+        want[q] += [(-int(np.dot(v, w)), c) for c, w in rows if c != q and len(w) == len(v)]
+    want = {(q, k + 1, c, -s) for q, found in want.items() for k, (s, c) in enumerate(sorted(found)[:5])}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
+def plain_statistics(text):
+    """The statistics straight from their description, byte by byte and word by word."""
+    import re
+
+    raw = (text or "").encode()
+    w = [x for x in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    low = [x.lower() for x in w]
+    kinds = np.bincount([int(quality.CLASS_OF[c]) for c in raw], minlength=12)
+    n, some = len(w), max(len(w), 1)
+    sizes = [len(x) for x in w]
+    mean = sum(sizes) / some
+    spread = math.sqrt(max(sum(x * x for x in sizes) / some - mean**2, 0))
+    return [*(kinds / max(len(raw), 1)), mean, spread, sum(a == b for a, b in zip(low, low[1:])) / some, sum(a == b for a, b in zip(low, low[2:])) / some, len(set(low)) / some, sum(x > 20 for x in sizes) / some, math.log1p(len(raw)), math.log1p(n), math.log1p(kinds[4])]
+
+
+def test_quality_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(10_001, None), (10_002, ""), (None, "A line."), (10_003, "same same same\n" * 50), (10_003, "same same same\n" * 50)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    stats = quality.document_statistics(docs)
+    got = quality.score_documents(stats, quality.fit(stats, labels)).collect()
+    rows = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5))).collect()
+    x = np.array([plain_statistics(r.text) for r in rows])
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    train = np.array([r.doc_id in marks and not held(r.doc_id) for r in rows])
+    fold, y = np.array([r.fold for r in rows]), np.array([marks.get(r.doc_id, 0) for r in rows], float)
+    inner, outer = train & (fold < 4), train & (fold == 4)
+    mean, scale = x[inner].mean(0), x[inner].std(0) + 1e-6
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0, 1 / np.sqrt(quality.N_STATS), (quality.N_STATS, quality.N_FOURIER)), rng.uniform(0, 2 * np.pi, quality.N_FOURIER)
+    z = np.hstack([np.sqrt(2 / quality.N_FOURIER) * np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b), np.ones((len(x), 1))])
+    d = z.shape[1]
+    raw = z @ np.linalg.solve(z[inner].T @ z[inner] + quality.RIDGE * inner.sum() / d * np.eye(d), z[inner].T @ y[inner])
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    seen = sorted(set(at[outer]))
+    pairs = [(y[outer & (at == k)].sum(), (outer & (at == k)).sum()) for k in seen]
+    average = lambda i, j: sum(p for p, _ in pairs[i : j + 1]) / sum(n for _, n in pairs[i : j + 1])
+    levels = [max(min(average(i, j) for j in range(k, len(pairs))) for i in range(k + 1)) for k in range(len(pairs))]
+    want = 0.999 * np.interp(raw, (np.array(seen) + 0.5) / quality.BINS * 2 - 0.5, levels) + 0.001 / (1 + np.exp(-8 * (raw - 0.5)))
+    key = lambda p: (p[0] is None, p[0] or 0)
+    got = sorted(((r.doc_id, r.held_out, r.score, r.predicted) for r in got), key=key)
+    want = sorted(((r.doc_id, r.doc_id is not None and held(r.doc_id), s) for r, s in zip(rows, want, strict=True)), key=key)
+    assert [g[:2] for g in got] == [v[:2] for v in want] and len(got) == len(rows)
+    assert np.allclose([g[2] for g in got], [v[2] for v in want], atol=1e-4) and all(g[3] == (g[2] >= 0.7) for g in got)
+
+
+def test_quality_and_packing_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (9_000, "", "en", "s", 0), (9_001, docs.first().text, "en", "s", 1), (9_001, docs.first().text, "en", "s", 1)], DOCS)
+    docs = docs.unionByName(odd).withColumn("quality_score", F.lit("own"))
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = docs.collect()
+    score = model.score(np.array([plain_statistics(r.text) for r in rows]))
+    kept = corpus_pipeline.quality_filter(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(tuple(r) for r, s in zip(rows, score, strict=True) if s >= quality.ACCEPT)
+
+    some = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text for r in some.collect()}
+    ids = dict(zip(texts, library_ids(texts.values()), strict=True))
+    placed, used = {i: np.zeros(len(x), int) for i, x in ids.items()}, collections.Counter()
+    for r in corpus_pipeline.packed(spark, some, sf).collect():
+        placed[r.doc_id][r.start : r.start + r.length] += 1
+        used[r.sequence_id] += r.length
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert all((x == 1).all() for x in placed.values()) and all(n <= 2048 for n in used.values())
