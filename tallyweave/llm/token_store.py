@@ -17,13 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, starts_of, utf8
+from .common import slices, stage, starts_of, utf8
 from .tokens import encoder, vocabulary_path, with_end
 
 SCHEMA = "doc_id long, shard int, first long, n_tokens int, ids array<int>"
 #: Parquet settings of a store: bytes of a row group, bytes and rows of a page.
 LAYOUT = {"parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": 2000}
 
+#: Files of which the offsets are broadcast (16 MB at the utmost); those of more are joined.
+SHARDS = 1 << 20
+
 
 def write_tokens(
     docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
@@ -60,14 +63,15 @@ def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, las
 
     Bounds go down to the scan, where row groups and pages that hold none of them are skipped; without ``ids`` that column,
     nearly all of the store, isn't read (rows whose id is null are left out by bounds). Each shard's offset is the sum of
-    those before it, from the small columns alone; that table has a row for each file, so Spark may broadcast it by size."""
+    those before it, from the small columns alone; that table has a row for each file and is broadcast up to SHARDS rows."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     for bound, test in ((first_id, F.col("doc_id") >= first_id), (last_id, F.col("doc_id") <= last_id)):
         rows = rows if bound is None else rows.where(test)
-    joined = rows.join(offsets, "shard")
+    offsets = stage(offsets, "offsets")
+    joined = rows.join(F.broadcast(offsets) if offsets.count() <= SHARDS else offsets.hint("merge"), "shard")
     columns = ["doc_id", "shard", (F.col("offset") + F.col("first")).alias("start"), "n_tokens"]
     return joined.select(*columns, "ids") if ids else joined.select(*columns)
 
