@@ -334,32 +334,35 @@ def spelt(lat: Lattice, codes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarra
     return ids, size
 
 
-def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, vocabulary: str | None = None, pieces: bool = True) -> DataFrame:
+def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, vocabulary: str | None = None, pieces: bool = True, exact: bool = False) -> DataFrame:
     """keys, sample (from 0, greatest perturbed value first), ids, pieces, log_p, inclusion: for each row, ``samples``
     different segmentations of its whole text, or all if it has fewer.
 
     inclusion is the chance that a segmentation is among the samples, given the perturbed value of the next one (1 if there
     is none). The seed is a hash of the key, so results do not depend on partitions; rows of equal keys and texts get equal
     samples. Null or empty text has one empty segmentation. Null keys count as a value of their own. Without ``pieces`` their texts are
-    left out. No shuffle."""
+    left out; with ``exact`` a column of that name tells whether decoding the ids gives the row's text. No shuffle."""
     vocabulary = vocabulary or vocabulary_path("piece_bpe_32k.model")
     n_keys = len(keys)
     result = [x for x in SCHEMA.split(", ") if pieces or not x.startswith("pieces ")]
+    result += ["exact boolean"] if exact else []
     names_out = [x.split()[0] for x in result]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary, alpha)
+        spell = Spelling(lat.lib) if exact else None
         for b in batches:
             for lo, hi in slices(utf8(b.column(n_keys))[1], PART_BYTES):
                 for at in range(lo, hi, 4000):
-                    yield from drawn(lat, b.slice(at, min(hi - at, 4000)))
+                    yield from drawn(lat, spell, b.slice(at, min(hi - at, 4000)))
 
-    def drawn(lat: Lattice, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def drawn(lat: Lattice, spell: Spelling | None, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
         seeds = [int.from_bytes(hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()) for key in names]
         found = Search(lat, part.column(n_keys).fill_null("").to_pylist(), np.array(seeds, _U), samples)
         width = starts_of(_utf8_sizes(found.codes)) if pieces else None
         raw = pa.py_buffer(found.codes.tobytes().decode("utf-32-le").encode()) if pieces else None
+        given = utf8(part.column(n_keys)) if spell else None
         for s, (value, log_p, taken) in enumerate(zip(found.value, found.log_p, found.taken, strict=True)):
             at = np.flatnonzero(taken >= 0)
             piece = found.edges.piece[taken[at]]
@@ -374,6 +377,15 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
                 included = np.where(found.bar > -np.inf, -np.expm1(-np.exp(np.minimum(log_p - np.where(found.bar > -np.inf, found.bar, 0.0), 50.0))), 1.0)
             live = pa.array(value > -np.inf)
             columns = [pa.array(np.full(len(value), s, np.int32)), lists, *texts, pa.array(log_p), pa.array(included)]
+            if spell:
+                read, stops = spell.read(ids, starts_of(size)[cuts])
+                same = np.diff(stops) == np.diff(given[1])
+                if same.all():
+                    wrong = np.searchsorted(given[1], np.flatnonzero(read != given[0]), "right") - 1
+                    same[wrong] = False
+                else:
+                    same = np.array([x and read[stops[i] : stops[i + 1]].tobytes() == given[0][given[1][i] : given[1][i + 1]].tobytes() for i, x in enumerate(same)])
+                columns.append(pa.array(same))
             out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keys)), *columns], [*keys, *names_out])
             yield out.filter(live)
 
@@ -382,6 +394,27 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
     return chosen.mapInArrow(run, f"{schema}, {', '.join(result)}")
 
 
+class Spelling:
+    """The bytes that ids stand for."""
+
+    def __init__(self, lib) -> None:
+        names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
+        spell = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        self.marked = np.array([p.startswith(SPACE) for p in names])
+        self.letters = np.frombuffer(b"".join(spell), np.uint8)
+        self.size = np.array([len(x) for x in spell], np.int32)
+        self.begin = starts_of(self.size)[:-1].astype(np.int32)
+
+    def read(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows end to end, and where each ends; the mark that begins a row's first piece is dropped."""
+        first = offs[:-1][np.diff(offs) > 0]
+        first = first[self.marked[ids[first]]]
+        a, n = self.begin[ids], self.size[ids]
+        a[first] += 1
+        n[first] -= 1
+        return self.letters[concat_ranges(a, n)], starts_of(n)[offs].astype(np.int64)
+
+
 def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """rows with the text that its ids spell: pieces joined, bytes put together, marks turned into spaces, the first one
     dropped; a column of the result's name is replaced. Any sample of a text gives the text back, but for marks that it
@@ -390,30 +423,17 @@ def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vo
     rows = rows.drop(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = lattice(vocabulary, ALPHA).lib
-        names = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
-        spell = [bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-        marked = np.array([p.startswith(SPACE) for p in names])
-        letters = np.frombuffer(b"".join(spell), np.uint8)
-        size = np.array([len(x) for x in spell])
-        begin = starts_of(size)[:-1]
+        spell = Spelling(lattice(vocabulary, ALPHA).lib)
         for whole in batches:
             at = whole.schema.get_field_index(ids_col)
             per = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(starts_of(per), PART_BYTES):
                 b = whole.slice(lo, hi - lo)
-                ids, offs = b.column(at).flatten().to_numpy(zero_copy_only=False), starts_of(per[lo:hi])
-                first = offs[:-1][per[lo:hi] > 0]
-                first = first[marked[ids[first]]]
-                a, n = begin[ids], size[ids]
-                a[first] += 1
-                n[first] -= 1
-                raw = letters[concat_ranges(a, n)]
-                text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(starts_of(n)[offs].astype(np.int64)), pa.py_buffer(raw))
+                raw, ends = spell.read(b.column(at).flatten().to_numpy(zero_copy_only=False), starts_of(per[lo:hi]))
+                text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(ends), pa.py_buffer(raw))
                 try:
                     text.validate(full=True)
                 except pa.ArrowInvalid:
-                    ends = starts_of(n)[offs]
                     text = pa.array([raw[x:y].tobytes().decode(errors="replace") for x, y in zip(ends, ends[1:], strict=False)], pa.large_string())
                 text = pc.if_else(b.column(at).is_valid(), text, pa.scalar(None, pa.large_string())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, text_col])

@@ -12,7 +12,7 @@ from . import lm_score, quality, warc
 from .embed_dedup import near_vectors
 from .minhash import near_documents
 from .packing import pack
-from .pieces import decoded, sampled_pieces
+from .pieces import sampled_pieces
 from .suffix_dedup import removal_digests
 from .token_store import read_tokens, token_digests, write_tokens
 from .topk import top_k
@@ -51,11 +51,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples of whole texts; exact says that decoding gives the text back, by its length and a 64-bit hash."""
-    print_of = lambda c: F.struct(F.octet_length(c).alias("bytes"), F.xxhash64(c).alias("hash"))
-    rows = rows.select(*keys, F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.to_json(print_of("text")))
-    out = decoded(sampled_pieces(rows, [*keys, "print"], "text", pieces=False))
-    return out.select(*keys, "sample", "ids", "log_p", "inclusion", (F.to_json(print_of("decoded")) == F.col("print")).alias("exact"))
+    """Samples of whole texts; exact says that decoding gives the text back."""
+    return sampled_pieces(rows.select(*keys, "text"), keys, pieces=False, exact=True)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
