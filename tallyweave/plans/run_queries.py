@@ -359,3 +359,11 @@ def ws_strict_coverage(spark, sf):
     extra = need.agg(F.lit("xx").alias("ws_id"), F.lit("vernacular").alias("kind"))
     mapping = need.where("ws_id = 'en'").unionByName(extra).select(C("ws_id").alias("source_ws"), "kind", C("ws_id").alias("target_ws"), F.lit(False).alias("created"))
     return wsmap.coverage(need, mapping, strict=True).select("source_ws", "kind", "problem")
+
+
+@query("""SELECT 'orders-' || k AS guid, string_agg(DISTINCT v, ',' ORDER BY v) AS arr FROM (SELECT l_orderkey AS k, l_suppkey::VARCHAR AS v FROM lineitem UNION ALL SELECT l_orderkey, l_partkey::VARCHAR FROM lineitem) GROUP BY k""")
+def merge_set_union(spark, sf):
+    """Sets of suppliers and of parts under one guid: their union, in order."""
+    items = read(spark, sf, "lineitem").groupBy(F.concat(F.lit("orders-"), C("l_orderkey").cast("string")).alias("guid"))
+    both = items.agg(*(F.collect_set(C(c).cast("string")).alias(c) for c in ("l_suppkey", "l_partkey")))
+    return both.select("guid", F.array_join(values.merge_sets(C("l_suppkey"), C("l_partkey")), ",").alias("arr"))
