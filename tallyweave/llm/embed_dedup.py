@@ -15,8 +15,8 @@ from .common import stage
 from .components import connected_components
 from .vectors import blocked, by_length, dimension_steps, lists, matrix, rotations, suffix_norms, usable
 
-#: Rows of a tile, and the width of a tile along the first axis.
-TILE, WIDTH = 1024, 0.1
+#: Rows of a tile, its width along an axis, and the leading axes along which tiles are cut.
+TILE, WIDTH, AXES = 1024, 0.1, 6
 FOUND = "kind int, a long, b long"
 
 
@@ -83,15 +83,49 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(int(names[r]), int(n)) for r, n in zip(label, names, strict=True) if names[r] != n]
 
 
+def _cells(tiles: DataFrame) -> DataFrame:
+    """(label, dim, bins, cell): the fewest leading axes by which a cell has at most TILE rows, or all AXES."""
+    cells = stage(tiles.groupBy("label", "dim", "bins").agg(F.count("*").alias("n")), "cells")
+    out = cells
+    for d in range(1, AXES):
+        out = out.withColumn(f"p{d}", F.slice("bins", 1, d))
+        sums = cells.groupBy("label", "dim", F.slice("bins", 1, d).alias(f"p{d}")).agg(F.sum("n").alias(f"n{d}"))
+        out = out.join(sums, ["label", "dim", f"p{d}"])
+    cell = F.col("bins")
+    for d in range(AXES - 1, 0, -1):
+        cell = F.when(F.col(f"n{d}") <= TILE, F.col(f"p{d}")).otherwise(cell)
+    return out.select("label", "dim", "bins", F.array_join(cell.cast("array<string>"), ",").alias("cell"))
+
+
+def _near_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(label, dim, cell, salt, cell2, salt2): pairs of tiles whose boxes along the leading axes are near enough for a link.
+
+    Unit vectors of that cosine lie no farther apart than sqrt(2 - 2 * threshold), and rotations keep distances. Tiles meet
+    by their bin along the first axis; what is joined is a row for each tile, not for each vector."""
+    at = lambda i: F.coalesce(F.get("r", F.lit(i)), F.lit(0.0))
+    ends = [f(at(i)).alias(f"{n}{i}") for i in range(AXES) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    kinds = stage(tiles.groupBy("label", "dim", "cell", "salt").agg(F.min(F.col("bins")[0]).alias("bin"), *ends), "kinds")
+    reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / WIDTH + 1e-9))
+    names = {c: f"{c}2" for c in ("cell", "salt", *(f"{n}{i}" for i in range(AXES) for n in ("lo", "hi")))}
+    other = kinds.withColumnsRenamed(names)
+    ours = kinds.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: o + F.col("bin"))))
+    gap = lambda i: F.greatest(F.col(f"lo{i}") - F.col(f"hi{i}2"), F.col(f"lo{i}2") - F.col(f"hi{i}"), F.lit(0.0))
+    apart = sum((gap(i) * gap(i) for i in range(1, AXES)), gap(0) * gap(0))
+    near = (apart <= 2 - 2 * threshold + 1e-9) & (F.struct("cell", "salt") <= F.struct(F.col("cell2").alias("cell"), F.col("salt2").alias("salt")))
+    return ours.join(other, ["label", "dim", "bin"]).where(near).select("label", "dim", "cell", "salt", "cell2", "salt2")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
-    Vectors link only within a label and length. An id that is given twice counts the links of all its vectors, and joins what
-    they link. Null or zero vectors, null or non-finite components, and null labels
-    link with nothing: n_links 0, their own component, kept. A null id gives nulls and kept false. Vectors of one label
-    that are equal in every component are one node with a weight, so a popular vector costs no pairs. Tiles are bins
-    along the first principal axis, salted to at most about TILE rows; only tiles near enough to hold a link meet. A
-    task sends a count for each vector and a spanning forest of its links, never all pairs."""
+    Vectors link only within a label and length. Null or zero vectors, null or non-finite components, and null labels link
+    with nothing: n_links 0, their own component, kept. A null id gives nulls and kept false. An id that is given twice
+    counts the links of all its vectors, and joins what they link. Other columns are left out.
+
+    Vectors of one label that are equal in every component are one node with a weight, so a popular vector costs no pairs.
+    Tiles are bins along the leading principal axes, as many as it takes to hold at most TILE rows, beyond AXES dealt by
+    salt; only tiles whose boxes are near enough to hold a link meet. A task sends a count for each vector and a spanning
+    forest of its links, never all pairs."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     units = stage(unit_vectors(vectors, id_col, vector_col, label_col), "units")
     nodes = units.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("v").alias("v"), F.min("u").alias("u"))
@@ -102,21 +136,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             for at, u in by_length(b.column(5), np.arange(b.num_rows)):
                 r = u @ turn[u.shape[1]] if u.shape[1] in turn else u
                 own = b.take(pa.array(at))
-                bins = np.floor(r[:, 0] / WIDTH).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*own.columns[:5], lists(r), pa.array(bins)], [*own.schema.names[:5], "r", "bin"])
-
-    schema = "node long, weight long, label string, dim long, v array<double>, r array<double>, bin long"
-    tiles = nodes.select("node", "weight", "label", "dim", "v", "u").mapInArrow(rotate, schema)
-    tiles = stage(blocked(tiles, ["label", "dim", "bin"], "node", TILE), "tiles")
-    kinds = tiles.select("label", "dim", "bin", "salt").distinct()
-    other = kinds.select("label", "dim", F.col("bin").alias("bin2"), F.col("salt").alias("salt2"))
-    reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / WIDTH + 1e-9))
-    near = (F.abs(F.col("bin") - F.col("bin2")) <= reach) & (F.struct("bin", "salt") <= F.struct("bin2", "salt2"))
-    pairs = kinds.join(other, ["label", "dim"]).where(near)
-    keys = ["label", "dim", "bin", "salt", "bin2", "salt2"]
+                bins = np.zeros((len(r), AXES), np.int64)
+                bins[:, : r.shape[1]] = np.floor(r[:, :AXES] / WIDTH)
+                yield pa.RecordBatch.from_arrays([*own.columns[:5], lists(r), lists(bins)], [*own.schema.names[:5], "r", "bins"])
+
+    schema = "node long, weight long, label string, dim long, v array<double>, r array<double>, bins array<long>"
+    tiles = stage(nodes.select("node", "weight", "label", "dim", "v", "u").mapInArrow(rotate, schema), "rotated")
+    tiles = tiles.join(_cells(tiles).hint("merge"), ["label", "dim", "bins"])
+    tiles = stage(blocked(tiles, ["label", "dim", "cell"], "node", TILE), "tiles")
+    pairs = stage(_near_tiles(tiles, threshold), "pairs")
+    keys = ["label", "dim", "cell", "salt", "cell2", "salt2"]
     columns = [F.col(c).alias(c) for c in (*keys, "node", "weight", "v", "r")]  # apart from the other side's
-    left = tiles.join(pairs, ["label", "dim", "bin", "salt"]).select(columns)
-    right = tiles.withColumnRenamed("bin", "bin2").withColumnRenamed("salt", "salt2").join(pairs, ["label", "dim", "bin2", "salt2"]).select(columns)
+    left = tiles.join(pairs, ["label", "dim", "cell", "salt"]).select(columns)
+    right = tiles.withColumnRenamed("cell", "cell2").withColumnRenamed("salt", "salt2").join(pairs, ["label", "dim", "cell2", "salt2"]).select(columns)
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
