@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tallyweave.model import ReconcileError
 from tallyweave.sources.scratch import stage
 
+#: Partitions whose offsets are broadcast (16 MB at the utmost); those of more are joined.
+MOST_PARTS = 1 << 20
+
 
 def walk_tree(objects: DataFrame) -> DataFrame:
     """(guid, depth, root) of every object that a root owns; objects: guid, owner_guid. Level by level, each a join of the
@@ -61,9 +64,10 @@ def _numbered(rows: DataFrame, base: int, level: int) -> DataFrame:
     parts = stage(rows.repartitionByRange("k1", "k2", "guid").withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = stage(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    offsets = F.broadcast(offsets) if offsets.count() <= MOST_PARTS else offsets.hint("merge")
     place = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2", "guid")) - 1
-    return parts.withColumn("place", place).join(F.broadcast(offsets), "part").select("guid", F.lit(level).alias("level"), (F.lit(base) + F.col("offset") + F.col("place")).alias("rank"))
+    return parts.withColumn("place", place).join(offsets, "part").select("guid", F.lit(level).alias("level"), (F.lit(base) + F.col("offset") + F.col("place")).alias("rank"))
 
 
 def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
