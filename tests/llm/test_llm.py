@@ -709,3 +709,21 @@ def test_quality_and_packing_stages_against_brute_force(spark):
         used[r.sequence_id] += r.length
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
     assert all((x == 1).all() for x in placed.values()) and all(n <= 2048 for n in used.values())
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    docs = documents(spark)
+    rows = docs.collect()
+    by_id, total = collections.defaultdict(list), collections.Counter()
+    for r, x in zip(rows, library_ids([r.text for r in rows]), strict=True):
+        by_id[r.doc_id].append(x)
+        total[r.doc_id] += len(x)
+    placed, inside = collections.Counter(), collections.defaultdict(list)
+    for r in packing.pack(docs).collect():
+        assert any(r.doc_tokens == len(x) and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in by_id[r.doc_id])
+        placed[r.doc_id] += r.length
+        inside[r.sequence_id].append((r.offset, r.length))
+    assert placed == total and None in placed
+    for runs in inside.values():
+        runs.sort()
+        assert [o for o, _ in runs] == [sum(n for _, n in runs[:i]) for i in range(len(runs))] and sum(n for _, n in runs) <= 2048
