@@ -27,7 +27,7 @@ from .common import BYTE_WORD, concat_ranges, mix, powers, slices, stage, starts
 LENGTH, GRAM = 200, 64
 #: Bytes handled at once in a pass over texts; bytes from which a suffix array takes no further group; units of one group in
 #: one suffix array.
-CHUNK, BLOCK, PART = 2 << 20, 1 << 20, 2048
+CHUNK, BLOCK, PART = 2 << 20, 256 << 10, 2048
 _U = np.uint64
 #: Low bits that hold a position while least k-grams are searched.
 _AT = _U((1 << 24) - 1)
