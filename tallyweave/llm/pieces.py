@@ -51,6 +51,12 @@ def _name(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.
     return (total[at + size] - total[at]) * down[at] + _U(size)
 
 
+def _whole(codes: np.ndarray) -> np.ndarray:
+    """``_name`` of every row of a matrix of characters."""
+    size = codes.shape[1]
+    return (mix(codes.astype(_U) + _U(1)) * powers(size + 1)[0][:size]).sum(1, dtype=_U) + _U(size)
+
+
 def _firsts(key: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
@@ -85,7 +91,7 @@ class Lattice:
         names = sorted(self.score, key=lambda p: (len(p), p))
         self.sizes = sorted({len(p) for p in names})
         codes = [_codes(p) for p in names]
-        key = np.array([_name(*_hashes(c), np.zeros(1, np.int64), len(c))[0] for c in codes], _U)
+        key = np.concatenate([np.zeros(0, _U), *(_whole(np.stack([c for c in codes if len(c) == size])) for size in self.sizes)])
         by = np.argsort(key)
         self.key = np.append(key[by], np.full(4, ~_U(0)))
         columns = ([self.id[p] for p in names], [self.score[p] for p in names], [len(c) for c in codes], [c[0] for c in codes], [c[-1] for c in codes])
@@ -138,7 +144,9 @@ class Lattice:
         start.append(bare), length.append(np.ones(len(bare), np.int32)), piece.append(np.full(len(bare), -1)), score.append(np.full(len(bare), self.least))
         start, length, piece, score = map(np.concatenate, (start, length, piece, score))
         # masses from the ends of units backwards, all units side by side
-        by = np.lexsort((start, left[start]))
+        order = np.argsort(start, kind="stable")  # of sorted runs, one for each length
+        deep = left[start[order]]
+        by = order[np.argsort(deep.astype(np.uint16) if deep.max(initial=0) < 1 << 16 else deep, kind="stable")]
         s, end, x = start[by], (start + length)[by], score[by]
         mass = np.zeros(n + 1)
         ends = np.zeros(n + 1, bool)
@@ -152,9 +160,8 @@ class Lattice:
             mass[s[a:b][at]] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
         cond = score + np.where(ends[start + length], 0.0, mass[start + length]) - mass[start]
         cond = np.round(cond * 2.0**32) * 2.0**-32  # so that sums are exact, whatever else is in the batch
-        by = np.argsort(start, kind="stable")
-        ptr = np.searchsorted(start[by], np.arange(n + 1))
-        return Edges(ptr, length[by], cond[by], piece[by])
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n))))
+        return Edges(ptr, length[order], cond[order], piece[order])
 
     def sample(self, text: str, k: int, rng: np.random.Generator, whole: bool = True) -> list[tuple[float, float, list[str]]]:
         """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first; without
