@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or that with as many underscores behind it as make it none of ``columns`` (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values end to end, and where each begins; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -89,19 +98,48 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 BYTE_WORD = mix(np.arange(1, 257, dtype=_U) * BASE)
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: a hash of each, its length in bytes, and how many each row has."""
+def _word_edges(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
     n = len(raw)
-    if lower:
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     inside = np.ones(n + 1, bool)
     inside[:n] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     inside[n] = False
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.concatenate(([False], inside[:-1]))
-    starts = np.flatnonzero(inside & (~before | edge))
-    ends = np.flatnonzero(before & (~inside | edge))
+    return np.flatnonzero(inside & (~before | edge)), np.flatnonzero(before & (~inside | edge))
+
+
+#: By number of bytes, which bits of a little-endian 64-bit word they fill.
+_FILLED = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+
+
+def word_names(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each word (A-Z in lower case), and how many words each row has.
+
+    Words of one length up to eight bytes have different names; those of up to 16 are two such words mixed, longer ones
+    keyed digests of all their bytes, so no form of a word makes names meet."""
+    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    starts, ends = _word_edges(raw, offs)
+    length = ends - starts
+    padded = np.concatenate((raw, np.zeros(16, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    low = np.ascontiguousarray(eight[starts]).view("<u8").ravel() & _FILLED[np.minimum(length, 8)]
+    names = mix(low * BASE + MIX_A)
+    wide = np.flatnonzero(length > 8)
+    high = np.ascontiguousarray(eight[starts[wide] + 8]).view("<u8").ravel() & _FILLED[np.minimum(length[wide] - 8, 8)]
+    names[wide] = mix(names[wide] + mix(high * BASE + MIX_B))
+    for i in np.flatnonzero(length > 16):
+        names[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=b"word").digest(), "little")
+    return mix(names + length.astype(_U)), np.diff(np.searchsorted(starts, offs))
+
+
+def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+``: a hash of each, its length in bytes, and how many each row has."""
+    n = len(raw)
+    if lower:
+        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    starts, ends = _word_edges(raw, offs)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(BYTE_WORD[raw] * up[:n], out=total[1:])

@@ -42,6 +42,12 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: st
     return rows.mapInArrow(run, "vec_id long, label string, dim long, same binary, v array<double>, u array<double>")
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, largest components from 0.5 to below 1: the same cosines to the last bit, whose squares neither
+    overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0.0))[1][:, None])
+
+
 def links(a: pd.DataFrame, b: pd.DataFrame, threshold: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with cosine >= threshold: partial sums over leading axes, dropped once the suffix norms bound the rest
     too low; what is left is decided by the cosine of the vectors as given. one: a and b are the same tile."""
@@ -57,7 +63,7 @@ def links(a: pd.DataFrame, b: pd.DataFrame, threshold: float, one: bool) -> tupl
         alive = np.triu(alive, 1)
     i, j = np.nonzero(alive)
     keep_i, keep_j = [], []
-    x, y = matrix(a.v), matrix(b.v)
+    x, y = scaled(matrix(a.v)), scaled(matrix(b.v))
     nx, ny = np.sqrt((x**2).sum(1)), np.sqrt((y**2).sum(1))
     for at in range(0, len(i), 1 << 17):
         s, t = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
@@ -119,7 +125,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     """vec_id, n_links, component_id, kept for each row.
 
     Vectors link only within a label and length. Null or zero vectors, null or non-finite components, and null labels link
-    with nothing: n_links 0, their own component, kept. A null id gives nulls and kept false. An id that is given twice
+    with nothing: n_links 0, their own component, kept. Components may be as large or small as doubles go. A null id gives nulls and kept false. An id that is given twice
     counts the links of all its vectors, and joins what they link. Other columns are left out.
 
     Vectors of one label that are equal in every component are one node with a weight, so a popular vector costs no pairs.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, mix, slices, stage, starts_of, utf8, word_hashes
+from .common import MIX_A, mix, slices, stage, starts_of, utf8, word_names
 from .components import connected_components
 
 WORDS, DEPTH, SMALL = 5, 4, 64
@@ -56,12 +56,12 @@ def proposed_for(percent: int) -> float:
 
 def shingles(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, ascending, end to end, and how many each row has."""
-    words, _, per = word_hashes(raw, offs)
+    words, per = word_names(raw, offs)
     n = len(offs) - 1
     if not len(words):
         return np.zeros(0, _U), np.zeros(n, np.int64)
     run = np.zeros(len(words), _U)
-    for i in range(WORDS):
+    for i in range(min(WORDS, len(words))):
         run[: len(words) - i] += mix(words[i:] + _PLACE[i])
     run = mix(run)
     at = starts_of(per)
@@ -97,7 +97,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, trees: int) -> tuple[np.ndarra
 
 
 def _sets(docs: DataFrame, trees: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a 128-bit name of the set), keys, sketch."""
+    """doc_id, mark, n_shingles, set_a, set_b (a 128-bit name of the set), keys, sketch of docs (doc_id, text, mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,11 +115,11 @@ def _sets(docs: DataFrame, trees: int) -> DataFrame:
                     for row, i in enumerate(some):
                         keys[i], sketch[i] = k[row], z[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), pa.array(counts), pa.array(names[0]), pa.array(names[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
+                    [b.column(0).slice(lo, n), b.column(2).slice(lo, n), pa.array(counts), pa.array(names[0]), pa.array(names[1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "set_a", "set_b", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, set_a long, set_b long, keys array<long>, sketch binary")
 
 
 def _join_labels(linked: np.ndarray) -> np.ndarray:
@@ -249,11 +249,15 @@ def _group_links(sets: list[np.ndarray], side: np.ndarray | None, percent: int =
 
 
 def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Settle each proposed group (rep, group) on full shingle sets; (a, b) edges of the true links' forest."""
-    texts = docs.join(groups.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")  # groups grow with the input
+    """Settle each proposed group (rep, doc_id, mark, grp) on full shingle sets; (a, b) edges of the true links' forest."""
+    texts = docs.join(groups.hint("merge"), ["doc_id", "mark"])  # groups grow with the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
+            reps = b.column(0).to_pylist()
+            b = b.filter(pa.array([r != p for r, p in zip(reps, [last, *reps], strict=False)], pa.bool_()))  # repeated rows lie together
+            last = reps[-1] if reps else last
             raw, offs = utf8(b.column(1))
             for lo, hi in slices(offs, 2 << 20):
                 s, counts = shingles(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
@@ -261,7 +265,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 sets = [s[a:z].tobytes() for a, z in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(8 * counts), pa.array(sets, pa.binary())], ["rep", "grp", "bytes", "shingles"])
 
-    full = stage(texts.select("doc_id", "text", "grp").mapInArrow(run, "rep long, grp long, bytes long, shingles binary"), "sets")
+    full = stage(texts.select("rep", "text", "grp").mapInArrow(run, "rep long, grp long, bytes long, shingles binary"), "sets")
     parts = stage(full.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("parts")), "parts")
     dealt = full.join(parts.hint("merge"), "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
 
@@ -310,16 +314,22 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null or blank texts have no shingles, link with nothing and are kept. Documents of equal shingle sets are one node
     from the start, so groups of copies cost nothing later. Rows repeated under one id come back each; if their texts
-    differ, each is a document of its own. A null id gives a null component and kept false. Other columns are left out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    differ, each is a document of its own, linked by its own text. A null id gives a null component and kept false. Words
+    may be of any length and bytes (see ``word_names``). Other columns are left out."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     sets = stage(_sets(rows, trees_for(percent)), "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     names = ["n_shingles", "set_a", "set_b"]
-    reps = some.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch"))
-    reps = stage(reps, "reps")
+    reps = some.groupBy(*names).agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch"))
+    reps = stage(reps.select(F.monotonically_increasing_id().alias("rep"), *names, "at.*", "keys", "sketch"), "reps")
     groups = connected_components(_proposals(reps, trees_for(percent), proposed_for(percent))).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    groups = reps.select("rep", "doc_id", "mark").join(groups.hint("merge"), "rep")
     links = connected_components(_confirm(groups, rows.where("doc_id IS NOT NULL"), percent)).withColumnRenamed("node", "rep")
-    known = reps.select(*names, "rep").join(links, "rep", "left").select(*names, F.coalesce("component", "rep").alias("of"))
+    linked = stage(reps.select("rep", "doc_id").join(links.hint("merge"), "rep"), "linked")
+    least = stage(linked.groupBy("component").agg(F.min("doc_id").alias("of")), "least")
+    linked = linked.select("rep", "component").join(least.hint("merge"), "component").select("rep", "of")
+    known = reps.select(*names, "rep", "doc_id").join(linked, "rep", "left").select(*names, F.coalesce("of", "doc_id").alias("of"))
     out = sets.select("doc_id", *names).join(known, names, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORD, concat_ranges, mix, powers, slices, stage, starts_of, utf8
+from .common import BYTE_WORD, concat_ranges, free_name, mix, powers, slices, stage, starts_of, utf8
 
 LENGTH, GRAM = 200, 64
 #: Bytes handled at once in a pass over texts; bytes from which a suffix array takes no further group; units of one group in
@@ -141,12 +141,13 @@ def repeated(data: list[bytes], windows: np.ndarray, weight: np.ndarray) -> tupl
     return total[classes] >= 2, at
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_suffix_k1, _suffix_k2: a name for the row by id and text (without an id by two hashes of the text). Rows that share it
-    have the same text, and so the same answer."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that name the row by id and text (without an id by two hashes of the text) and one that holds its
+    text, under names that docs doesn't have. Rows that share a name have the same text, and so the same answer."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1 = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(1), text))
-    return docs.withColumn("_suffix_k1", k1).withColumn("_suffix_k2", F.xxhash64(text)).withColumn("_suffix_text", text)
+    names = [free_name(docs.columns, x) for x in ("_suffix_k1", "_suffix_k2", "_suffix_text")]
+    return docs.withColumns(dict(zip(names, (k1, F.xxhash64(text), text), strict=True))), names
 
 
 #: A unit on its way to a suffix array: its group, the places of the anchor that the group's windows have (least and greatest),
@@ -250,7 +251,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_suffix_k1, _suffix_k2, _suffix_spans): for each text that has any, the byte ranges that repeated windows cover."""
+    """(k1, k2, spans): for each text that has any, the byte ranges that repeated windows cover. k1 is the id, k2 the text's
+    xxhash64 (without an id k1 is a hash of the text, too)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,8 +269,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     columns = [anchor, content, lead.astype(np.int32), n.astype(np.int32), s + a]
                     yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns)], ["k1", "k2", "a", "c", "lead", "n", "s"])
 
-    rows = _keyed(docs, id_col, text_col)
-    text = rows.select(F.col("_suffix_k1").alias("k1"), F.col("_suffix_k2").alias("k2"), F.col("_suffix_text").alias("text"))
+    rows, names = _keyed(docs, id_col, text_col)
+    text = rows.select(*(F.col(x).alias(y) for x, y in zip(names, ("k1", "k2", "text"), strict=True)))
     all_units = stage(text.mapInArrow(cut, UNIT), "units")
     # counts are written first, so that their join is one that Spark can split where an anchor is very common
     often = stage(all_units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
@@ -304,8 +306,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fit, known = _dealt_again(fetched.where(F.col("kinds") > PART).drop("kinds"))
     fit = _union([fetched.where(F.col("kinds") <= PART).drop("kinds"), *fit])
     spans += [*known, fit.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted, SPAN)]
-    listed = F.collect_set(F.struct("start", "stop")).alias("_suffix_spans")
-    return _union(spans).groupBy(F.col("k1").alias("_suffix_k1"), F.col("k2").alias("_suffix_k2")).agg(listed)
+    return _union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def _runs(offs: np.ndarray, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,9 +338,12 @@ def _inward(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return start, np.maximum(start, stop)
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    keyed = _keyed(docs, id_col, text_col)
-    return keyed.join(repeated_spans(docs, id_col, text_col).hint("merge"), ["_suffix_k1", "_suffix_k2"], "left")
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with its spans; the names of the columns that hold the text (null as empty) and the spans."""
+    keyed, (k1, k2, text) = _keyed(docs, id_col, text_col)
+    spans = free_name(keyed.columns, "_suffix_spans")
+    found = repeated_spans(docs, id_col, text_col).toDF(k1, k2, spans)
+    return keyed.join(found.hint("merge"), [k1, k2], "left"), text, spans
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +367,8 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [pa.array(np.diff(offs)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _joined(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col("_suffix_text").alias("text"), "_suffix_spans")
+    joined, text, spans = _joined(docs, id_col, text_col)
+    rows = joined.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(spans).alias("spans"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -386,4 +391,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pc.if_else(b.column(at).is_valid(), text, pa.scalar(None, pa.large_string())).cast(b.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _joined(docs, id_col, text_col).select(*names, "_suffix_spans").mapInArrow(run, docs.schema)
+    joined, _, spans = _joined(docs, id_col, text_col)
+    return joined.select(*names, spans).mapInArrow(run, docs.schema)

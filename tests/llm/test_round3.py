@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyweave.llm import byte_bpe, dialogue, importance
+from tallyweave.llm import byte_bpe, common, dialogue, embed_dedup, importance, minhash, suffix_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -246,3 +246,60 @@ def test_repair_of_a_long_conversation_and_of_none(spark):
     dropped = next(t for t in range(100) if zlib.crc32(f"5:{t}".encode()) % 20 == 0)
     row = dialogue.repair_report(spark.createDataFrame([(5, dropped, "user", "x.")], CONVERSATIONS)).first()
     assert tuple(row) == (5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_of_any_form_keep_apart(spark):
+    a, b = (thue_morse(2048, x) for x in (0, 1))
+    rows = [(1, a), (2, b), (3, a), (4, f"x {a} y z w v"), (5, f"x {b} y z w v"), (6, "12345678 12345678a"), (7, "12345678 12345678b"), (8, "12345678\x00 12345678"), (9, "12345678 12345678")]
+    got = {r.doc_id: r.component_id for r in minhash.near_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9}
+
+
+def test_word_names_follow_the_bytes():
+    rng = random.Random(2)
+    some = sorted({bytes(rng.choices(b"ab\x00\xff", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(4000)})
+    raw, offs = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+    names, per = common.word_names(raw, offs)
+    assert per.tolist() == [1] * len(some) and len(set(names.tolist())) == len(some)
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, text), (3, "quite another text of some eight words"), (2, text + " more"), (3, text), (2, "alone"), (None, text)]
+    got = minhash.near_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == sorted([(3, 196, 2, False), (3, 3, 3, True), (2, 197, 2, True), (3, 196, 2, False), (2, 1, 2, True), (None, 196, None, False)], key=str)
+
+
+def test_a_user_may_have_any_column(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=120)) for _ in range(3)]
+    texts = [words[0], words[0], words[1] + " " + words[2], words[2] + " end", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], f"{DOCS}, lang string, source string, n_chars long")
+    more = ["NEAR_DEDUP_ROW", "near_dedup_row_", "row", "of", "_suffix_K1", "_suffix_k2", "_suffix_text", "_suffix_spans", "mark", "grp", "rep", "k1", "spans", "order", "quality_score"]
+    docs = docs.withColumns({c: F.col("doc_id") * 100 + i for i, c in enumerate(more)})
+    same = lambda r: [r[c] for c in more] == [r.doc_id * 100 + i for i in range(len(more))]
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == {0, 2, 3, 4} and all(map(same, kept))
+    cut = corpus_pipeline.repeats_removed(spark, docs, "").collect()
+    assert {r.doc_id for r in cut} == set(range(5)) and all(map(same, cut))
+    assert suffix_dedup.removal_digests(docs).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_cosines_of_extreme_vectors(spark):
+    rows = [(1, "a", [1e200, 1e200]), (2, "a", [2e200, 2.1e200]), (3, "a", [1e-300, 1e-300]), (4, "a", [1e308, -1e308]), (5, "a", [5e-324, -5e-324]), (6, "b", [1e200, 1e200])]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("stage", ["quality_filter", "near_dedup", "repeats_removed", "packed"])
+def test_stages_take_an_empty_table(spark, stage):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], DOCS + ", lang string, source string, n_chars long")
+    assert getattr(corpus_pipeline, stage)(spark, docs, "/root/testdata/sf0.001").count() == 0
