@@ -29,8 +29,8 @@ from .tokens import vocabulary_path
 SAMPLES, ALPHA, SEED = 2, 0.002, 17
 SPACE = "▁"
 SCHEMA = "sample int, ids array<int>, pieces array<string>, log_p double, inclusion double"
-#: Bytes of text that are searched at once; a longer text stands alone.
-PART_BYTES = 256 << 10
+#: Bytes of text whose lattices are laid together, and of text that is searched at once; a longer text stands alone.
+LAID_BYTES, PART_BYTES = 1 << 20, 128 << 10
 _U = np.uint64
 
 
@@ -64,10 +64,12 @@ def _firsts(key: np.ndarray) -> np.ndarray:
 
 class Edges:
     """Lattices laid end to end: edges of node i are those from ptr[i] to ptr[i + 1]; cond is an edge's log-probability given
-    its start, length its characters, piece its id (-1: a character without a piece)."""
+    its start, rate the inverse of its probability, length its characters, piece its id (-1: a character without a piece)."""
 
     def __init__(self, ptr: np.ndarray, length: np.ndarray, cond: np.ndarray, piece: np.ndarray):
         self.ptr, self.length, self.cond, self.piece = ptr, length, cond, piece
+        with np.errstate(over="ignore"):
+            self.rate = np.exp(-cond)
 
 
 class Lattice:
@@ -160,13 +162,13 @@ class Lattice:
             mass[s[a:b][at]] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
         cond = score + np.where(ends[start + length], 0.0, mass[start + length]) - mass[start]
         cond = np.round(cond * 2.0**32) * 2.0**-32  # so that sums are exact, whatever else is in the batch
-        ptr = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n))))
-        return Edges(ptr, length[order], cond[order], piece[order])
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n)))).astype(np.int32)
+        return Edges(ptr, length[order], cond[order], piece[order].astype(np.int32))
 
     def sample(self, text: str, k: int, rng: np.random.Generator, whole: bool = True) -> list[tuple[float, float, list[str]]]:
         """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first; without
         ``whole`` the last one, from which only the perturbed value is wanted, isn't followed and has no pieces."""
-        found = Search(self, [text], np.array([rng.integers(1 << 63)], _U), k + 1 if whole else k)
+        found = Search(Laid(self, [text]), 0, 1, np.array([rng.integers(1 << 63)], _U), k + 1 if whole else k)
         marked, out = "".join(self.units(text)), []
         for s in range(len(found.value)):
             if found.value[s][0] > -np.inf:
@@ -175,14 +177,47 @@ class Lattice:
         return out if whole or found.bar[0] == -np.inf else [*out, (float(found.bar[0]), 0.0, [])]
 
 
+class Laid:
+    """Lattices of the different units of many texts, and each character's node in them.
+
+    codes are the texts' characters end to end, row the text of each, offs where texts begin; begin and end bound the units,
+    unit is the unit of each character."""
+
+    def __init__(self, lattice: Lattice, texts: Sequence[str]):
+        codes = [_codes((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
+        self.offs = starts_of(np.array([len(c) for c in codes], np.int64)).astype(np.int64)
+        self.codes = np.concatenate([np.zeros(0, np.uint32), *codes])
+        mark = self.codes == ord(SPACE)
+        opens = mark & ~np.concatenate(([False], mark[:-1]))
+        opens[self.offs[:-1][np.diff(self.offs) > 0]] = True
+        begin = np.flatnonzero(opens)
+        size = np.diff(np.append(begin, len(self.codes)))
+        total, down = _hashes(self.codes)
+        name = (total[begin + size] - total[begin]) * down[begin] + size.astype(_U)
+        _, first, kind = np.unique(name, return_index=True, return_inverse=True)
+        inside = np.arange(len(self.codes)) - np.repeat(begin, size)
+        if (self.codes != self.codes[np.repeat(begin[first][kind], size) + inside]).any():  # two units of one hash
+            first, kind = np.arange(len(begin)), np.arange(len(begin))
+        offs = starts_of(size[first])
+        self.edges = lattice.edges(self.codes[concat_ranges(begin[first], size[first])], offs)
+        self.node = (np.repeat(offs[:-1][kind], size) + inside).astype(np.int32)
+        self.begin, self.end = begin, begin + size
+        self.unit = np.repeat(np.arange(len(begin)), size)
+
+
 #: What a unit of the place in a seed's sequence adds to its hash.
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
+def _exponential(key: np.ndarray) -> np.ndarray:
+    """A standard exponential draw for each key; minus its log is a Gumbel draw."""
+    u = (mix(key) >> _U(11)).astype(float)
+    return -np.log((u + 0.5) * 2.0**-53)
+
+
 def _gumbel(key: np.ndarray) -> np.ndarray:
     """A standard Gumbel draw for each key."""
-    u = (mix(key) >> _U(11)).astype(float)
-    return -np.log(-np.log((u + 0.5) * 2.0**-53))
+    return -np.log(_exponential(key))
 
 
 class Search:
@@ -194,13 +229,14 @@ class Search:
     The frontier of a text holds no more nodes than paths are still wanted: each opened node gives a path, so others are
     never opened. A node is a place in the text, the log-probability up to there, and the sample it leaves at some place."""
 
-    def __init__(self, lattice: Lattice, texts: Sequence[str], seeds: np.ndarray, k: int):
-        codes = [_codes((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
-        self.offs = starts_of(np.array([len(c) for c in codes], np.int64)).astype(np.int64)
-        self.codes = np.concatenate([np.zeros(0, np.uint32), *codes])
-        n, rows = len(self.codes), len(texts)
+    def __init__(self, laid: Laid, lo: int, hi: int, seeds: np.ndarray, k: int):
+        """Search the texts from ``lo`` to ``hi`` of those that were laid; places count from the first of them."""
+        a, b = laid.offs[lo], laid.offs[hi]
+        u, v = np.searchsorted(laid.begin, (a, b))
+        self.offs, self.codes, self.node, self.edges = laid.offs[lo : hi + 1] - a, laid.codes[a:b], laid.node[a:b], laid.edges
+        self.begin, self.end, self.unit = laid.begin[u:v] - a, laid.end[u:v] - a, laid.unit[a:b] - u
+        n, rows = len(self.codes), hi - lo
         self.row = np.repeat(np.arange(rows), np.diff(self.offs))
-        self._lay(lattice)
         self.seed = mix(seeds)
         self.value, self.log_p, self.taken = [], [], []
         value, at, log_p = (np.full((rows, 1), x) for x in (-np.inf, 0, 0.0))
@@ -229,25 +265,6 @@ class Search:
             value, at, log_p, leaves, over, edge = (np.take_along_axis(c, by, 1) for c in (value, at, log_p, leaves, over, edge))
         self.bar = value[:, 0] if k else np.full(rows, -np.inf)
 
-    def _lay(self, lattice: Lattice) -> None:
-        """Lattices of the different units of the batch, and each character's node in them."""
-        mark = self.codes == ord(SPACE)
-        opens = mark & ~np.concatenate(([False], mark[:-1]))
-        opens[self.offs[:-1][np.diff(self.offs) > 0]] = True
-        begin = np.flatnonzero(opens)
-        size = np.diff(np.append(begin, len(self.codes)))
-        total, down = _hashes(self.codes)
-        name = (total[begin + size] - total[begin]) * down[begin] + size.astype(_U)
-        _, first, kind = np.unique(name, return_index=True, return_inverse=True)
-        inside = np.arange(len(self.codes)) - np.repeat(begin, size)
-        if (self.codes != self.codes[np.repeat(begin[first][kind], size) + inside]).any():  # two units of one hash
-            first, kind = np.arange(len(begin)), np.arange(len(begin))
-        offs = starts_of(size[first])
-        self.edges = lattice.edges(self.codes[concat_ranges(begin[first], size[first])], offs)
-        self.node = np.repeat(offs[:-1][kind], size) + inside
-        self.begin, self.end = begin, begin + size
-        self.unit = np.repeat(np.arange(len(begin)), size)
-
     def _follow(self, turn: int, g: np.ndarray, begin: np.ndarray, base: np.ndarray, taken: np.ndarray, room: int):
         """Follow each text's best path from ``begin`` on, unit by unit side by side, writing its edges to ``taken``.
 
@@ -267,18 +284,22 @@ class Search:
             flat = concat_ranges(e.ptr[node], degree)
             row = self.row[at]
             key = self.seed[row] + (((at - self.offs[row]) * 64).astype(_U) + _U((turn + 1) << 52)) * _STEP
-            drawn = e.cond[flat] + _gumbel(np.repeat(key, degree) + e.length[flat].astype(_U) * _STEP)
+            # the greatest of log-probabilities with Gumbel noise is the least of exponential draws by rate
+            noise = _exponential(np.repeat(key, degree) + e.length[flat].astype(_U) * _STEP)
+            drawn = noise * e.rate[flat]
             head = starts_of(degree)[:-1]
-            top = np.maximum.reduceat(drawn, head)
-            each = np.repeat(top, degree)
-            others = drawn < each
-            best = np.flatnonzero(~others)
+            above = drawn - np.repeat(np.minimum.reduceat(drawn, head), degree)
+            others = np.flatnonzero(above > 0)
+            best = np.flatnonzero(above <= 0)
             if len(best) > len(at):  # equal values: the first counts
                 of = np.repeat(np.arange(len(at)), degree)
                 best = best[_firsts(of[best])]
             chosen = flat[best]
             taken[at] = chosen
-            steps.append((np.repeat(at, degree)[others], flat[others], drawn[others], each[others]))
+            behind = np.log(above[others])
+            if len(wild := np.flatnonzero(np.isinf(behind))):  # rates beyond doubles
+                behind[wild] = np.log(noise[others[wild]]) - e.cond[flat[others[wild]]]
+            steps.append((np.repeat(at, degree)[others], flat[others], behind))
             at = at + e.length[chosen]
             on = at < stop
             at, stop = at[on], stop[on]
@@ -287,12 +308,11 @@ class Search:
         step[fresh] = e.cond[taken[fresh]]
         run = np.concatenate(([0.0], np.cumsum(step)))  # sums up to a place, of the parts that were followed
         total = base + run[self.offs[1:]] - run[self.offs[:-1]]
-        place, edge, drawn, top = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        place, edge, behind = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         row = self.row[place]
         before = base[row] + run[place] - run[self.offs[row]]
         # a sibling's own maximum is g - log(1 + exp(v)), given that the greatest of all is g
-        with np.errstate(divide="ignore"):
-            v = (g[row] - before) - drawn + np.log(1.0 - np.exp(drawn - top))
+        v = (g[row] - before) + behind
         out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
         rest = np.arange(len(v))
         for r in range(room):
@@ -359,14 +379,17 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
         lat = lattice(vocabulary, alpha)
         spell = Spelling(lat.lib) if exact else None
         for b in batches:
-            for lo, hi in slices(utf8(b.column(n_keys))[1], PART_BYTES):
-                for at in range(lo, hi, 4000):
-                    yield from drawn(lat, spell, b.slice(at, min(hi - at, 4000)))
-
-    def drawn(lat: Lattice, spell: Spelling | None, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            offs = utf8(b.column(n_keys))[1]
+            for first, last in slices(offs, LAID_BYTES):
+                laid = Laid(lat, b.column(n_keys).slice(first, last - first).fill_null("").to_pylist())
+                for lo, hi in slices(offs[first : last + 1], PART_BYTES):
+                    for at in range(lo, hi, 4000):
+                        yield from drawn(lat, spell, laid, at, b.slice(first + at, min(hi - at, 4000)))
+
+    def drawn(lat: Lattice, spell: Spelling | None, laid: Laid, at: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)
         seeds = [int.from_bytes(hashlib.blake2b(repr((SEED, *key)).encode(), digest_size=8).digest()) for key in names]
-        found = Search(lat, part.column(n_keys).fill_null("").to_pylist(), np.array(seeds, _U), samples)
+        found = Search(laid, at, at + len(part), np.array(seeds, _U), samples)
         width = starts_of(_utf8_sizes(found.codes)) if pieces else None
         raw = pa.py_buffer(found.codes.tobytes().decode("utf-32-le").encode()) if pieces else None
         given = utf8(part.column(n_keys)) if spell else None
