@@ -5,12 +5,16 @@ from __future__ import annotations
 import heapq
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.model import ReconcileError
-from tallyweave.sources.scratch import stage
+from tallyweave.operators.planning import union
+from tallyweave.sources.scratch import bucketed, stage
 
+#: Pieces of a level up to which their ids stand in the filters as literals.
+LITERALS = 512
 #: Partitions whose offsets are broadcast (16 MB at the utmost); those of more are joined.
 MOST_PARTS = 1 << 20
 
@@ -37,37 +41,122 @@ def rooted(objects: DataFrame, roots: DataFrame) -> DataFrame:
     return walk_tree(own.unionByName(roots.select("guid", F.lit(None).cast("string").alias("owner_guid"))))
 
 
-def walk(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(guid, level, rank): breadth-first closure of seeds (guid, ord) over edges (from_guid, to_guid, pos).
-
-    rank is the visit order: seeds in theirs; then by the first parent's rank and the place in its list. Each level is a
-    join of the frontier with the edges and an anti join with what was seen, written to the shared folder, so plans stay
-    short; cycles end because nothing is visited twice. Ranks of a level are its order among all earlier levels, kept as a
-    sort key (level, parent's key, pos) and numbered by range-partitioned sort, without one task that holds a level."""
-    first = seeds.groupBy("guid").agg(F.min("ord").alias("ord"))
-    edges = stage(edges.select("from_guid", "to_guid", "pos"), "edges")
-    frontier = stage(_numbered(first.select("guid", F.col("ord").cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")), 0, 0), "frontier")
-    seen, level = frontier, 0
-    while (n := frontier.count()) > 0:
-        base = n if level == 0 else base + n
-        level += 1
-        hits = edges.join(frontier.select(F.col("guid").alias("from_guid"), "rank"), "from_guid")
+class Runs:
+    """Rows by guid that grow level by level: bucketed tables, of which EIGHT of one size are merged into one, and up to HELD
+    last rows that came in small lots. A row is rewritten a logarithmic number of times, and looking up ids shuffles none."""
+
+    EIGHT, HELD = 8, 4096
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.tiers: list[list[DataFrame]] = [[]]
+        self.held: list[tuple] = []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Keep a table; gives it back as it was written."""
+        run = bucketed(rows, "guid", "run")
+        self._file(run, 0)
+        return run
+
+    def _file(self, run: DataFrame, tier: int) -> None:
+        while len(self.tiers) <= tier:
+            self.tiers.append([])
+        self.tiers[tier].append(run)
+        if len(self.tiers[tier]) >= self.EIGHT:
+            whole, self.tiers[tier] = union(self.tiers[tier]), []
+            self._file(bucketed(whole, "guid", "run"), tier + 1)
+
+    def put(self, rows: list[tuple]) -> None:
+        """Keep a few rows, guid first."""
+        self.held += rows
+        if len(self.held) > self.HELD:
+            self.add(self.spark.createDataFrame(self.held, self.schema))
+            self.held = []
+
+    def tables(self) -> list[DataFrame]:
+        return [*(r for tier in self.tiers for r in tier), *([self.spark.createDataFrame(self.held, self.schema)] if self.held else [])]
+
+    def of(self, ids: list[str]) -> list[tuple]:
+        """All rows of a few ids."""
+        wanted = set(ids)
+        found = [r for r in self.held if r[0] in wanted]
+        runs = [r.where(F.col("guid").isin(ids)) for tier in self.tiers for r in tier]
+        return found + ([tuple(r) for r in union(runs).collect()] if runs else [])
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """rows whose guid isn't here: shuffled once, and held against one table after the other."""
+        for t in self.tables():
+            rows = rows.join(t.select("guid"), "guid", "left_anti")
+        return rows
+
+    def touching(self, rows: DataFrame) -> list[DataFrame]:
+        """The rows here of the guids in ``rows``, table by table."""
+        ids = rows.select("guid")
+        return [t.join(ids, "guid", "left_semi") for t in self.tables()]
+
+    def all(self) -> DataFrame:
+        return union(self.tables()) if self.tables() else self.spark.createDataFrame([], self.schema)
+
+
+def few(rows: DataFrame) -> list[Row] | None:
+    """The rows if they are at most LITERALS, else None."""
+    head = rows.limit(LITERALS + 1).collect()
+    return head if len(head) <= LITERALS else None
+
+
+def walk(seeds: DataFrame, edges: DataFrame, ranked: bool = True) -> DataFrame:
+    """(guid, level, rank): breadth-first closure of seeds (guid, ord) over edges (from_guid, to_guid, pos); without ``ranked``
+    rank is null. Null ids are ignored.
+
+    rank is the visit order: seeds in theirs; then by the first parent's rank and the place in its list. Edges are bucketed
+    by their start, so a level joins them without shuffling them; a level of at most LITERALS pieces asks for these alone,
+    which reads their buckets only, writes nothing and so costs what it reaches. What was seen is kept in ``Runs``. Cycles end
+    because nothing is visited twice. Ranks of a wide level are numbered by range-partitioned sort."""
+    spark = edges.sparkSession
+    table = bucketed(edges.select("from_guid", "to_guid", "pos").where("from_guid IS NOT NULL AND to_guid IS NOT NULL"), "from_guid", "edges")
+    seen = Runs(spark, "guid string, level int, rank long")
+    fresh = seeds.where("guid IS NOT NULL").groupBy("guid").agg(F.min("ord").cast("long").alias("k1")).withColumn("k2", F.lit(0).cast("long"))
+    base, wide = 0, True
+    for level in count():
+        fresh = stage(fresh, "reached") if wide else fresh
+        rows = few(fresh)
+        if rows is not None:
+            known = {r[0] for r in seen.of([r.guid for r in rows])} if level else set()
+            order = sorted((r for r in rows if r.guid not in known), key=lambda r: (*((k is not None, k or 0) for k in (r.k1, r.k2)), r.guid.encode()))
+            new = [(r.guid, level, base + i if ranked else None) for i, r in enumerate(order)]
+            if not new:
+                break
+            seen.put(new)
+            frontier = F.broadcast(spark.createDataFrame(new, seen.schema).select(F.col("guid").alias("from_guid"), "rank"))
+            hits, n, wide = table.where(F.col("from_guid").isin([r[0] for r in new])).join(frontier, "from_guid"), len(new), False
+        else:
+            new = seen.without(fresh)
+            new = _numbered(new, base, level) if ranked else new.select("guid", F.lit(level).alias("level"), F.lit(None).cast("long").alias("rank"))
+            run = seen.add(new)
+            n = run.count()
+            if not n:
+                break
+            hits, wide = table.join(run.select(F.col("guid").alias("from_guid"), "rank"), "from_guid"), True
+        base += n
         best = hits.groupBy(F.col("to_guid").alias("guid")).agg(F.min(F.struct(F.col("rank").alias("k1"), F.col("pos").cast("long").alias("k2"))).alias("k"))
-        new = best.join(seen.select("guid"), "guid", "left_anti").select("guid", "k.k1", "k.k2")
-        frontier = stage(_numbered(new, base, level), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen.select("guid", "level", "rank")
+        fresh = best.select("guid", "k.k1", "k.k2")
+    return seen.all().select("guid", "level", "rank")
 
 
 def _numbered(rows: DataFrame, base: int, level: int) -> DataFrame:
-    """rows with rank = base + position by (k1, k2, guid): sorted ranges, numbered with the sizes of those before."""
-    parts = stage(rows.repartitionByRange("k1", "k2", "guid").withColumn("part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    offsets = stage(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    """rows with rank = base + position by (k1, k2, guid)."""
+    return placed(rows, ["k1", "k2", "guid"], "place").select("guid", F.lit(level).alias("level"), (F.lit(base) + F.col("place")).alias("rank"))
+
+
+def placed(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """rows with their position from 0 in ``order``: sorted ranges, numbered with the sizes of those before."""
+    parts = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    offsets = stage(sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")), "offsets")
     offsets = F.broadcast(offsets) if offsets.count() <= MOST_PARTS else offsets.hint("merge")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("k1", "k2", "guid")) - 1
-    return parts.withColumn("place", place).join(offsets, "part").select("guid", F.lit(level).alias("level"), (F.lit(base) + F.col("offset") + F.col("place")).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_place", place).join(offsets, "_part").withColumn(column, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
 def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,25 +165,115 @@ def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> Data
     return hits.join(seeds.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti").select(F.col("to_guid").alias("guid"), F.col("from_guid").alias("parent"), "pos")
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(guid, level): 0 for pieces that depend on nothing, else one more than their deepest dependency; null in or behind a
-    cycle. Pieces are peeled off level by level with joins until none is ready; more than ``most`` levels are refused."""
-    left = nodes.select("guid").distinct()
-    open_edges = edges.select("from_guid", "to_guid").distinct().join(left.select(F.col("guid").alias("to_guid")), "to_guid", "left_semi")
-    done = None
+def peeled(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(guid, level, top) of nodes (guid, r) that lie neither in nor behind a cycle of edges (from_guid needs to_guid).
+
+    level is 0 for what needs nothing, else one more than the deepest need; top is the greatest r among a node and all that it
+    needs, directly or not. Needs that a level fulfils are counted for those that have them; a node is next when its count is
+    full. A wide level is one write of the level and one of its counts, a small one (LITERALS) none. More than ``most`` levels
+    are refused."""
+    spark = nodes.sparkSession
+    nodes = stage(nodes.select("guid", "r").where("guid IS NOT NULL").dropDuplicates(["guid"]), "nodes")
+    ends = lambda c: nodes.select(F.col("guid").alias(c))
+    need = stage(edges.select("from_guid", "to_guid").distinct().join(ends("to_guid"), "to_guid", "left_semi").join(ends("from_guid"), "from_guid", "left_semi"), "needs")
+    totals = need.groupBy("from_guid").agg(F.count("*").alias("total"))
+    table = bucketed(need.join(totals, "from_guid").join(nodes.select(F.col("guid").alias("from_guid"), "r"), "from_guid"), "to_guid", "needs")
+    kind = nodes.schema["r"].dataType.simpleString()
+    done, counts = Runs(spark, f"guid string, level int, top {kind}"), Runs(spark, f"guid string, n long, top {kind}")
+    ready = nodes.join(totals.select(F.col("from_guid").alias("guid")), "guid", "left_anti").select("guid", F.col("r").alias("top"))
+    small: list[tuple] | None = None
     for level in count():
-        ready = stage(left.join(open_edges.select(F.col("from_guid").alias("guid")), "guid", "left_anti").withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            break
+        if small is None:
+            run = bucketed(ready.select("guid", F.lit(level).alias("level"), "top"), "guid", "level")
+            if run.isEmpty():
+                break
+            done._file(run, 0)
+            rows = few(run)
+            frontier = run
+        else:
+            rows = [Row(guid=g, level=level, top=top) for g, top in small]
+            if not rows:
+                break
+            done.put([(r.guid, level, r.top) for r in rows])
+            frontier = F.broadcast(spark.createDataFrame([(r.guid, level, r.top) for r in rows], done.schema))
         if level == most:
             raise ReconcileError(f"pieces lie deeper than {most} levels")
-        done = ready if done is None else done.unionByName(ready)
-        if level % 50 == 49:
-            done = stage(done, "done")  # plans stay short
-        left = stage(left.join(ready, "guid", "left_anti"), "left")
-        open_edges = stage(open_edges.join(ready.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti"), "edges")
-    rest = left.select("guid", F.lit(None).cast("int").alias("level"))
-    return rest if done is None else done.unionByName(rest)
+        own = table if rows is None else table.where(F.col("to_guid").isin([r.guid for r in rows]))
+        met = own.join(frontier.select(F.col("guid").alias("to_guid"), "top"), "to_guid")
+        hits = met.groupBy(F.col("from_guid").alias("guid")).agg(F.count("*").alias("n"), F.max("top").alias("top"), F.any_value("total").alias("total"), F.any_value("r").alias("r"))
+        some = few(hits) if rows is not None else None
+        if some is not None:
+            before: dict[str, list] = {}
+            for g, n, top in counts.of([r.guid for r in some]):
+                before.setdefault(g, []).append((n, top))
+            counts.put([(r.guid, r.n, r.top) for r in some])
+            full = [r for r in some if r.n + sum(n for n, _ in before.get(r.guid, ())) == r.total]
+            small = [(r.guid, max([r.r, r.top, *(top for _, top in before.get(r.guid, ()))])) for r in full]
+            continue
+        small = None
+        hits = stage(hits, "hits")
+        sums = union([hits.select("guid", "n", "top"), *counts.touching(hits)]).groupBy("guid").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        ready = hits.select("guid", "total", "r").join(sums, "guid").where("n = total").select("guid", F.greatest("r", "top").alias("top"))
+        ready = stage(ready, "ready")
+        counts.add(hits.select("guid", "n", "top"))
+    return done.all()
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(guid, level): 0 for pieces that depend on nothing, else one more than their deepest dependency; null in or behind a
+    cycle. More than ``most`` levels are refused."""
+    own = nodes.select("guid").where("guid IS NOT NULL").distinct()
+    found = peeled(own.withColumn("r", F.lit(0)), edges, most).select("guid", "level")
+    return found.unionByName(own.join(found, "guid", "left_anti").select("guid", F.lit(None).cast("int").alias("level")))
+
+
+def dependency_places(ranked: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(guid, place): the order of ``dependency_order`` for ranked (guid, rank) and edges (from_guid needs to_guid), at any size.
+
+    Taking ready pieces by rank, all that has nothing above a rank within it and its needs comes before anything that has. So
+    pieces sort by the greatest (rank, guid) among themselves and their needs, their top. Of the pieces of one top, the one
+    that has this rank comes first. Where no need is left among the others, they follow by rank; where some are, a heap orders
+    them, a task for each top; with more than ``most`` pieces and needs, they are taken apart by their own tops once more. Pieces
+    in or behind cycles come last, by rank. One range sort by these keys numbers all."""
+    own = stage(ranked.select("guid", F.col("rank").cast("long").alias("rank")).where("guid IS NOT NULL").groupBy("guid").agg(F.min("rank").alias("rank")), "ranked")
+    rank_of = F.struct("rank", "guid")
+    tops = stage(peeled(own.select("guid", rank_of.alias("r")), edges), "tops")
+    work = own.join(tops.select("guid", "top"), "guid").select("guid", "rank", F.array("top").alias("key"))
+    key_type = work.schema["key"].dataType.simpleString()
+    parts = [own.join(tops.select("guid"), "guid", "left_anti").select("guid", "rank", F.array().cast(key_type).alias("key"), F.lit(0).cast("long").alias("step"), F.lit(1).alias("cyclic"))]
+    while True:
+        work = stage(work, "work")
+        head = F.element_at("key", -1) == rank_of
+        parts.append(work.where(head).select("guid", "rank", "key", F.lit(0).cast("long").alias("step"), F.lit(0).alias("cyclic")))
+        rest = work.where(~head)
+        at = lambda c: rest.select(F.col("guid").alias(c), F.col("key").alias(f"{c}_key"))
+        edges = edges.select("from_guid", "to_guid").join(at("from_guid"), "from_guid").join(at("to_guid"), "to_guid").where("from_guid_key = to_guid_key")
+        edges = stage(edges.select("from_guid", "to_guid", F.col("from_guid_key").alias("key")).distinct(), "inner")
+        loads = edges.groupBy("key").agg(F.count("*").alias("needs"))
+        sizes = stage(rest.groupBy("key").agg(F.count("*").alias("pieces")).join(loads, "key", "left").select("key", (F.col("pieces") + F.col("needs")).alias("load")), "loads")
+        rest = stage(rest.join(sizes, "key"), "rest")
+        parts.append(rest.where("load IS NULL").select("guid", "rank", "key", F.lit(1).cast("long").alias("step"), F.lit(0).alias("cyclic")))
+        small = sizes.where(F.col("load") <= most).select("key")
+        pieces = rest.where(F.col("load") <= most).select("key", "guid", "rank", F.lit(None).cast("string").alias("to_guid"))
+        needs = edges.join(small, "key", "left_semi").select("key", F.col("from_guid").alias("guid"), F.lit(None).cast("long").alias("rank"), "to_guid")
+        name = F.sha2(F.to_json(F.struct("key")), 256)
+        heaps = pieces.unionByName(needs).withColumn("name", name).select("name", "guid", "rank", "to_guid").groupBy("name").applyInPandas(_heap, "guid string, step long")
+        parts.append(pieces.select("guid", "rank", "key").join(heaps, "guid").select("guid", "rank", "key", "step", F.lit(0).alias("cyclic")))
+        large = rest.where(F.col("load") > most)
+        if large.isEmpty():
+            break
+        edges = edges.join(large.select("key").distinct(), "key", "left_semi").select("from_guid", "to_guid")
+        tops = peeled(large.select("guid", rank_of.alias("r")), edges)
+        work = large.select("guid", "rank", "key").join(tops, "guid").select("guid", "rank", F.concat("key", F.array("top")).alias("key"))
+    return placed(union(parts), ["cyclic", "key", "step", "rank", "guid"], "place").select("guid", "place")
+
+
+def _heap(rows: pd.DataFrame) -> pd.DataFrame:
+    """Steps (from 1) of the pieces of one top."""
+    of = rows[rows.to_guid.isna()]
+    needs = rows[rows.to_guid.notna()]
+    order = dependency_order(list(zip(of.guid, of["rank"].astype("int64"), strict=True)), list(zip(needs.guid, needs.to_guid, strict=True)), len(rows))
+    return pd.DataFrame({"guid": order, "step": range(1, len(order) + 1)})
 
 
 def dependency_order(ranked: list[tuple[str, int]], edges: list[tuple[str, str]], most: int = 1_000_000) -> list[str]:
@@ -128,10 +307,30 @@ def unresolved(refs: DataFrame, target: DataFrame, planned: DataFrame) -> DataFr
     """SKIP rows of pieces with a reference that is neither in the target nor planned; the detail lists them in order."""
     known = target.select(F.col("guid").alias("to_guid")).union(planned.select(F.col("guid").alias("to_guid"))).distinct()
     missing = refs.join(known, "to_guid", "left_anti").distinct()
+    return _unresolved_rows(missing)
+
+
+def _unresolved_rows(missing: DataFrame) -> DataFrame:
     detail = F.array_join(F.array_sort(F.collect_set("to_guid")), ", ")
     return missing.groupBy(F.col("from_guid").alias("source_guid")).agg(detail.alias("detail")).select("source_guid", F.lit("SKIP").alias("verb"), F.lit("dependency_unresolved").alias("reason"), "detail")
 
 
+def retracted(refs: DataFrame, target: DataFrame, planned: DataFrame) -> DataFrame:
+    """``unresolved`` to a fixed point: a planned piece that falls takes along the planned pieces that need it, and so on.
+
+    What falls is what a walk reaches from the missing ends, needs taken backwards; pieces of a cycle that need nothing missing
+    stay. The detail lists all that a piece needs and that is missing or has fallen."""
+    ends = lambda df, c: df.select(F.col("guid").alias(c)).distinct()
+    open_needs = refs.select("from_guid", "to_guid").distinct().join(ends(planned, "from_guid"), "from_guid", "left_semi").join(ends(target, "to_guid"), "to_guid", "left_anti")
+    open_needs = stage(open_needs, "needs")
+    missing = stage(open_needs.select("to_guid").distinct().join(ends(planned, "to_guid"), "to_guid", "left_anti").select(F.col("to_guid").alias("guid"), F.lit(0).alias("ord")), "missing")
+    if missing.isEmpty():
+        return _unresolved_rows(open_needs.where("false"))
+    back = open_needs.select(F.col("to_guid").alias("from_guid"), F.col("from_guid").alias("to_guid"), F.lit(0).alias("pos"))
+    gone = stage(walk(missing, back, ranked=False).select("guid"), "fallen")
+    return _unresolved_rows(open_needs.join(gone.select(F.col("guid").alias("to_guid")), "to_guid", "left_semi"))
+
+
 def dangling(children: DataFrame, owners: DataFrame) -> DataFrame:
     """Children whose owner isn't there: must be empty before a publish."""
     return children.where("owner_guid IS NOT NULL").join(owners.select(F.col("guid").alias("owner_guid")), "owner_guid", "left_anti")

@@ -5,21 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.model import ReconcileError
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts lineage and survives lost executors. Where no shared folder is configured, a session on one
-    machine takes a temporary one; on a cluster that is an error, since executors don't see each other's disks."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Where no shared folder is configured, a session on one machine takes a temporary one; on a cluster that is an error, since
+    executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ReconcileError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``stage`` with the rows hashed by ``key`` into as many buckets as the session shuffles to, each sorted: joins on the key
+    don't shuffle this side, and a filter on a few keys reads their buckets only."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
+    return spark.table(unique)
