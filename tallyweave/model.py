@@ -23,6 +23,7 @@ UNMERGEABLE = ("int", "bool", "null")
 OBJECTS = "guid string, category string, class_name string, owner_guid string, owner_field string, ord int, catalog_id string"
 PROPS = "guid string, field string, vtype string, s string, n long, b boolean, arr array<string>, ms map<string,string>"
 REFS = "from_guid string, field string, to_guid string, ord int"
+RESIDUE = "guid string, text string"
 PLAN = "verb string, category string, source_guid string, target_guid string, match_via string, owner_guid string, reason string, detail string, pulled_in_by array<string>"
 
 
@@ -74,13 +75,18 @@ class Selection:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """One side of a run: objects, refs and props in the columns of OBJECTS, REFS and PROPS, and custom fields (owner_class,
-    name)."""
+    """One side of a run: objects, refs and props in the columns of OBJECTS, REFS and PROPS, custom fields (owner_class, name),
+    and what earlier runs left: the texts that hold their tags (guid, text), and references between entries that still wait
+    for their end (REFS; from_guid is here, to_guid is the source's id). version names a snapshot that a store has committed
+    and that therefore can't change."""
 
     objects: DataFrame
     refs: DataFrame
     props: DataFrame
     custom_fields: DataFrame
+    residue: DataFrame | None = None
+    outbox: DataFrame | None = None
+    version: str | None = None
 
     def of(self, *categories: str) -> DataFrame:
         return self.objects.where(self.objects.category.isin(*categories))

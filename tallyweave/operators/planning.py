@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.values import is_gold
-from tallyweave.model import ReconcileError, Selection
+from tallyweave.model import ReconcileError, Selection, Snapshot
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -97,11 +97,11 @@ def full_row(rows: DataFrame, category: str) -> DataFrame:
     return own.select(*plan_row(category, F.col("verb"), F.col("reason"), F.col("detail"), target, F.lit("none"), F.lit(None), F.array()))
 
 
-def unresolved_skipped(plan: DataFrame, missing: DataFrame) -> DataFrame:
-    """The plan with its ADD rows among ``missing`` (source_guid, reason, detail) turned into skips."""
+def unresolved_skipped(plan: DataFrame, missing: DataFrame, verbs: tuple[str, ...] = ("ADD",)) -> DataFrame:
+    """The plan with its rows of these verbs among ``missing`` (source_guid, reason, detail) turned into skips."""
     why = missing.select("source_guid", F.col("reason").alias("_reason"), F.col("detail").alias("_detail"))
     joined = plan.join(why, "source_guid", "left")
-    hit = (F.col("verb") == "ADD") & F.col("_reason").isNotNull()
+    hit = F.col("verb").isin(*verbs) & F.col("_reason").isNotNull()
     new = {"verb": F.lit("SKIP"), "reason": F.col("_reason"), "detail": F.col("_detail"), "target_guid": F.lit(None).cast("string")}
     return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in plan.columns))
 
@@ -121,13 +121,27 @@ def ordered_touched(plan: DataFrame) -> DataFrame:
     return plan.groupBy("source_guid").agg(F.min("ord").alias("ord"))
 
 
-def signature(plan: DataFrame) -> str:
-    """A digest of the whole plan whatever its order: counts and sums of row hashes."""
-    rows = plan.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(plan.columns)))).cast("decimal(38,0)")).alias("h"))
-    r = rows.first()
+def signature(rows: DataFrame) -> str:
+    """A digest of a whole table whatever its order: count and sum of row hashes; maps count by their sorted entries."""
+    column = lambda f: (F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`")).alias(f.name)
+    row = F.to_json(F.struct(*(column(f) for f in sorted(rows.schema.fields, key=lambda f: f.name))), {"ignoreNullFields": "false"})
+    r = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("h")).first()
     return f"{r.n}:{r.h}"
 
 
+def snapshot_signature(side: Snapshot) -> str:
+    """A digest of all tables of a snapshot; a committed version is its own."""
+    if side.version is not None:
+        return side.version
+    tables = (side.objects, side.refs, side.props, side.custom_fields, side.residue, side.outbox)
+    return " ".join("-" if t is None else signature(t) for t in tables)
+
+
+def selection_signature(selection: Selection) -> str:
+    picks = {k: sorted(v) for k, v in sorted(selection.picks.items())}
+    return f"{sorted(selection.categories)} {selection.closure} {selection.overwrite} {selection.interactive} {picks}"
+
+
 def check_unchanged(plan: DataFrame, agreed: str) -> None:
     """Refuse to apply a plan other than the one that was shown."""
     if (now := signature(plan)) != agreed:

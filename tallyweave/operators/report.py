@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.model import CATEGORIES, ReconcileError
+from tallyweave.model import CATEGORIES, ReconcileError, RunContext
 
 COUNTS = ("added", "overwritten", "skipped", "closure_pulled_in", "interactive_skipped")
 #: Counters of printed reports that nothing adds to.
@@ -23,6 +23,30 @@ def by_category(plan: DataFrame) -> DataFrame:
     return unique.groupBy("category").agg(*(x.alias(n) for x, n in zip((is_verb("ADD"), is_verb("OVERWRITE"), is_verb("SKIP"), pulled, chosen), COUNTS, strict=True)))
 
 
+def by_outcome(outcomes: DataFrame) -> DataFrame:
+    """``by_category`` of what was done (outcomes of ``apply.outcomes``), and ``failed``: plan rows that came to nothing. Skips
+    count once for each piece, reason and field."""
+    done = outcomes.where("outcome <> 'failed'")
+    keys = ["category", "source_guid", "reason", F.when(F.col("reason") == "interactive_skip", F.col("detail")).alias("detail")]
+    skips = done.where("verb = 'SKIP'").select(*keys).distinct()
+    kept = done.where("verb <> 'SKIP'").select("category", "verb", F.size("pulled_in_by").alias("parents"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("bad"))
+    rows = kept.unionByName(skips.select("category", F.lit("SKIP").alias("verb"), F.lit(0).alias("parents"), "reason", F.lit(0).alias("bad")))
+    rows = rows.unionByName(outcomes.where("outcome = 'failed'").select("category", F.lit("NONE").alias("verb"), F.lit(0).alias("parents"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("bad")))
+    is_verb = lambda v: F.count_if(F.col("verb") == v)
+    counts = (is_verb("ADD"), is_verb("OVERWRITE"), is_verb("SKIP"), F.count_if((F.col("verb") == "ADD") & (F.col("parents") > 0)), F.count_if(F.col("reason") == "interactive_skip"))
+    return rows.groupBy("category").agg(*(x.alias(n) for x, n in zip(counts, COUNTS, strict=True)), F.sum("bad").cast("long").alias("failed"))
+
+
+def with_choices(report: DataFrame, decided: DataFrame | None) -> DataFrame:
+    """The report with interactive_resolved and carried_over by category: fields whose decision was made in this run, and those
+    that took an earlier run's. decided: category, prior_run_id for each field."""
+    if decided is None:
+        return report.select("*", *(F.lit(0).cast("long").alias(c) for c in ("interactive_resolved", "carried_over")))
+    fresh = F.col("prior_run_id").isNull()
+    counts = decided.groupBy("category").agg(F.count_if(fresh).alias("interactive_resolved"), F.count_if(~fresh).alias("carried_over"))
+    return report.join(counts, "category", "left").na.fill(0, ["interactive_resolved", "carried_over"])
+
+
 def with_unused(report: DataFrame) -> DataFrame:
     """The report with the counters that stay 0."""
     return report.select("*", *(F.lit(0).cast("long").alias(c) for c in UNUSED))
@@ -33,9 +57,10 @@ def totals(report: DataFrame) -> DataFrame:
 
 
 def conservation(report: DataFrame, enumerated: DataFrame) -> DataFrame:
-    """Categories whose added + overwritten + skipped isn't what was enumerated (category, n): must be empty."""
+    """Categories whose added + overwritten + skipped (+ failed, where the report has it) isn't what was enumerated (category,
+    n): must be empty."""
     both = report.join(enumerated, "category", "full_outer")
-    done = F.coalesce(F.col("added") + F.col("overwritten") + F.col("skipped"), F.lit(0))
+    done = F.coalesce(F.col("added") + F.col("overwritten") + F.col("skipped") + (F.col("failed") if "failed" in report.columns else F.lit(0)), F.lit(0))
     return both.select("category", done.alias("accounted"), F.coalesce("n", F.lit(0)).alias("enumerated")).where("accounted <> enumerated")
 
 
@@ -53,10 +78,33 @@ def _ordered(report: DataFrame) -> list:
     return sorted(report.collect(), key=lambda r: CATEGORIES.index(r.category) if r.category in CATEGORIES else len(CATEGORIES))
 
 
-def to_json(report: DataFrame, run_id: str, seconds: float) -> str:
-    """At most a row for each category reaches the driver."""
-    rows = {r.category: {c: r[c] for c in COUNTS} for r in _ordered(report)}
-    return json.dumps({"run_id": run_id, "wall_clock_seconds": round(seconds, 3), "per_category": rows})
+def to_json(report: DataFrame, run_id: str, seconds: float, mode: str | None = None, context: RunContext | None = None) -> str:
+    """At most a row for each category reaches the driver. Categories stand in order of declaration, counters that nothing
+    adds to are 0; with a context the run's names and start come along. Skips and remaps are tables of any size and are
+    written beside the report (``skips``, ``remaps``)."""
+    counters = [*COUNTS, *(c for c in (*UNUSED, "failed", "carried_over") if c in report.columns)]
+    rows = {r.category: {c: r[c] for c in counters} | {c: 0 for c in UNUSED if c not in counters} for r in _ordered(report)}
+    out: dict[str, object] = {"mode": mode} if mode else {}
+    if context is not None:
+        out["context"] = {"run_id": context.run_id, "source": context.source, "target": context.target, "started_at": context.started_at}
+    return json.dumps(out | {"run_id": run_id, "wall_clock_seconds": round(seconds, 3), "per_category": rows})
+
+
+def category_rank(category: Column) -> Column:
+    """The place of a category in order of declaration; unknown ones last."""
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), category)
+    return F.when(place > 0, place).otherwise(len(CATEGORIES) + 1)
+
+
+def skips(outcomes: DataFrame) -> DataFrame:
+    """category, source_guid, reason, detail of all skips, once each, in order of category, id and reason."""
+    rows = outcomes.where("verb = 'SKIP'").select("category", "source_guid", "reason", "detail").distinct()
+    return rows.orderBy(category_rank(F.col("category")), "source_guid", "reason", "detail")
+
+
+def remaps(remap: DataFrame) -> DataFrame:
+    """source_guid, target_guid in order of the source's id."""
+    return remap.select("source_guid", "target_guid").distinct().orderBy("source_guid", "target_guid")
 
 
 def to_text(report: DataFrame) -> str:

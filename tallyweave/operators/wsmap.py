@@ -64,6 +64,29 @@ def only_in_skipped(texts: DataFrame, skipped: DataFrame) -> DataFrame:
     return gone.select(F.col("guid").alias("source_guid"), F.lit("SKIP").alias("verb"), F.lit("unmapped_ws_user_chose_skip").alias("reason"))
 
 
+def texts_of(props: DataFrame) -> DataFrame:
+    """(guid, ws_id) of every text that isn't blank in facts by writing system."""
+    entries = props.select("guid", F.explode(F.map_entries("ms")).alias("e")) if "ms" in props.columns else None
+    if entries is None:
+        return props.select("guid", F.lit(None).cast("string").alias("ws_id")).where("false")
+    return entries.where(F.trim(F.coalesce("e.value", F.lit(""))) != "").select("guid", F.col("e.key").alias("ws_id"))
+
+
+def in_target_systems(props: DataFrame, mapping: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Facts with the keys of texts by writing system moved to the target's; texts in skipped systems go, keys that nothing maps
+    stay. Of two systems that map to one key the first by name counts; a fact that loses all its texts goes."""
+    if "ms" not in props.columns:
+        return props
+    to = mapping.groupBy(F.col("source_ws").alias("ws")).agg(F.min("target_ws").alias("_to"))
+    gone = skipped.select(F.col("ws_id").alias("ws")).distinct()
+    entries = props.where("ms IS NOT NULL").select("guid", "field", F.explode("ms").alias("ws", "text")).join(gone, "ws", "left_anti").join(to, "ws", "left")
+    first = entries.groupBy("guid", "field", F.coalesce("_to", "ws").alias("key")).agg(F.min_by("text", "ws").alias("text"))
+    maps = first.groupBy("guid", "field").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "text")))).alias("_ms"))
+    joined = props.join(maps, ["guid", "field"], "left")
+    kept = joined.where("ms IS NULL OR _ms IS NOT NULL OR size(ms) = 0")
+    return kept.select(*(F.when(F.size("ms") == 0, F.col("ms")).otherwise(F.col("_ms")).alias("ms") if c == "ms" else F.col(c) for c in props.columns))
+
+
 def lookup(mapping: DataFrame, source_ws: str) -> str | None:
     row = mapping.where(F.col("source_ws") == source_ws).select("target_ws").orderBy("target_ws").first()
     return row.target_ws if row else None
