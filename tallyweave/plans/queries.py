@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import residue, values
 from tallyweave.model import Selection
 from tallyweave.operators import apply, closure, conflicts, matching, planning, report, selection, wsmap
-from tallyweave.plans import run_queries  # noqa: F401  registers its queries
+from tallyweave.plans import run_queries, sequence_queries  # noqa: F401  register their queries
 from tallyweave.plans.registry import ORACLES, QUERIES, query
 from tallyweave.sources.snapshots import customer_pair, pieces, properties, read, target_of, tree
 
