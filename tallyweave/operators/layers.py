@@ -9,6 +9,7 @@ from tallyweave.functions.values import allomorph_fingerprint, msa_fingerprint
 from tallyweave.model import Selection, Snapshot
 from tallyweave.operators.matching import first_sighting, presence
 from tallyweave.operators.planning import plan_pieces, plan_row, union
+from tallyweave.sources.scratch import stage
 
 #: The class of analyses that inflecting affixes have, and the layer that closure pulls in below a part of speech.
 INFLECTING = "MoInflAffMsa"
@@ -69,8 +70,8 @@ def plan_layer(source: Snapshot, target: Snapshot, poses: DataFrame, selection:
     wanted = [c for c in LAYER if selection.closure or selection.on(c)]
     if not wanted:
         return None
-    senses = analysed_senses(source, poses)
-    entries = senses.groupBy(F.col("entry").alias("guid")).agg(F.array_sort(F.collect_set("pos")).alias("poses"))
+    senses = stage(analysed_senses(source, poses), "senses")
+    entries = stage(senses.groupBy(F.col("entry").alias("guid")).agg(F.array_sort(F.collect_set("pos")).alias("poses")), "entries")
     there = presence(entries, target.of("entry"), ["guid"])
     none = F.array().cast("array<string>")
     parts = []

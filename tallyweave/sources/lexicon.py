@@ -110,9 +110,12 @@ IN_TARGET = {"pos": "k % 4 <> 0", "sense": "e % 3 <> 0", "msa": "e % 3 <> 0 AND
 
 
 def target_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
+    return target_of(source_snapshot(spark, sf_dir))
+
+
+def target_of(source: Snapshot) -> Snapshot:
     """Two thirds of the source, more or less; analyses and allomorphs stand there under other ids, every fifth segment is
     edited, and references lead to what is there."""
-    source = source_snapshot(spark, sf_dir)
     digits = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
     k = F.when(digits("guid") == "", 1).otherwise(digits("guid").cast("long"))
     keyed = source.objects.withColumn("k", k).withColumn("e", F.when(digits("owner_guid") == "", 1).otherwise(digits("owner_guid").cast("long")))
@@ -130,6 +133,9 @@ def target_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
 
 
 def staged_pair(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
-    """Both snapshots, written once to the shared folder, since a run reads them many times."""
-    put = lambda side, x: Snapshot(*(stage(getattr(x, t), f"{side}-{t}") for t in ("objects", "refs", "props", "custom_fields")))
-    return put("source", source_snapshot(spark, sf_dir)), put("target", target_snapshot(spark, sf_dir))
+    """Both snapshots, written once to the shared folder, since a run reads them many times: objects by category, references by
+    field, so that a run's scans read what they ask for. The target is derived from the source as it was written."""
+    by = {"objects": "category", "refs": "field", "props": "field", "custom_fields": None}
+    put = lambda side, x: Snapshot(*(stage(getattr(x, t), f"{side}-{t}", column) for t, column in by.items()))
+    source = put("source", source_snapshot(spark, sf_dir))
+    return source, put("target", target_of(source))

@@ -22,12 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write and read back: cuts lineage and survives lost executors. ``by`` a column of few values, filters on it read only the
+    folders of theirs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
