@@ -36,7 +36,7 @@ def name_fingerprint(category: str, name: Column) -> Column:
 
 
 #: Category to a builder of its fingerprint.
-FINGERPRINTS = {"msa": msa_fingerprint, "allomorph": allomorph_fingerprint} | {c: (lambda name, c=c: name_fingerprint(c, name)) for c in ("pos", "slots", "templates", "inflection_features")}
+FINGERPRINTS = {"msa": msa_fingerprint, "allomorph": allomorph_fingerprint} | {c: (lambda name, c=c: name_fingerprint(c, name)) for c in ("gram_categories", "pos", "slots", "templates", "inflection_features")}
 
 
 def merge_eligible(left_type: Column, right_type: Column) -> Column:

@@ -51,13 +51,15 @@ class RunContext:
 
 @dataclass(frozen=True)
 class Selection:
-    """Which categories and picks a run covers."""
+    """Which categories and picks a run covers. by_name: pieces that the target has neither under their id nor under one of
+    ``remembered`` may be known there by their name."""
 
     categories: frozenset[str] = frozenset()
     closure: bool = True
     overwrite: bool = False
     interactive: bool = False
     picks: dict[str, frozenset[str]] = field(default_factory=dict)
+    by_name: bool = False
 
     def __post_init__(self) -> None:
         if unknown := self.categories - set(CATEGORIES):

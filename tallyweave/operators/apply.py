@@ -69,7 +69,7 @@ class Applied:
 def plan_remap(plan: DataFrame, run_id: str) -> DataFrame:
     """(source_guid, target_guid) of pieces that don't keep their id: those created anew, and those matched by likeness."""
     fresh = plan.where((F.col("verb") == "ADD") & F.col("category").isin(*RENAMED)).select("source_guid", new_guid(run_id, "source_guid").alias("target_guid"))
-    return fresh.unionByName(plan.where("verb = 'OVERWRITE' AND target_guid <> source_guid").select("source_guid", "target_guid"))
+    return fresh.unionByName(plan.where("verb IN ('OVERWRITE', 'SKIP') AND target_guid <> source_guid").select("source_guid", "target_guid"))
 
 
 def unmatched(refs: DataFrame, there: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.values import allomorph_fingerprint, msa_fingerprint
+from tallyweave.functions.values import FINGERPRINTS
 from tallyweave.model import Selection, Snapshot
-from tallyweave.operators.matching import first_sighting, presence
+from tallyweave.operators.conflicts import typed
+from tallyweave.operators.matching import first_sighting, match, presence
 from tallyweave.operators.planning import plan_pieces, plan_row, union
 from tallyweave.sources.scratch import stage
 
@@ -33,7 +34,7 @@ def msa_prints(side: Snapshot) -> DataFrame:
     own = side.of("msa").where(F.col("class_name") == INFLECTING).select("guid", "owner_guid", "class_name", "ord")
     pos = side.links("PartOfSpeechRA").groupBy(F.col("from_guid").alias("guid")).agg(F.min("to_guid").alias("pos"))
     slots = side.links("SlotsRC").groupBy(F.col("from_guid").alias("guid")).agg(F.collect_set("to_guid").alias("slots"))
-    fp = msa_fingerprint(F.lower("owner_guid"), F.col("class_name"), F.col("pos"), F.coalesce("slots", F.array().cast("array<string>")))
+    fp = FINGERPRINTS["msa"](F.lower("owner_guid"), F.col("class_name"), F.col("pos"), F.coalesce("slots", F.array().cast("array<string>")))
     return own.join(pos, "guid", "left").join(slots, "guid", "left").select("guid", "owner_guid", "ord", fp.alias("fp"))
 
 
@@ -42,7 +43,49 @@ def allomorph_prints(side: Snapshot) -> DataFrame:
     form = side.props.where("field = 'Form'").groupBy("guid").agg(F.min("s").alias("form"))
     kind = side.links("MorphTypeRA").groupBy(F.col("from_guid").alias("guid")).agg(F.min("to_guid").alias("kind"))
     own = side.of("allomorph").select("guid", "owner_guid", "ord").join(form, "guid", "left").join(kind, "guid", "left")
-    return own.select("guid", "owner_guid", "ord", allomorph_fingerprint(F.lower("owner_guid"), F.col("form"), F.col("kind")).alias("fp"))
+    return own.select("guid", "owner_guid", "ord", FINGERPRINTS["allomorph"](F.lower("owner_guid"), F.col("form"), F.col("kind")).alias("fp"))
+
+
+#: Categories that are known by their name, and what else belongs to it: the owner, the class or nothing.
+NAMED = {"gram_categories": None, "pos": None, "slots": "owner_guid", "templates": "owner_guid", "inflection_features": "class_name"}
+
+
+def name_prints(side: Snapshot, category: str, default_ws: str = "en") -> DataFrame:
+    """(guid, fp, ord) of a category's pieces that have a name (field Name: a text, or one by writing system, of which that in
+    ``default_ws`` counts, else the first by system); fp is the registry's fingerprint of name, owner or class."""
+    facts = typed(side.props).where("field = 'Name'")
+    entries = F.array_sort(F.map_entries("ms"))
+    text = F.coalesce("s", F.try_element_at("ms", F.lit(default_ws)), F.get(entries, F.lit(0))["value"])
+    named = facts.select("guid", text.alias("name")).where("name IS NOT NULL AND trim(name) <> ''").groupBy("guid").agg(F.min("name").alias("name"))
+    more = [F.lower(NAMED[category])] if NAMED[category] else []
+    return side.of(category).join(named, "guid").select("guid", FINGERPRINTS[category](F.concat_ws("\u001f", "name", *more)).alias("fp"), "ord")
+
+
+def known_by_name(plan: DataFrame, source: Snapshot, target: Snapshot, remap: DataFrame | None = None) -> DataFrame:
+    """(category, source_guid, target_guid, via, ambiguous) of pieces that the plan would add though the target has them: under an
+    id that an earlier run gave them (``remap``), or under the same name. Of targets of one name the first counts."""
+    spark = plan.sparkSession
+    remap = remap if remap is not None else spark.createDataFrame([], "source_guid string, target_guid string")
+    parts = []
+    for category in NAMED:
+        adds = plan.where((F.col("verb") == "ADD") & (F.col("category") == category)).select(F.col("source_guid").alias("guid"))
+        own = adds.join(name_prints(source, category).select("guid", "fp"), "guid", "left")
+        ids = target.of(category).select("guid", "ord").join(name_prints(target, category).select("guid", "fp"), "guid", "left")
+        found = match(own, ids, remap).where("via <> 'none'")
+        parts.append(found.select(F.lit(category).alias("category"), F.col("guid").alias("source_guid"), "target_guid", "via", "ambiguous"))
+    return union(parts)
+
+
+def recognised(plan: DataFrame, known: DataFrame, overwrite: bool) -> DataFrame:
+    """The plan with its pieces among ``known`` overwritten or skipped instead of added; either keeps the target's id, to which
+    references to them lead."""
+    k = known.select("category", "source_guid", F.col("target_guid").alias("_to"), F.col("via").alias("_via"))
+    joined = plan.join(k, ["category", "source_guid"], "left")
+    hit = F.col("_to").isNotNull() & (F.col("verb") == "ADD")
+    new = {"verb": F.lit("OVERWRITE" if overwrite else "SKIP"), "target_guid": F.col("_to"), "match_via": F.col("_via")}
+    if not overwrite:
+        new |= {"reason": F.lit("already_present_by_identity"), "detail": F.concat(F.col("_to"), F.lit(" is alike"))}
+    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in plan.columns))
 
 
 def within_entry(source_prints: DataFrame, target_prints: DataFrame) -> DataFrame:

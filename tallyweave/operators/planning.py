@@ -139,7 +139,7 @@ def snapshot_signature(side: Snapshot) -> str:
 
 def selection_signature(selection: Selection) -> str:
     picks = {k: sorted(v) for k, v in sorted(selection.picks.items())}
-    return f"{sorted(selection.categories)} {selection.closure} {selection.overwrite} {selection.interactive} {picks}"
+    return f"{sorted(selection.categories)} {selection.closure} {selection.overwrite} {selection.interactive} {selection.by_name} {picks}"
 
 
 def check_unchanged(plan: DataFrame, agreed: str) -> None:

@@ -249,3 +249,28 @@ def run_writing_systems(spark, sf):
     done = apply.applied_snapshot(FIRST, plan, mapped, empty)
     after = done.props.select(C("guid").alias("source_guid"), conflicts.plain("s", "n", "b", "arr", "ms").alias("texts"))
     return plan.select("source_guid", "verb", "reason").join(after, "source_guid", "left")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_partkey AS p FROM lineitem), a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem)
+    SELECT 'pos' AS category, 'pos-' || n_nationkey AS source_guid, 'OVERWRITE' AS verb, 'pos-' || n_nationkey AS target_guid, 'guid' AS via FROM nation
+    UNION ALL SELECT 'templates', 'tpl-' || s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN 'ADD' ELSE 'OVERWRITE' END, CASE WHEN s_suppkey % 3 = 0 THEN 't' ELSE '' END || 'tpl-' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'guid' ELSE 'none' END FROM supplier
+    UNION ALL SELECT 'slots', 'slot-' || p, CASE WHEN p % 3 = 2 THEN 'ADD' ELSE 'OVERWRITE' END, CASE WHEN p % 3 = 0 THEN 't' ELSE '' END || 'slot-' || p, CASE p % 3 WHEN 0 THEN 'identity_remap' WHEN 1 THEN 'guid' ELSE 'none' END FROM u""")
+def run_known_by_name(spark, sf):
+    """A third of the templates stand in the target under other ids and are known by name and owner, a third of the slots by the ids
+    that an earlier run gave them."""
+    n, t, p = (read(spark, sf, x) for x in ("nation", "supplier", "part"))
+    key = F.regexp_extract("guid", "[0-9]+", 0).cast("long")
+    objects = planning.union([
+        _objects(n, "pos", "PartOfSpeech", name("pos", "n_nationkey")),
+        _objects(t, "templates", "MoInflAffixTemplate", name("tpl", "s_suppkey"), name("pos", "s_nationkey"), C("s_suppkey")),
+        _objects(p, "slots", "MoInflAffixSlot", name("slot", "p_partkey"), name("pos", C("p_partkey") % 25), C("p_partkey")),
+    ])
+    links = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    s = _snapshot(spark, objects, _refs(links, "PrefixSlotsRS", name("tpl", "l_suppkey"), name("slot", "l_partkey")), _facts(t, name("tpl", "s_suppkey"), "Name", "str", s=C("s_name")))
+    moved = F.when((C("category") != "pos") & (key % 3 == 0), F.concat(F.lit("t"), C("guid"))).otherwise(C("guid"))
+    there = s.objects.where((C("category") == "pos") | (key % 3 != 2)).withColumn("guid", moved)
+    names = s.props.where(key % 3 != 2).withColumn("guid", F.when(key % 3 == 0, F.concat(F.lit("t"), C("guid"))).otherwise(C("guid")))
+    target = _snapshot(spark, there, props=names)
+    remembered = s.of("slots").where(key % 3 == 0).select(C("guid").alias("source_guid"), F.concat(F.lit("t"), C("guid")).alias("target_guid"))
+    plan = run.plan_run(s, target, Selection(frozenset({"templates"}), overwrite=True, by_name=True), remembered=remembered)
+    return plan.select("category", "source_guid", "verb", "target_guid", C("match_via").alias("via"))
