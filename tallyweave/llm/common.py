@@ -74,9 +74,12 @@ def slices(offs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
-    x = (x ^ (x >> _U(30))) * MIX_A
-    x = (x ^ (x >> _U(27))) * MIX_B
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= MIX_A
+    x ^= x >> _U(27)
+    x *= MIX_B
+    x ^= x >> _U(31)
+    return x
 
 
 _powers: dict[str, np.ndarray] = {}

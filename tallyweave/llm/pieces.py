@@ -62,12 +62,25 @@ def _firsts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
 
 
+def _first_equal(values: np.ndarray, head: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """In each run of ``size`` values from ``head`` on the first place of the wanted one, which is there."""
+    at = concat_ranges(head, size)
+    of = np.repeat(np.arange(len(head)), size)
+    same = np.flatnonzero(values[at] == wanted[of])
+    return at[same[_firsts(of[same])]]
+
+
+#: What a unit of the place in a seed's sequence adds to its hash.
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
 class Edges:
     """Lattices laid end to end: edges of node i are those from ptr[i] to ptr[i + 1]; cond is an edge's log-probability given
-    its start, rate the inverse of its probability, length its characters, piece its id (-1: a character without a piece)."""
+    its start, rate the inverse of its probability, salt what it adds to its node's key, length its characters, piece its id (-1: a character without a piece)."""
 
     def __init__(self, ptr: np.ndarray, length: np.ndarray, cond: np.ndarray, piece: np.ndarray):
         self.ptr, self.length, self.cond, self.piece = ptr, length, cond, piece
+        self.salt = length.astype(_U) * _STEP
         with np.errstate(over="ignore"):
             self.rate = np.exp(-cond)
 
@@ -205,14 +218,13 @@ class Laid:
         self.unit = np.repeat(np.arange(len(begin)), size)
 
 
-#: What a unit of the place in a seed's sequence adds to its hash.
-_STEP = _U(0x9E3779B97F4A7C15)
-
-
 def _exponential(key: np.ndarray) -> np.ndarray:
     """A standard exponential draw for each key; minus its log is a Gumbel draw."""
     u = (mix(key) >> _U(11)).astype(float)
-    return -np.log((u + 0.5) * 2.0**-53)
+    u += 0.5
+    u *= 2.0**-53
+    np.log(u, out=u)
+    return np.negative(u, out=u)
 
 
 def _gumbel(key: np.ndarray) -> np.ndarray:
@@ -285,7 +297,7 @@ class Search:
             row = self.row[at]
             key = self.seed[row] + (((at - self.offs[row]) * 64).astype(_U) + _U((turn + 1) << 52)) * _STEP
             # the greatest of log-probabilities with Gumbel noise is the least of exponential draws by rate
-            noise = _exponential(np.repeat(key, degree) + e.length[flat].astype(_U) * _STEP)
+            noise = _exponential(np.repeat(key, degree) + e.salt[flat])
             drawn = noise * e.rate[flat]
             head = starts_of(degree)[:-1]
             above = drawn - np.repeat(np.minimum.reduceat(drawn, head), degree)
@@ -299,7 +311,8 @@ class Search:
             behind = np.log(above[others])
             if len(wild := np.flatnonzero(np.isinf(behind))):  # rates beyond doubles
                 behind[wild] = np.log(noise[others[wild]]) - e.cond[flat[others[wild]]]
-            steps.append((np.repeat(at, degree)[others], flat[others], behind))
+            many = degree > 1
+            steps.append((at[many], degree[many] - 1, flat[others], behind))
             at = at + e.length[chosen]
             on = at < stop
             at, stop = at[on], stop[on]
@@ -308,27 +321,31 @@ class Search:
         step[fresh] = e.cond[taken[fresh]]
         run = np.concatenate(([0.0], np.cumsum(step)))  # sums up to a place, of the parts that were followed
         total = base + run[self.offs[1:]] - run[self.offs[:-1]]
-        place, edge, behind = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
+        if not steps:
+            return total, out
+        place, size, edge, behind = (np.concatenate(x) for x in zip(*steps, strict=True))  # nodes with siblings, and these
+        if not len(place):
+            return total, out
         row = self.row[place]
         before = base[row] + run[place] - run[self.offs[row]]
         # a sibling's own maximum is g - log(1 + exp(v)), given that the greatest of all is g
-        v = (g[row] - before) + behind
-        out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
-        rest = np.arange(len(v))
+        v = np.repeat(g[row] - before, size) + behind
+        head = starts_of(size)[:-1]
         for r in range(room):
+            least = np.minimum.reduceat(v, head)
             low = np.full(rows, np.inf)
-            np.minimum.at(low, row[rest], v[rest])
-            hit = np.flatnonzero(v[rest] == low[row[rest]])
+            np.minimum.at(low, row, least)
+            hit = np.flatnonzero((least == low[row]) & (least < np.inf))
             if not len(hit):
                 break
-            hit = hit[np.unique(row[rest[hit]], return_index=True)[1]]
-            chosen = rest[hit]
-            least = v[chosen]
-            lower = g[row[chosen]] - np.maximum(least, 0.0) - np.log1p(np.exp(-np.abs(least)))
-            for column, values in zip(out, (lower, place[chosen], edge[chosen], before[chosen]), strict=True):
-                column[row[chosen], r] = values
-            if r + 1 < room:
-                rest = np.delete(rest, hit)
+            hit = hit[np.unique(row[hit], return_index=True)[1]]
+            chosen = _first_equal(v, head[hit], size[hit], least[hit])
+            value = least[hit]
+            lower = g[row[hit]] - np.maximum(value, 0.0) - np.log1p(np.exp(-np.abs(value)))
+            for column, values in zip(out, (lower, place[hit], edge[chosen], before[hit]), strict=True):
+                column[row[hit], r] = values
+            v[chosen] = np.inf
         return total, out
 
 
