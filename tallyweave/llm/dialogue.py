@@ -168,7 +168,8 @@ def damaged(rows: DataFrame) -> DataFrame:
     k = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
     body = F.when(k == 1, "").when(k == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
     times = F.when(k == 0, 0).when(k == 3, 2).otherwise(1)
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.when(k == 4, "user").otherwise(text("role")).alias("role"), body.alias("text"), times.cast("long").alias("times"))
+    key = F.col("conv_id") if rows.schema["conv_id"].dataType.typeName() == "string" else F.col("conv_id").cast("long")
+    return rows.select(key.alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.when(k == 4, "user").otherwise(text("role")).alias("role"), body.alias("text"), times.cast("long").alias("times"))
 
 
 def _described(rows: DataFrame) -> DataFrame:
