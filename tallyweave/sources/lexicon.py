@@ -49,8 +49,11 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return t
 
 
-def source_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
+def source_snapshot(spark: SparkSession, sf_dir: str, staged: bool = False) -> Snapshot:
+    """staged: what several tables are derived from is written first."""
     t = _tables(spark, sf_dir)
+    if staged:
+        t["items"] = stage(t["items"], "items")
     events, labels, orders, items = t["events"], t["labels"], t["orders"], t["items"]
     msa_class = F.when(C("o_orderstatus") == "P", "MoStemMsa").otherwise("MoInflAffMsa")
     classes = events.select("event_type", (C("user_id") % 7).alias("k"), "user_id").distinct()
@@ -113,7 +116,7 @@ def target_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     return target_of(source_snapshot(spark, sf_dir))
 
 
-def target_of(source: Snapshot) -> Snapshot:
+def target_of(source: Snapshot, staged: bool = False) -> Snapshot:
     """Two thirds of the source, more or less; analyses and allomorphs stand there under other ids, every fifth segment is
     edited, and references lead to what is there."""
     digits = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
@@ -123,6 +126,7 @@ def target_of(source: Snapshot) -> Snapshot:
     moved = F.when(C("category").isin("msa", "allomorph"), F.concat(F.lit("t"), C("guid"))).otherwise(C("guid"))
     there = keyed.where(keep).select("*", moved.alias("new"))
     ids = there.select("guid", "new")
+    ids = stage(ids, "ids") if staged else ids
     objects = there.withColumn("guid", C("new")).select(source.objects.columns)
     at = lambda side: ids.select(C("guid").alias(f"{side}_guid"), C("new").alias(side))
     refs = source.refs.join(at("from"), "from_guid").join(at("to"), "to_guid").select(C("from").alias("from_guid"), "field", C("to").alias("to_guid"), "ord")
@@ -137,5 +141,5 @@ def staged_pair(spark: SparkSession, sf_dir: str) -> tuple[Snapshot, Snapshot]:
     field, so that a run's scans read what they ask for. The target is derived from the source as it was written."""
     by = {"objects": "category", "refs": "field", "props": "field", "custom_fields": None}
     put = lambda side, x: Snapshot(*(stage(getattr(x, t), f"{side}-{t}", column) for t, column in by.items()))
-    source = put("source", source_snapshot(spark, sf_dir))
-    return source, put("target", target_of(source))
+    source = put("source", source_snapshot(spark, sf_dir, True))
+    return source, put("target", target_of(source, True))
