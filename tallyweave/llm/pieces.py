@@ -7,8 +7,11 @@ down: the maximum of the perturbed values below a node has a Gumbel distribution
 children are drawn given their parent's maximum, and the frontier's best node is always expanded first.
 
 All texts of a batch are searched side by side. No piece crosses the start of a unit (a run of space marks and what follows
-it), so a node's best path is found unit by unit at once, and the values of the siblings it passed follow from it. Noise is a
-hash of the row's seed, the expansion, the place in the text and the piece's length, so it doesn't depend on the batch."""
+it), so a node's best path is found unit by unit at once. Which edge of a node has the greatest value is a draw by the edges'
+probabilities, whatever that value is, so a path takes one draw a node. The values of the siblings that it passed are drawn
+from the start of the path on, a few nodes at a time: the greatest value of all siblings behind them is one draw by their joint
+mass, and they are looked at only if it can be among those wanted. Noise is a hash of the row's seed, the expansion, the place
+in the text and the piece's length, so it doesn't depend on the batch."""
 
 from __future__ import annotations
 
@@ -62,27 +65,31 @@ def _firsts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
 
 
-def _first_equal(values: np.ndarray, head: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """In each run of ``size`` values from ``head`` on the first place of the wanted one, which is there."""
-    at = concat_ranges(head, size)
-    of = np.repeat(np.arange(len(head)), size)
-    same = np.flatnonzero(values[at] == wanted[of])
-    return at[same[_firsts(of[same])]]
-
-
 #: What a unit of the place in a seed's sequence adds to its hash.
 _STEP = _U(0x9E3779B97F4A7C15)
+#: What the draw for all siblings from a place on adds to the place's key; the draws of single ones add their length's part.
+_BEHIND = _U(63 * int(_STEP) % (1 << 64))
+#: Nodes whose siblings are drawn at first, and the joint mass of siblings below which it isn't exact enough to draw by.
+NODES, LEAST_MASS = 16, 2.0**-20
+#: Characters of the prefix that tells how long a piece may be.
+_PREFIX = 4
 
 
 class Edges:
     """Lattices laid end to end: edges of node i are those from ptr[i] to ptr[i + 1]; cond is an edge's log-probability given
-    its start, rate the inverse of its probability, salt what it adds to its node's key, length its characters, piece its id (-1: a character without a piece)."""
+    its start, upto the sum of the probabilities up to it (of a node's last edge: infinite), length its characters, piece its id
+    (-1: a character without a piece)."""
 
     def __init__(self, ptr: np.ndarray, length: np.ndarray, cond: np.ndarray, piece: np.ndarray):
         self.ptr, self.length, self.cond, self.piece = ptr, length, cond, piece
-        self.salt = length.astype(_U) * _STEP
-        with np.errstate(over="ignore"):
-            self.rate = np.exp(-cond)
+        self.upto = np.exp(cond)
+        degree = np.diff(ptr)
+        at = ptr[:-1][degree > 1]
+        degree = degree[degree > 1]
+        for i in range(1, int(degree.max(initial=1))):  # node by node, so that sums don't depend on other nodes
+            self.upto[at + i] += self.upto[at + i - 1]
+            at, degree = at[degree > i + 1], degree[degree > i + 1]
+        self.upto[ptr[1:] - 1] = np.inf
 
 
 class Lattice:
@@ -114,6 +121,11 @@ class Lattice:
         self.slot = np.searchsorted(self.key, np.arange(1 << 20, dtype=_U) << _U(44)).astype(np.int32)
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.key[:-4] >> _U(44)).astype(np.int64)] = True
+        self.reach = np.zeros(1 << 20, np.int32)  # by the hash of the first characters, the length of the longest piece
+        long = [c for c in codes if len(c) >= _PREFIX]
+        if long:
+            heads = (_whole(np.stack([c[:_PREFIX] for c in long])) >> _U(44)).astype(np.int64)
+            np.maximum.at(self.reach, heads, [len(c) for c in long])
         self.deepest = int(np.bincount((self.key[:-4] >> _U(44)).astype(np.int64)).max(initial=1))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +156,14 @@ class Lattice:
         start, length, piece, score = [], [], [], []
         single = np.zeros(n, bool)
         at = np.arange(n, dtype=np.int32)
+        reach = None
         for size in self.sizes:
-            at = at[left[at] >= size]
+            at = at[left[at] >= size] if reach is None else at
+            if size >= _PREFIX:
+                if reach is None:
+                    reach = np.minimum(self.reach[(_name(*sums, at, _PREFIX) >> _U(44)).astype(np.int32)], left[at])
+                on = np.flatnonzero(reach >= size)
+                at, reach = at[on], reach[on]
             hit, k = self.find(_name(*sums, at, size))
             ids, scores, _, first, last = self.columns
             begin = at[hit]
@@ -163,17 +181,19 @@ class Lattice:
         deep = left[start[order]]
         by = order[np.argsort(deep.astype(np.uint16) if deep.max(initial=0) < 1 << 16 else deep, kind="stable")]
         s, end, x = start[by], (start + length)[by], score[by]
-        mass = np.zeros(n + 1)
-        ends = np.zeros(n + 1, bool)
-        ends[offs] = True
+        mass, below_mass = np.zeros(n + 1), np.zeros(n + 1)  # the second is zero where a unit ends, so where the next begins
+        within = np.ones(n + 1)
+        within[offs] = 0.0
         cuts = np.append(_firsts(left[s]), len(s))
         for a, b in zip(cuts, cuts[1:], strict=False):
-            below = x[a:b] + np.where(ends[end[a:b]], 0.0, mass[end[a:b]])
+            below = x[a:b] + below_mass[end[a:b]]
             at = _firsts(s[a:b])
             top = np.maximum.reduceat(below, at)
             size = np.diff(np.append(at, b - a))
-            mass[s[a:b][at]] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
-        cond = score + np.where(ends[start + length], 0.0, mass[start + length]) - mass[start]
+            node = s[a:b][at]
+            mass[node] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
+            below_mass[node] = mass[node] * within[node]
+        cond = score + below_mass[start + length] - mass[start]
         cond = np.round(cond * 2.0**32) * 2.0**-32  # so that sums are exact, whatever else is in the batch
         ptr = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n)))).astype(np.int32)
         return Edges(ptr, length[order], cond[order], piece[order].astype(np.int32))
@@ -250,6 +270,9 @@ class Search:
         n, rows = len(self.codes), hi - lo
         self.row = np.repeat(np.arange(rows), np.diff(self.offs))
         self.seed = mix(seeds)
+        self.key = self.seed[self.row] + ((np.arange(n) - self.offs[self.row]) * 64).astype(_U) * _STEP
+        self.opens = np.zeros(n, bool)
+        self.opens[self.begin] = True
         self.value, self.log_p, self.taken = [], [], []
         value, at, log_p = (np.full((rows, 1), x) for x in (-np.inf, 0, 0.0))
         value[:, 0] = _gumbel(self.seed)  # the greatest value of a whole text is a Gumbel draw
@@ -282,71 +305,91 @@ class Search:
 
         Gives each text's log-probability, and of its passed siblings the ``room`` best as (value, place, edge,
         log-probability before it), matrices of a row for each text."""
-        e, rows = self.edges, len(g)
+        e = self.edges
         # one cursor for each unit behind the start of its text's part, and one where a text starts within a unit
         mine = self.begin >= begin[self.row[self.begin]] if len(self.begin) else np.zeros(0, bool)
-        inner = begin[(begin < self.offs[1:])]
-        inner = inner[~np.isin(inner, self.begin)]
+        inner = begin[begin < self.offs[1:]]
+        inner = inner[~self.opens[inner]]
         at = np.concatenate((self.begin[mine], inner))
         stop = np.concatenate((self.end[mine], self.end[self.unit[inner]]))
-        steps = []
+        turned = _U(((turn + 1) << 52) * int(_STEP) % (1 << 64))
         while len(at):
-            node = self.node[at]
-            degree = e.ptr[node + 1] - e.ptr[node]
-            flat = concat_ranges(e.ptr[node], degree)
-            row = self.row[at]
-            key = self.seed[row] + (((at - self.offs[row]) * 64).astype(_U) + _U((turn + 1) << 52)) * _STEP
-            # the greatest of log-probabilities with Gumbel noise is the least of exponential draws by rate
-            noise = _exponential(np.repeat(key, degree) + e.salt[flat])
-            drawn = noise * e.rate[flat]
-            head = starts_of(degree)[:-1]
-            above = drawn - np.repeat(np.minimum.reduceat(drawn, head), degree)
-            others = np.flatnonzero(above > 0)
-            best = np.flatnonzero(above <= 0)
-            if len(best) > len(at):  # equal values: the first counts
-                of = np.repeat(np.arange(len(at)), degree)
-                best = best[_firsts(of[best])]
-            chosen = flat[best]
+            chosen = e.ptr[self.node[at]]
+            u = (mix(self.key[at] + turned) >> _U(11)) * 2.0**-53
+            on = np.flatnonzero(e.upto[chosen] <= u)
+            while len(on):
+                chosen[on] += 1
+                on = on[e.upto[chosen[on]] <= u[on]]
             taken[at] = chosen
-            behind = np.log(above[others])
-            if len(wild := np.flatnonzero(np.isinf(behind))):  # rates beyond doubles
-                behind[wild] = np.log(noise[others[wild]]) - e.cond[flat[others[wild]]]
-            many = degree > 1
-            steps.append((at[many], degree[many] - 1, flat[others], behind))
             at = at + e.length[chosen]
-            on = at < stop
+            on = np.flatnonzero(at < stop)
             at, stop = at[on], stop[on]
         fresh = np.flatnonzero((taken >= 0) & (np.arange(len(taken)) >= begin[self.row])) if len(taken) else np.zeros(0, np.int64)
         step = np.zeros(len(taken) + 1)
         step[fresh] = e.cond[taken[fresh]]
         run = np.concatenate(([0.0], np.cumsum(step)))  # sums up to a place, of the parts that were followed
-        total = base + run[self.offs[1:]] - run[self.offs[:-1]]
+        shift = base - run[self.offs[:-1]]
+        total = shift + run[self.offs[1:]]
+        return total, self._siblings(g, fresh, run, shift, total, taken, turned, room)
+
+    def _siblings(self, g: np.ndarray, fresh: np.ndarray, run: np.ndarray, shift: np.ndarray, total: np.ndarray, taken: np.ndarray, turned: np.uint64, room: int):
+        """The ``room`` best siblings of each path over the nodes ``fresh``.
+
+        A sibling's value is g - log(1 + exp(v)), given that the greatest of all is g; exp(v - g) is an exponential draw by the
+        sibling's probability. The least draw of all siblings behind a node is one by their joint mass; when these are opened,
+        one of them has it and the others exceed it by fresh draws. Where the joint mass is too small to be exact they are
+        opened at once."""
+        e, rows = self.edges, len(g)
+        row, pos = np.arange(rows), np.searchsorted(fresh, self.offs[:-1])
+        stop = np.searchsorted(fresh, self.offs[1:])
+        least, known = np.full(rows, -np.inf), np.zeros(rows, bool)  # log of the least draw, or of what all exceed
+        found = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        nodes = NODES
+        live = pos < stop
+        while live.any():
+            row, pos, stop, least, known = (x[live] for x in (row, pos, stop, least, known))
+            size = np.minimum(nodes, stop - pos)
+            nodes *= 2
+            place = fresh[concat_ranges(pos, size)]
+            begin = shift[row] + run[fresh[pos]]
+            degree = e.ptr[self.node[place] + 1] - e.ptr[self.node[place]]
+            edge = concat_ranges(e.ptr[self.node[place]], degree)
+            at, of = np.repeat(place, degree), np.repeat(np.repeat(np.arange(len(row)), size), degree)
+            passed = np.flatnonzero(edge != taken[at])
+            edge, at, of = edge[passed], at[passed], of[passed]
+            before = shift[row[of]] + run[at]
+            drawn = np.log(_exponential(self.key[at] + turned + e.length[edge].astype(_U) * _STEP)) - e.cond[edge] - before + begin[of]
+            # all that is behind these nodes
+            pos = pos + size
+            live = pos < stop
+            next_at = fresh[np.minimum(pos, len(fresh) - 1)]
+            after = shift[row] + run[next_at]
+            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+                mass = -np.expm1(total[row] - after)
+                exact = live & (mass >= LEAST_MASS)
+                behind = np.where(exact, np.log(_exponential(self.key[next_at] + turned + _BEHIND)) - np.log(mass) - after + begin, np.inf)
+                first = behind.copy()
+                np.minimum.at(first, of, drawn)
+                past = lambda x, i: np.logaddexp(np.where(known[i], first[i] + np.log(np.expm1(x - first[i])), x), least[i])
+                drawn, behind = past(drawn, of), np.where(exact, past(behind, np.arange(len(row))), np.inf)
+            v = g[row[of]] - begin[of] + drawn
+            found = [np.concatenate(x) for x in zip(found, (row[of], v, at, edge, before), strict=True)]
+            by = np.lexsort((found[1], found[0]))
+            rank = np.arange(len(by)) - np.searchsorted(found[0][by], found[0][by])
+            found = [x[by[rank < room]] for x in found]
+            bar = np.full(rows, np.inf)
+            full = rank[rank < room] == room - 1
+            bar[found[0][full]] = found[1][full]
+            live &= ~exact | (g[row] - begin + behind < bar[row])
+            least, known = np.where(exact, behind, least) + after - begin, exact
         out = [np.full((rows, room), x) for x in (-np.inf, 0, 0, 0.0)]
-        if not steps:
-            return total, out
-        place, size, edge, behind = (np.concatenate(x) for x in zip(*steps, strict=True))  # nodes with siblings, and these
-        if not len(place):
-            return total, out
-        row = self.row[place]
-        before = base[row] + run[place] - run[self.offs[row]]
-        # a sibling's own maximum is g - log(1 + exp(v)), given that the greatest of all is g
-        v = np.repeat(g[row] - before, size) + behind
-        head = starts_of(size)[:-1]
-        for r in range(room):
-            least = np.minimum.reduceat(v, head)
-            low = np.full(rows, np.inf)
-            np.minimum.at(low, row, least)
-            hit = np.flatnonzero((least == low[row]) & (least < np.inf))
-            if not len(hit):
-                break
-            hit = hit[np.unique(row[hit], return_index=True)[1]]
-            chosen = _first_equal(v, head[hit], size[hit], least[hit])
-            value = least[hit]
-            lower = g[row[hit]] - np.maximum(value, 0.0) - np.log1p(np.exp(-np.abs(value)))
-            for column, values in zip(out, (lower, place[hit], edge[chosen], before[hit]), strict=True):
-                column[row[hit], r] = values
-            v[chosen] = np.inf
-        return total, out
+        owner, v, place, edge, before = found
+        if len(owner):
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            lower = g[owner] - np.maximum(v, 0.0) - np.log1p(np.exp(-np.abs(v)))
+            for column, values in zip(out, (lower, place, edge, before), strict=True):
+                column[owner, rank] = values
+        return out
 
 
 _lattices: dict[tuple[str, float], Lattice] = {}

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyweave.llm import byte_bpe, common, dialogue, embed_dedup, importance, minhash, suffix_dedup
+from tallyweave.llm import byte_bpe, common, dialogue, embed_dedup, importance, minhash, pieces, suffix_dedup, tokens
 
 DOCS = "doc_id long, text string"
 
@@ -303,3 +303,44 @@ def test_stages_take_an_empty_table(spark, stage):
 
     docs = spark.createDataFrame([], DOCS + ", lang string, source string, n_chars long")
     assert getattr(corpus_pipeline, stage)(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def _drawn(lat, text, k, draws):
+    """Perturbed values, log-probabilities and pieces of many searches of one text, side by side."""
+    found = pieces.Search(pieces.Laid(lat, [text] * draws), 0, draws, np.arange(draws, dtype=np.uint64), k)
+    return np.stack(found.value), np.stack(found.log_p), found
+
+
+@pytest.mark.parametrize("nodes", [1, 2, 16])
+def test_siblings_behind_the_first_nodes_are_drawn_alike(nodes, monkeypatch):
+    """The order of all segmentations follows sampling without replacement, whether siblings are drawn one node at a time or at
+    once; perturbed values are those of Gumbel draws over all of them."""
+    monkeypatch.setattr(pieces, "NODES", nodes)
+    lat = pieces.Lattice(tokens.vocabulary_path("piece_bpe_32k.model"), 0.0002)
+    draws = 6000
+    ways = len(lat.sample("then", 99, np.random.default_rng(0)))
+    value, log_p, _ = _drawn(lat, "then", ways, draws)
+    assert np.isfinite(value).all() and (np.diff(value, axis=0) < 0).all()
+    p = np.exp(log_p[:, 0])
+    assert abs(p.sum() - 1) < 1e-6  # every segmentation once
+    place = np.round(log_p, 9)
+    assert (np.sort(place, axis=0) == np.sort(place[:, :1], axis=0)).all()
+    for rank in range(3):  # values of the best, second and third against plain Gumbel draws over all paths
+        plain = np.sort(log_p[:, :1] + np.random.default_rng(1).gumbel(size=(ways, 40000)), axis=0)[::-1][rank]
+        for q in (0.1, 0.5, 0.9):
+            assert abs(np.quantile(value[rank], q) - np.quantile(plain, q)) < 0.12
+    best = np.exp(place[0])
+    assert abs(best.mean() - (p * p).sum()) < 0.01
+
+
+def test_improbable_siblings_are_not_lost():
+    """Piece scores taken whole make most siblings less likely than doubles can tell from none; all are still found."""
+    lat = pieces.Lattice(tokens.vocabulary_path("piece_bpe_32k.model"), 1.0)
+    mild = pieces.Lattice(tokens.vocabulary_path("piece_bpe_32k.model"), 0.0002)
+    for text in ("then", "abc de"):
+        steep, flat = (len(x.sample(text, 999, np.random.default_rng(5))) for x in (lat, mild))
+        assert steep == flat > 5
+    long = "the other thing " * 40
+    value, log_p, found = _drawn(lat, long, 4, 3)
+    assert np.isfinite(value).all() and all((np.diff(value[:, i]) < 0).all() for i in range(3))
+    assert len({t[: len(long)].tobytes() for t in found.taken}) == 4
