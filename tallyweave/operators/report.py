@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.model import CATEGORIES, ReconcileError, RunContext
+from tallyweave.model import APPLY_ORDER, CATEGORIES, ReconcileError, RunContext
+from tallyweave.operators.closure import placed
 
 COUNTS = ("added", "overwritten", "skipped", "closure_pulled_in", "interactive_skipped")
 #: Counters of printed reports that nothing adds to.
@@ -102,6 +103,22 @@ def skips(outcomes: DataFrame) -> DataFrame:
     return rows.orderBy(category_rank(F.col("category")), "source_guid", "reason", "detail")
 
 
+def placed_skips(outcomes: DataFrame) -> DataFrame:
+    """``skips`` with their place from 0 in that order, as a table that keeps its order wherever it is written: sorted ranges are
+    numbered one after the other, so no task sees more than its range."""
+    rows = outcomes.where("verb = 'SKIP'").select("category", "source_guid", "reason", "detail").distinct()
+    ranked = rows.withColumn("_rank", category_rank(F.col("category")))
+    return placed(ranked, ["_rank", "source_guid", "reason", "detail"], "place").drop("_rank")
+
+
+def by_step(plan: DataFrame) -> DataFrame:
+    """step, category, verb, pieces: what a plan does, by the step (from 1) in which its categories are carried out. Categories
+    without a step have none (null) and are reported all the same."""
+    step = F.array_position(F.array(*map(F.lit, APPLY_ORDER)), F.col("category"))
+    counts = plan.groupBy("category", "verb").agg(F.count("*").alias("pieces"))
+    return counts.select(F.when(step > 0, step).alias("step"), "category", "verb", "pieces")
+
+
 def remaps(remap: DataFrame) -> DataFrame:
     """source_guid, target_guid in order of the source's id."""
     return remap.select("source_guid", "target_guid").distinct().orderBy("source_guid", "target_guid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import residue, values
-from tallyweave.model import APPLY_ORDER, RunContext, Selection
+from tallyweave.model import APPLY_ORDER, CATEGORIES, RunContext, Selection
 from tallyweave.operators import apply, closure, conflicts, layers, matching, planning, report, selection, wsmap
 from tallyweave.plans import run
 from tallyweave.plans.registry import query
@@ -157,6 +157,24 @@ def run_report(spark, sf):
 MOVED = frozenset({"slots", "phonemes", "natural_classes", "phonological_rules", "strata", "inflection_features", "exception_features"})
 
 
+_STEPS = "[" + ", ".join(f"'{c}'" for c in APPLY_ORDER) + "]"
+_PLACES = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
+
+
+@query(f"""WITH {_RUN} SELECT list_position({_STEPS}, c)::BIGINT AS step, c AS category, v AS verb, count(*) AS pieces FROM p GROUP BY ALL""")
+def run_steps(spark, sf):
+    """The same run by the steps in which it is carried out."""
+    s, t = staged_pair(spark, sf)
+    return report.by_step(run.plan_run(s, t, Selection(CHOSEN)))
+
+
+@query(f"""WITH {_RUN} SELECT c AS category, g AS source_guid, r AS reason, row_number() OVER (ORDER BY coalesce(list_position({_PLACES}, c), 99), g, r) - 1 AS place FROM p WHERE v = 'SKIP'""")
+def run_skips_in_order(spark, sf):
+    """Its skips by category in order of declaration, id and reason, each with its place."""
+    s, t = staged_pair(spark, sf)
+    return report.placed_skips(run.plan_run(s, t, Selection(CHOSEN))).select("category", "source_guid", "reason", "place")
+
+
 def _planned(spark, sf):
     s, t = staged_pair(spark, sf)
     return s, t, stage(run.plan_run(s, t, Selection(MOVED, overwrite=True)), "plan")

@@ -200,3 +200,17 @@ def test_stale_plans_and_broken_targets_are_refused(spark, tmp_path):
         apply.publish(objects(spark, ("x", "pos", "nobody", None)), f"file://{tmp_path}/bad")
     with pytest.raises(ReconcileError):
         apply.publish(objects(spark, ("x", "pos", None, None), ("x", "pos", None, None)), f"file://{tmp_path}/bad")
+
+
+def test_steps_and_placed_skips(spark):
+    """Steps follow the order of application, places the order of declaration; unknown categories come last, repeated skips count
+    once, and an empty table gives none."""
+    rows = [("slots", "ADD", "b", None, None), ("entry", "SKIP", "c", "needs_manual", None), ("entry", "SKIP", "c", "needs_manual", None), ("slots", "SKIP", "z", "needs_manual", None), ("slots", "SKIP", "a", "needs_manual", "x"), ("other", "SKIP", "a", None, None)]
+    plan = spark.createDataFrame(rows, "category string, verb string, source_guid string, reason string, detail string")
+    steps = {(r.category, r.verb): (r.step, r.pieces) for r in report.by_step(plan).collect()}
+    assert steps[("entry", "SKIP")][1] == 2 and steps[("other", "SKIP")] == (None, 1)
+    assert steps[("entry", "SKIP")][0] < steps[("slots", "ADD")][0] == steps[("slots", "SKIP")][0]
+    placed = sorted((r.place, r.category, r.source_guid) for r in report.placed_skips(plan).collect())
+    assert placed == [(0, "slots", "a"), (1, "slots", "z"), (2, "entry", "c"), (3, "other", "a")]
+    assert [(r.category, r.source_guid) for r in report.skips(plan).collect()] == [x[1:] for x in placed]
+    assert report.placed_skips(plan.limit(0)).count() == 0
