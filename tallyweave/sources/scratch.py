@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.model import ReconcileError
 
@@ -25,10 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write and read back: cuts lineage and survives lost executors. ``by`` a column of few values, filters on it read only the
     folders of theirs."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(df, name, by)
+    return opened(df.sparkSession, path, df.schema)
+
+
+def staged_path(df: DataFrame, name: str, by: str | None = None) -> str:
+    """Where ``stage`` has written a table."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    return path
+
+
+def opened(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A staged table; a missing one is an AnalysisException at once."""
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
+def listing(spark: SparkSession, paths: list[str]) -> tuple:
+    """Number, bytes, latest change and a hash of names, sizes and times of the files below ``paths``: one row, from the folders'
+    listings alone. It is another one when a file is added, taken away, or written anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
+    one = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(one)).first())
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -118,3 +118,24 @@ def test_names_targets_and_first_pieces(spark):
     s = source(spark)
     assert {(r.from_guid, r.to_guid) for r in layers.dependency_edges(s).collect()} == {("nc", "ph")}
     assert matching.presence(s.of("pos"), s.of("pos"), ["guid"]).first().present
+
+
+def test_pair_is_staged_once_while_its_tables_stay(spark, tmp_path):
+    """A second call opens the same files; tables written anew, or staged folders that are gone, are derived again."""
+    import shutil
+
+    from tallyweave.sources import lexicon
+
+    for t in lexicon.TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    files = lambda pair: {f for side in pair for f in side.refs.inputFiles()}
+    first = lexicon.staged_pair(spark, str(tmp_path))
+    rows = {tuple(r) for r in first[1].objects.collect()}
+    assert files(lexicon.staged_pair(spark, str(tmp_path))) == files(first)
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").where("s_suppkey <> 1").toPandas().to_parquet(tmp_path / "supplier.parquet")
+    changed = lexicon.staged_pair(spark, str(tmp_path))
+    assert not files(changed) & files(first) and {tuple(r) for r in changed[1].objects.collect()} < rows
+    gone = changed[0].refs.inputFiles()[0].removeprefix("file://").split("/field=")[0]
+    shutil.move(gone, tmp_path / "elsewhere")
+    again = lexicon.staged_pair(spark, str(tmp_path))
+    assert not files(again) & files(changed) and again[0].refs.count() > 0
