@@ -17,6 +17,8 @@ from tallyweave.sources.scratch import bucketed, stage
 LITERALS = 512
 #: Partitions whose offsets are broadcast (16 MB at the utmost); those of more are joined.
 MOST_PARTS = 1 << 20
+#: Ids a partition up to which those that a level asks for are hashed (some 100 bytes each) instead of sorted with the edges.
+HASHED = 2_000_000
 
 
 def walk_tree(objects: DataFrame) -> DataFrame:
@@ -104,21 +106,40 @@ def few(rows: DataFrame) -> list[Row] | None:
     return head if len(head) <= LITERALS else None
 
 
+def hashed(ids: DataFrame, n: int) -> DataFrame:
+    """n different ids as the side of a join that is held in memory, if a partition's share of them is small enough."""
+    return ids.hint("shuffle_hash") if n <= HASHED * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ids
+
+
 def walk(seeds: DataFrame, edges: DataFrame, ranked: bool = True) -> DataFrame:
     """(guid, level, rank): breadth-first closure of seeds (guid, ord) over edges (from_guid, to_guid, pos); without ``ranked``
-    rank is null. Null ids are ignored.
+    rank is null, and neither ord nor pos is asked for. Null ids are ignored.
 
     rank is the visit order: seeds in theirs; then by the first parent's rank and the place in its list. Edges are bucketed
     by their start, so a level joins them without shuffling them; a level of at most LITERALS pieces asks for these alone,
     which reads their buckets only, writes nothing and so costs what it reaches. What was seen is kept in ``Runs``. Cycles end
     because nothing is visited twice. Ranks of a wide level are numbered by range-partitioned sort."""
-    spark = edges.sparkSession
-    table = bucketed(edges.select("from_guid", "to_guid", "pos").where("from_guid IS NOT NULL AND to_guid IS NOT NULL"), "from_guid", "edges")
+    return _walked(seeds, _by_start(edges, ["pos"] if ranked else []), ranked).all().select("guid", "level", "rank")
+
+
+def _by_start(edges: DataFrame, more: list[str]) -> DataFrame:
+    return bucketed(edges.select("from_guid", "to_guid", *more).where("from_guid IS NOT NULL AND to_guid IS NOT NULL"), "from_guid", "edges")
+
+
+def _walked(seeds: DataFrame, table: DataFrame, ranked: bool) -> Runs:
+    """What ``walk`` sees over edges that are bucketed by their start."""
+    spark = table.sparkSession
     seen = Runs(spark, "guid string, level int, rank long")
-    fresh = seeds.where("guid IS NOT NULL").groupBy("guid").agg(F.min("ord").cast("long").alias("k1")).withColumn("k2", F.lit(0).cast("long"))
+    seeds = seeds.where("guid IS NOT NULL")
+    no = F.lit(None).cast("long")
+    if ranked:
+        fresh = seeds.groupBy("guid").agg(F.min("ord").cast("long").alias("k1")).withColumn("k2", F.lit(0).cast("long"))
+    else:
+        fresh = seeds.select("guid").distinct().select("guid", no.alias("k1"), no.alias("k2"))
+    bounds = table.agg(F.min("pos"), F.max("pos")).first() if ranked else None
     base, wide = 0, True
     for level in count():
-        fresh = stage(fresh, "reached") if wide else fresh
+        fresh = bucketed(fresh, "guid", "reached", dealt=True) if wide else fresh
         rows = few(fresh)
         if rows is not None:
             known = {r[0] for r in seen.of([r.guid for r in rows])} if level else set()
@@ -131,16 +152,29 @@ def walk(seeds: DataFrame, edges: DataFrame, ranked: bool = True) -> DataFrame:
             hits, n, wide = table.where(F.col("from_guid").isin([r[0] for r in new])).join(frontier, "from_guid"), len(new), False
         else:
             new = seen.without(fresh)
-            new = _numbered(new, base, level) if ranked else new.select("guid", F.lit(level).alias("level"), F.lit(None).cast("long").alias("rank"))
+            new = _numbered(new, base, level) if ranked else new.select("guid", F.lit(level).alias("level"), no.alias("rank"))
             run = seen.add(new)
             n = run.count()
             if not n:
                 break
-            hits, wide = table.join(run.select(F.col("guid").alias("from_guid"), "rank"), "from_guid"), True
+            hits, wide = table.join(hashed(run.select(F.col("guid").alias("from_guid"), "rank"), n), "from_guid"), True
         base += n
-        best = hits.groupBy(F.col("to_guid").alias("guid")).agg(F.min(F.struct(F.col("rank").alias("k1"), F.col("pos").cast("long").alias("k2"))).alias("k"))
-        fresh = best.select("guid", "k.k1", "k.k2")
-    return seen.all().select("guid", "level", "rank")
+        fresh = _first_met(hits, base, *bounds) if ranked else hits.select(F.col("to_guid").alias("guid")).distinct().select("guid", no.alias("k1"), no.alias("k2"))
+    return seen
+
+
+def _first_met(hits: DataFrame, ranks: int, low: int | None, high: int | None) -> DataFrame:
+    """(guid, k1, k2): the least rank (below ``ranks``) that leads to each guid, and the least pos (low to high, null first)
+    there. Both are one number where that fits a long, since a minimum of pairs would have all hits sorted."""
+    guid = F.col("to_guid").alias("guid")
+    span = 1 if low is None else high - low + 2
+    if ranks * span >= 1 << 63:
+        best = hits.groupBy(guid).agg(F.min(F.struct(F.col("rank").alias("k1"), F.col("pos").cast("long").alias("k2"))).alias("k"))
+        return best.select("guid", "k.k1", "k.k2")
+    at = F.coalesce(F.col("pos").cast("long") - F.lit(low or 0) + 1, F.lit(0)).cast("long")
+    best = hits.groupBy(guid).agg(F.min(F.col("rank") * F.lit(span).cast("long") + at).alias("k"))
+    k2 = F.col("k") % F.lit(span).cast("long")
+    return best.select("guid", F.expr(f"k div {span}L").alias("k1"), F.when(k2 > 0, k2 - 1 + F.lit(low or 0)).cast("long").alias("k2"))
 
 
 def _numbered(rows: DataFrame, base: int, level: int) -> DataFrame:
@@ -149,14 +183,15 @@ def _numbered(rows: DataFrame, base: int, level: int) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list[str], column: str) -> DataFrame:
-    """rows with their position from 0 in ``order``: sorted ranges, numbered with the sizes of those before."""
-    parts = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    """rows with their position from 0 in ``order``: sorted ranges, numbered as they are written, with the sizes of those before."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = stage(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_place", within), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
     offsets = stage(sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")), "offsets")
     offsets = F.broadcast(offsets) if offsets.count() <= MOST_PARTS else offsets.hint("merge")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_place", place).join(offsets, "_part").withColumn(column, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+    return parts.join(offsets, "_part").withColumn(column, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
 def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -165,6 +200,12 @@ def pulled_in_by(visited: DataFrame, seeds: DataFrame, edges: DataFrame) -> Data
     return hits.join(seeds.select(F.col("guid").alias("to_guid")), "to_guid", "left_anti").select(F.col("to_guid").alias("guid"), F.col("from_guid").alias("parent"), "pos")
 
 
+def walked_with_parents(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pulled_in_by`` of all that ``walk`` visits from ``seeds`` (guid): the edges are bucketed by their start once, for both."""
+    table = _by_start(edges, ["pos"])
+    return pulled_in_by(_walked(seeds, table, False).all(), seeds, table)
+
+
 def peeled(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(guid, level, top) of nodes (guid, r) that lie neither in nor behind a cycle of edges (from_guid needs to_guid).
 

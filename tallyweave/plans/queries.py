@@ -188,14 +188,14 @@ def _seeds(spark, sf):
     w(g, level) AS (SELECT g, 0 FROM s UNION SELECT d.t, w.level + 1 FROM w JOIN d ON d.f = w.g WHERE w.level < 32)
     SELECT g AS guid, min(level) AS level FROM w GROUP BY ALL""")
 def closure_bfs_levels(spark, sf):
-    return closure.walk(_seeds(spark, sf), _graph(spark, sf)).select("guid", C("level").cast("int").alias("level"))
+    return closure.walk(_seeds(spark, sf), _graph(spark, sf), ranked=False).select("guid", C("level").cast("int").alias("level"))
 
 
 @query(f"""WITH RECURSIVE {_GRAPH_SQL}, d AS (SELECT DISTINCT f, t FROM e), w(g) AS (SELECT g FROM s UNION SELECT d.t FROM w JOIN d ON d.f = w.g)
     SELECT e.t AS guid, e.f AS parent, count(*) AS times FROM e WHERE e.f IN (SELECT g FROM w) AND e.t NOT IN (SELECT g FROM s) GROUP BY ALL""")
 def closure_pulled_in_by(spark, sf):
     seeds, edges = _seeds(spark, sf), _graph(spark, sf)
-    found = closure.pulled_in_by(closure.walk(seeds, edges).select("guid"), seeds.select("guid"), edges)
+    found = closure.walked_with_parents(seeds, edges)
     return found.groupBy("guid", "parent").agg(F.count("*").alias("times"))
 
 
@@ -227,7 +227,7 @@ def closure_all_orders_ranks(spark, sf):
     SELECT e.t AS guid, e.f AS parent, count(*) AS times FROM e WHERE e.f IN (SELECT g FROM w) AND e.t NOT IN (SELECT g FROM s) GROUP BY ALL""")
 def closure_all_pulled_in_by(spark, sf):
     seeds, edges = _seeds(spark, sf), _graph(spark, sf)
-    found = closure.pulled_in_by(closure.walk(seeds, edges).select("guid"), seeds.select("guid"), edges)
+    found = closure.walked_with_parents(seeds, edges)
     return found.groupBy("guid", "parent").agg(F.count("*").alias("times"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +56,16 @@ def listing(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(one)).first())
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, then: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> DataFrame:
     """``stage`` with the rows hashed by ``key`` into as many buckets as the session shuffles to, each sorted: joins on the key
-    don't shuffle this side, and a filter on a few keys reads their buckets only."""
+    don't shuffle this side, and a filter on a few keys reads their buckets only.
+
+    ``then`` works on the rows once they are dealt, so what it joins or groups by the key needs no shuffle of its own. ``dealt``:
+    the rows come grouped by the key and are written as they lie."""
     spark = df.sparkSession
     unique = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", CODEC).option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
+    rows = df if dealt else df.repartition(n, key)
+    rows = then(rows) if then else rows
+    rows.write.bucketBy(n, key).sortBy(key).option("compression", CODEC).option("path", f"{shared_folder(spark)}/{unique}").saveAsTable(unique)
     return spark.table(unique)
