@@ -211,110 +211,136 @@ def peeled(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
 
     level is 0 for what needs nothing, else one more than the deepest need; top is the greatest r among a node and all that it
     needs, directly or not. Needs that a level fulfils are counted for those that have them; a node is next when its count is
-    full. A wide level is one write of the level and one of its counts, a small one (LITERALS) none. More than ``most`` levels
-    are refused."""
+    full. The needs are dealt once, by what is needed; what a node must count to is kept beside it. A wide level is one write of
+    the level and one of its counts, a small one (LITERALS) none. More than ``most`` levels are refused."""
+    own = bucketed(_once(nodes, "r"), "guid", "nodes", dealt=True)
+    return _peeled(own, _needs(own, edges), most)
+
+
+def _once(nodes: DataFrame, column: str) -> DataFrame:
+    """(guid, column), one row of each guid."""
+    return nodes.where("guid IS NOT NULL").groupBy("guid").agg(F.any_value(column).alias(column))
+
+
+def _needs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The different edges that end at one of ``nodes`` (bucketed), bucketed by that end."""
+    ends = hashed(nodes.select(F.col("guid").alias("to_guid")), nodes.count())
+    within = lambda e: e.join(ends, "to_guid", "left_semi").groupBy("to_guid", "from_guid").agg(F.lit(1).alias("_one")).drop("_one")
+    return bucketed(edges.select("from_guid", "to_guid").where("from_guid IS NOT NULL"), "to_guid", "needs", within)
+
+
+def _peeled(nodes: DataFrame, table: DataFrame, most: int | None = None) -> DataFrame:
+    """``peeled`` of nodes bucketed by guid and their ``_needs``."""
     spark = nodes.sparkSession
-    nodes = stage(nodes.select("guid", "r").where("guid IS NOT NULL").dropDuplicates(["guid"]), "nodes")
-    ends = lambda c: nodes.select(F.col("guid").alias(c))
-    need = stage(edges.select("from_guid", "to_guid").distinct().join(ends("to_guid"), "to_guid", "left_semi").join(ends("from_guid"), "from_guid", "left_semi"), "needs")
-    totals = need.groupBy("from_guid").agg(F.count("*").alias("total"))
-    table = bucketed(need.join(totals, "from_guid").join(nodes.select(F.col("guid").alias("from_guid"), "r"), "from_guid"), "to_guid", "needs")
+    totals = table.groupBy(F.col("from_guid").alias("guid")).agg(F.count("*").alias("total"))
+    info = bucketed(nodes.select("guid", "r").join(totals, "guid", "left"), "guid", "totals")
     kind = nodes.schema["r"].dataType.simpleString()
     done, counts = Runs(spark, f"guid string, level int, top {kind}"), Runs(spark, f"guid string, n long, top {kind}")
-    ready = nodes.join(totals.select(F.col("from_guid").alias("guid")), "guid", "left_anti").select("guid", F.col("r").alias("top"))
+    ready = info.where("total IS NULL").select("guid", F.col("r").alias("top"))
     small: list[tuple] | None = None
     for level in count():
         if small is None:
             run = bucketed(ready.select("guid", F.lit(level).alias("level"), "top"), "guid", "level")
-            if run.isEmpty():
+            n = run.count()
+            if not n:
                 break
             done._file(run, 0)
-            rows = few(run)
-            frontier = run
+            rows = few(run) if n <= LITERALS else None
+            frontier = hashed(run.select(F.col("guid").alias("to_guid"), "top"), n)
         else:
             rows = [Row(guid=g, level=level, top=top) for g, top in small]
             if not rows:
                 break
             done.put([(r.guid, level, r.top) for r in rows])
-            frontier = F.broadcast(spark.createDataFrame([(r.guid, level, r.top) for r in rows], done.schema))
         if level == most:
             raise ReconcileError(f"pieces lie deeper than {most} levels")
+        if rows is not None:
+            few_rows = spark.createDataFrame([(r.guid, level, r.top) for r in rows], done.schema)
+            frontier = F.broadcast(few_rows.select(F.col("guid").alias("to_guid"), "top"))
         own = table if rows is None else table.where(F.col("to_guid").isin([r.guid for r in rows]))
-        met = own.join(frontier.select(F.col("guid").alias("to_guid"), "top"), "to_guid")
-        hits = met.groupBy(F.col("from_guid").alias("guid")).agg(F.count("*").alias("n"), F.max("top").alias("top"), F.any_value("total").alias("total"), F.any_value("r").alias("r"))
+        hits = own.join(frontier, "to_guid").groupBy(F.col("from_guid").alias("guid")).agg(F.count("*").alias("n"), F.max("top").alias("top"))
         some = few(hits) if rows is not None else None
         if some is not None:
+            ids = [r.guid for r in some]
+            of = {r.guid: (r.r, r.total) for r in info.where(F.col("guid").isin(ids)).collect()} if ids else {}
             before: dict[str, list] = {}
-            for g, n, top in counts.of([r.guid for r in some]):
+            for g, n, top in counts.of(ids):
                 before.setdefault(g, []).append((n, top))
             counts.put([(r.guid, r.n, r.top) for r in some])
-            full = [r for r in some if r.n + sum(n for n, _ in before.get(r.guid, ())) == r.total]
-            small = [(r.guid, max([r.r, r.top, *(top for _, top in before.get(r.guid, ()))])) for r in full]
+            full = [r for r in some if r.guid in of and r.n + sum(n for n, _ in before.get(r.guid, ())) == of[r.guid][1]]
+            small = [(r.guid, max([of[r.guid][0], r.top, *(top for _, top in before.get(r.guid, ()))])) for r in full]
             continue
         small = None
-        hits = stage(hits, "hits")
-        sums = union([hits.select("guid", "n", "top"), *counts.touching(hits)]).groupBy("guid").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        ready = hits.select("guid", "total", "r").join(sums, "guid").where("n = total").select("guid", F.greatest("r", "top").alias("top"))
-        ready = stage(ready, "ready")
-        counts.add(hits.select("guid", "n", "top"))
+        hits = bucketed(hits, "guid", "hits", dealt=True)
+        sums = hits
+        if counts.tables():
+            sums = union([hits, *counts.touching(hits)]).groupBy("guid").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        ready = info.join(sums, "guid").where("n = total").select("guid", F.greatest("r", "top").alias("top"))
+        counts._file(hits, 0)
     return done.all()
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(guid, level): 0 for pieces that depend on nothing, else one more than their deepest dependency; null in or behind a
     cycle. More than ``most`` levels are refused."""
-    own = nodes.select("guid").where("guid IS NOT NULL").distinct()
-    found = peeled(own.withColumn("r", F.lit(0)), edges, most).select("guid", "level")
-    return found.unionByName(own.join(found, "guid", "left_anti").select("guid", F.lit(None).cast("int").alias("level")))
+    own = bucketed(_once(nodes.select("guid", F.lit(0).alias("r")), "r"), "guid", "nodes", dealt=True)
+    found = _peeled(own, _needs(own, edges), most).select("guid", "level")
+    return own.select("guid").join(found, "guid", "left")
 
 
 def dependency_places(ranked: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(guid, place): the order of ``dependency_order`` for ranked (guid, rank) and edges (from_guid needs to_guid), at any size.
 
     Taking ready pieces by rank, all that has nothing above a rank within it and its needs comes before anything that has. So
-    pieces sort by the greatest (rank, guid) among themselves and their needs, their top. Of the pieces of one top, the one
-    that has this rank comes first. Where no need is left among the others, they follow by rank; where some are, a heap orders
-    them, a task for each top; with more than ``most`` pieces and needs, they are taken apart by their own tops once more. Pieces
-    in or behind cycles come last, by rank. One range sort by these keys numbers all."""
-    own = stage(ranked.select("guid", F.col("rank").cast("long").alias("rank")).where("guid IS NOT NULL").groupBy("guid").agg(F.min("rank").alias("rank")), "ranked")
-    rank_of = F.struct("rank", "guid")
-    tops = stage(peeled(own.select("guid", rank_of.alias("r")), edges), "tops")
-    work = own.join(tops.select("guid", "top"), "guid").select("guid", "rank", F.array("top").alias("key"))
-    key_type = work.schema["key"].dataType.simpleString()
-    parts = [own.join(tops.select("guid"), "guid", "left_anti").select("guid", "rank", F.array().cast(key_type).alias("key"), F.lit(0).cast("long").alias("step"), F.lit(1).alias("cyclic"))]
+    pieces are numbered by rank and guid, and sort by the greatest number among themselves and their needs, their top. Of the
+    pieces of one top, the one that has this number comes first. Where no need is left among the others, they follow by number;
+    where some are, a heap orders them, a task for each top; with more than ``most`` pieces and needs, they are taken apart by
+    their own tops once more. Pieces in or behind cycles come last, by number. One range sort by these keys places all."""
+    own = ranked.select("guid", F.col("rank").cast("long").alias("rank")).where("guid IS NOT NULL").groupBy("guid").agg(F.min("rank").alias("rank"))
+    own = bucketed(placed(stage(own, "ranked"), ["rank", "guid"], "r").select("guid", "r"), "guid", "ranked")
+    needs = _needs(own, edges)
+    tops = own.join(_peeled(own, needs).select("guid", "top"), "guid", "left")
+    work = stage(tops.select("guid", "r", "top", F.array("top").alias("key")), "work")
+    at = lambda df, step, cyclic=0: df.select("guid", "r", "key", step.cast("long").alias("step"), F.lit(cyclic).alias("cyclic"))
+    parts = [at(work.where("top IS NULL").withColumn("key", F.array().cast("array<bigint>")), F.lit(0), 1)]
+    work = work.where("top IS NOT NULL")
+    edges = _same_top(needs, work.where("top <> r"), "guid")
     while True:
-        work = stage(work, "work")
-        head = F.element_at("key", -1) == rank_of
-        parts.append(work.where(head).select("guid", "rank", "key", F.lit(0).cast("long").alias("step"), F.lit(0).alias("cyclic")))
-        rest = work.where(~head)
-        at = lambda c: rest.select(F.col("guid").alias(c), F.col("key").alias(f"{c}_key"))
-        edges = edges.select("from_guid", "to_guid").join(at("from_guid"), "from_guid").join(at("to_guid"), "to_guid").where("from_guid_key = to_guid_key")
-        edges = stage(edges.select("from_guid", "to_guid", F.col("from_guid_key").alias("key")).distinct(), "inner")
-        loads = edges.groupBy("key").agg(F.count("*").alias("needs"))
-        sizes = stage(rest.groupBy("key").agg(F.count("*").alias("pieces")).join(loads, "key", "left").select("key", (F.col("pieces") + F.col("needs")).alias("load")), "loads")
-        rest = stage(rest.join(sizes, "key"), "rest")
-        parts.append(rest.where("load IS NULL").select("guid", "rank", "key", F.lit(1).cast("long").alias("step"), F.lit(0).alias("cyclic")))
-        small = sizes.where(F.col("load") <= most).select("key")
-        pieces = rest.where(F.col("load") <= most).select("key", "guid", "rank", F.lit(None).cast("string").alias("to_guid"))
-        needs = edges.join(small, "key", "left_semi").select("key", F.col("from_guid").alias("guid"), F.lit(None).cast("long").alias("rank"), "to_guid")
-        name = F.sha2(F.to_json(F.struct("key")), 256)
-        heaps = pieces.unionByName(needs).withColumn("name", name).select("name", "guid", "rank", "to_guid").groupBy("name").applyInPandas(_heap, "guid string, step long")
-        parts.append(pieces.select("guid", "rank", "key").join(heaps, "guid").select("guid", "rank", "key", "step", F.lit(0).alias("cyclic")))
+        parts.append(at(work.where("top = r"), F.lit(0)))
+        loads = edges.groupBy("top").agg(F.count("*").alias("needs"))
+        sizes = work.where("top <> r").groupBy("top").agg(F.count("*").alias("pieces")).join(loads, "top", "left")
+        sizes = stage(sizes.select("top", (F.col("pieces") + F.col("needs")).alias("load")), "loads")
+        rest = stage(work.where("top <> r").join(sizes, "top"), "rest")
+        parts.append(at(rest.where("load IS NULL"), F.lit(1)))
+        pieces = rest.where(F.col("load") <= most)
+        small = edges.join(sizes.where(F.col("load") <= most), "top", "left_semi").select("top", F.col("from_r").alias("r"), "to_r")
+        heaps = pieces.select("top", "r", F.lit(None).cast("long").alias("to_r")).unionByName(small).groupBy("top").applyInPandas(_heap, "r long, step long")
+        parts.append(at(pieces.join(heaps, "r"), F.col("step")))
         large = rest.where(F.col("load") > most)
         if large.isEmpty():
             break
-        edges = edges.join(large.select("key").distinct(), "key", "left_semi").select("from_guid", "to_guid")
-        tops = peeled(large.select("guid", rank_of.alias("r")), edges)
-        work = large.select("guid", "rank", "key").join(tops, "guid").select("guid", "rank", F.concat("key", F.array("top")).alias("key"))
-    return placed(union(parts), ["cyclic", "key", "step", "rank", "guid"], "place").select("guid", "place")
+        edges = edges.join(large.select("top").distinct(), "top", "left_semi").select("from_r", "to_r")
+        text = lambda df, **c: df.select(*(F.col(a).cast("string").alias(b) for b, a in c.items()))
+        tops = peeled(large.select(F.col("r").cast("string").alias("guid"), "r"), text(edges, from_guid="from_r", to_guid="to_r"))
+        tops = tops.select(F.col("guid").cast("long").alias("r"), F.col("top").alias("_top"))
+        work = stage(large.join(tops, "r").select("guid", "r", F.col("_top").alias("top"), F.concat("key", F.array("_top")).alias("key")), "work")
+        edges = _same_top(edges, work.where("top <> r"), "r")
+    return placed(union(parts), ["cyclic", "key", "step", "r"], "place").select("guid", "place")
+
+
+def _same_top(edges: DataFrame, rest: DataFrame, end: str) -> DataFrame:
+    """(top, from_r, to_r): different edges whose ends (their ``end``) lie among ``rest`` (guid, r, top) and share their top."""
+    side = lambda c: rest.select(F.col(end).alias(f"{c}_{end}"), F.col("r").alias(f"_{c}"), F.col("top").alias(f"_{c}_top"))
+    both = edges.join(side("to"), f"to_{end}").join(side("from"), f"from_{end}").where("_from_top = _to_top")
+    return stage(both.select(F.col("_to_top").alias("top"), F.col("_from").alias("from_r"), F.col("_to").alias("to_r")).distinct(), "inner")
 
 
 def _heap(rows: pd.DataFrame) -> pd.DataFrame:
     """Steps (from 1) of the pieces of one top."""
-    of = rows[rows.to_guid.isna()]
-    needs = rows[rows.to_guid.notna()]
-    order = dependency_order(list(zip(of.guid, of["rank"].astype("int64"), strict=True)), list(zip(needs.guid, needs.to_guid, strict=True)), len(rows))
-    return pd.DataFrame({"guid": order, "step": range(1, len(order) + 1)})
+    of = rows.r[rows.to_r.isna()].astype("int64").tolist()
+    needs = rows[rows.to_r.notna()]
+    order = dependency_order([(r, r) for r in of], list(zip(needs.r.astype("int64").tolist(), needs.to_r.astype("int64").tolist(), strict=True)), len(of))
+    return pd.DataFrame({"r": order, "step": range(1, len(order) + 1)})
 
 
 def dependency_order(ranked: list[tuple[str, int]], edges: list[tuple[str, str]], most: int = 1_000_000) -> list[str]:

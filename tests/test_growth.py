@@ -58,3 +58,31 @@ def test_retraction_asks_plan_and_target_for_the_ends_alone(spark):
         got = closure.retracted(refs, ids("y", "y", "z"), ids("a", "b", "c", "d", "e", "w"), asking).collect()
         assert {(r.source_guid, r.detail) for r in got} == want
     assert closure.among(ids("y", "y", "z"), ids("y", "q")).collect() == [("y",)]
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_least_ranks_are_found_without_sorting_the_hits(spark):
+    hits = spark.createDataFrame([("a", 7, 3), ("a", 5, 9), ("a", 5, -2), ("b", 6, None), ("b", 6, -4), ("c", 0, 8)], "to_guid string, rank long, pos int")
+    for low, high in ((-4, 9), (-(1 << 62), 1 << 62)):  # one number, and pairs
+        got = closure._first_met(hits, 8, low, high)
+        assert {tuple(r) for r in got.collect()} == {("a", 5, -2), ("b", 6, None), ("c", 0, 8)}
+    assert "SortAggregate" not in physical(closure._first_met(hits, 8, -4, 9))
+
+
+def test_places_are_numbered_without_another_shuffle(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, str(i)) for i in range(100)], "k long, guid string")
+    got = closure.placed(rows, ["k", "guid"], "place")
+    assert [r.place for r in sorted(got.collect(), key=lambda r: (r.k, r.guid))] == list(range(100))
+    assert "Window" not in physical(got) and "hashpartitioning" not in physical(got)
+
+
+def test_needs_are_dealt_once_and_carry_ends_alone(spark):
+    own = closure.bucketed(spark.createDataFrame([("a", 1), ("b", 2)], "guid string, r long"), "guid", "nodes")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("c", "b", 1), ("a", "q", 1), (None, "b", 1)], "from_guid string, to_guid string, pos int")
+    needs = closure._needs(own, edges)
+    assert sorted(tuple(r) for r in needs.select("from_guid", "to_guid").collect()) == [("a", "b"), ("c", "b")] and len(needs.columns) == 2
+    levels = closure.dependency_levels(own.select("guid"), edges).collect()
+    assert {(r.guid, r.level) for r in levels} == {("a", 1), ("b", 0)}
