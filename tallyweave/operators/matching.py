@@ -42,11 +42,18 @@ def remap_of(created: DataFrame, run_id: str) -> DataFrame:
 
 
 def rewired(refs: DataFrame, remap: DataFrame, target: DataFrame) -> DataFrame:
-    """refs (from_guid, field, to_guid, ord) with both ends moved to their target ids; refs to what the target lacks go."""
-    moved = refs.join(remap.select(F.col("source_guid").alias("from_guid"), F.col("target_guid").alias("_f")), "from_guid", "left")
-    moved = moved.join(remap.select(F.col("source_guid").alias("to_guid"), F.col("target_guid").alias("_t")), "to_guid", "left")
-    out = moved.select(F.coalesce("_f", "from_guid").alias("from_guid"), "field", F.coalesce("_t", "to_guid").alias("to_guid"), "ord")
-    return out.join(target.select(F.col("guid").alias("to_guid")).distinct(), "to_guid", "left_semi").select("from_guid", "field", "to_guid", "ord")
+    """refs (from_guid, field, to_guid, ord) with both ends moved to their target ids; refs to what the target lacks go.
+
+    What an end becomes, if the target has it, is worked out from remap and target alone. So references meet one table at either
+    end, and new ids, the widest columns, come in after they were shuffled for the last time."""
+    there = target.select(F.col("guid").alias("_t")).distinct()
+    moved = remap.select(F.col("source_guid").alias("to_guid"), F.coalesce("target_guid", "source_guid").alias("_t"))
+    ends = moved.join(there, "_t", "left_semi").select("to_guid", "_t")
+    ends = ends.unionByName(there.select(F.col("_t").alias("to_guid"), "_t").join(moved.select("to_guid"), "to_guid", "left_anti"))
+    short = F.when(F.col("_t") != F.col("to_guid"), F.col("_t"))  # null: stays
+    kept = refs.join(ends.select("to_guid", short.alias("_t")), "to_guid")
+    out = kept.join(remap.select(F.col("source_guid").alias("from_guid"), F.col("target_guid").alias("_f")), "from_guid", "left")
+    return out.select(F.coalesce("_f", "from_guid").alias("from_guid"), "field", F.coalesce("_t", "to_guid").alias("to_guid"), "ord")
 
 
 def unmatched_refs(refs: DataFrame, target: DataFrame) -> DataFrame:

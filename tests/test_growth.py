@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyweave.model import Selection, Snapshot
-from tallyweave.operators import closure
+from tallyweave.operators import closure, matching
 from tallyweave.plans import run
 from tallyweave.sources import lexicon
 
@@ -86,3 +86,13 @@ def test_needs_are_dealt_once_and_carry_ends_alone(spark):
     assert sorted(tuple(r) for r in needs.select("from_guid", "to_guid").collect()) == [("a", "b"), ("c", "b")] and len(needs.columns) == 2
     levels = closure.dependency_levels(own.select("guid"), edges).collect()
     assert {(r.guid, r.level) for r in levels} == {("a", 1), ("b", 0)}
+
+
+def test_references_meet_one_table_at_either_end(spark):
+    """New ids of the starts come in by the last join; before, references carried them to the target."""
+    refs = spark.createDataFrame([("a", "f", "x", 1), ("b", "f", "x", 2), ("a", "f", "y", 3), ("a", "f", "z", 4), ("b", "f", "w", 5), ("a", "f", None, 6)], "from_guid string, field string, to_guid string, ord int")
+    remap = spark.createDataFrame([("a", "A"), ("x", "X"), ("z", "gone"), ("w", None)], "source_guid string, target_guid string")
+    target = spark.createDataFrame([(g,) for g in ("X", "x", "y", "y", "z", "w")], "guid string")
+    got = matching.rewired(refs, remap, target)
+    assert sorted(tuple(r) for r in got.collect()) == [("A", "f", "X", 1), ("A", "f", "y", 3), ("b", "f", "X", 2), ("b", "f", "w", 5)]
+    assert "LeftOuter" in plan_text(got).splitlines()[1]
