@@ -15,7 +15,7 @@ from .common import concat_ranges, starts_of, utf8
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\v\p{Z}\x{85}\p{L}\p{N}]+"
 #: For rows without an apostrophe: letters apart from the rest; the library cuts up what is not letters.
 NOT_LETTERS = r"[^\s\p{L}]+"
-#: Words kept in the worker's cache; when full it is emptied, so memory is bounded.
+#: Words kept in the worker's cache; when full, those that the last batch lacked go, so memory is bounded.
 CACHE = 200_000
 
 
@@ -37,28 +37,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        #: Words that were encoded, their ids end to end, and where each one's start (one more: the end).
+        self.known, self.ids, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         #: The byte-level alphabet: bytes that are not printable Latin-1 stand at 256 and up, in their order.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(printable))}
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token. A run of letters goes straight to the library's model, spelt in its byte alphabet."""
-        known, tokenize = self.known, self.lib.model.tokenize
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        fresh: dict[str, bytes] = {}
-        for w in new:
-            if w.isalpha():
-                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet)
-                fresh[w] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
-            else:
-                fresh[w] = array("I", self.lib.encode(w, add_special_tokens=False).ids).tobytes()
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-        return [fresh[w] if w in fresh else known[w] for w in words]
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pre-tokens end to end, and how many each has. Runs of letters go straight to the library's model, spelt in its byte
+        alphabet; those beyond ASCII are spelt all at once."""
+        texts, tokenize = words.to_pylist(), self.lib.model.tokenize
+        letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        wide = np.flatnonzero(letters & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist()
+        spelt = "\n".join([texts[i] for i in wide]).encode().decode("latin-1").translate(self.alphabet)
+        for i, s in zip(wide, spelt.split(chr(self.alphabet[10])), strict=False):
+            texts[i] = s
+        ids, ends = array("I"), array("q", [0])
+        for w, run in zip(texts, letters.tolist(), strict=True):
+            ids.extend([t.id for t in tokenize(w)] if run else self.lib.encode(w, add_special_tokens=False).ids)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and of each of these different pre-tokens where in them its own start and how many they are. Known ones are looked up
+        in Arrow; only new ones become Python texts."""
+        words = words.cast(pa.string())
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        fresh = words.filter(pa.array(new))
+        more, n = self._fresh(fresh)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.known) + np.arange(len(fresh))
+        known, ids = pa.concat_arrays([self.known, fresh]), np.concatenate([self.ids, more])
+        starts = np.concatenate([self.starts[:-1], len(self.ids) + starts_of(n)])
+        first, size = starts[at], np.diff(starts)[at]
+        if len(known) > CACHE:
+            known, few = known.take(pa.array(at[:CACHE])), concat_ranges(first[:CACHE], size[:CACHE])
+            self.known, self.ids, self.starts = known, ids[few], starts_of(size[:CACHE])
+        else:
+            self.known, self.ids, self.starts = known, ids, starts
+        return ids, first, size
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all rows end to end, and how many each row has; null is empty."""
@@ -81,12 +99,10 @@ class Encoder:
             lists = pc.ascii_split_whitespace(spaced)
             per_row = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
-            found = self._words(coded.dictionary.to_pylist())
-            size = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
-            flat = np.frombuffer(b"".join(found), np.uint32)
+            flat, first, size = self._words(coded.dictionary)
             word = coded.indices.to_numpy(zero_copy_only=False)
             per_word = size[word]
-            ids = flat[concat_ranges(starts_of(size)[:-1][word], per_word)]
+            ids = flat[concat_ranges(first[word], per_word)]
             n = np.diff(starts_of(per_word)[starts_of(per_row)])
             counts[easy] = n
         if not len(whole):

@@ -727,3 +727,17 @@ def test_packing_of_repeated_and_null_ids(spark):
     for runs in inside.values():
         runs.sort()
         assert [o for o, _ in runs] == [sum(n for _, n in runs[:i]) for i in range(len(runs))] and sum(n for _, n in runs) <= 2048
+
+
+def test_encoder_keeps_the_words_of_the_last_batch_when_full(monkeypatch):
+    """Only words that the batch before lacked are encoded again, and ids stay the library's whatever the cache holds."""
+    monkeypatch.setattr(tokens, "CACHE", 6)
+    enc, asked = tokens.Encoder(tokens.vocabulary_path()), []
+    fresh = enc._fresh
+    monkeypatch.setattr(enc, "_fresh", lambda words: asked.append(words.to_pylist()) or fresh(words))
+    batches = [["one two naïve", "été 7 one"], ["one two three"], ["one two four five"], ["a b c d e f g h one"], ["h one"]]
+    for texts in batches:
+        ids, n = tokens.with_end(*enc(pa.array(texts)), 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.tolist() for x in library_ids(texts)]
+        assert len(enc.known) <= 6
+    assert asked[:3] == [["one", "two", "naïve", "été", "7"], ["three"], ["four", "five"]] and asked[4] == ["h", "one"]
