@@ -45,22 +45,26 @@ def serialize(run_id: Column, source: Column, timestamp: Column, snap: Column |
     return F.when(valid(run_id, timestamp) & ~source.contains(SEPARATOR), tag)
 
 
-def parse(text: Column) -> Column:
-    """struct(run_id, source, ts, snap, merge) of the last tag in ``text``, or null.
+def parse(text: Column, *fields: str) -> Column:
+    """struct(run_id, source, ts, snap, merge) of the last tag in ``text``, or null; with ``fields`` of these alone, so that bodies
+    nobody asks for aren't decoded.
 
     The last marker's line counts, else the first line. Four to six segments; snap before merge, each at most once; any
     other segment or a bad id gives null. A body that is no base64 is null in an otherwise good tag."""
-    line = F.trim(F.split(F.when(text.contains(MARKER), F.substring_index(text, MARKER, -1)).otherwise(text), "\n")[0])
-    seg = F.split(line, r"\|")
-    n = F.size(seg)
-    at = lambda i: F.get(seg, F.lit(i))
+    line = F.trim(F.split(F.when(text.contains(MARKER), F.substring_index(text, MARKER, -1)).otherwise(text), "\n", 2)[0])
     body = lambda c, k: F.substring(c, len(k) + 2, 1 << 30)
-    fifth_snap, fifth_merge, sixth_merge = at(4).startswith("snap="), at(4).startswith("merge="), at(5).startswith("merge=")
-    order = F.when(n == 4, True).when(n == 5, fifth_snap | fifth_merge).when(n == 6, fifth_snap & sixth_merge).otherwise(False)
-    snap = F.when((n >= 5) & fifth_snap, body(at(4), "snap"))
-    merge = F.when((n == 5) & fifth_merge, body(at(4), "merge")).when(n == 6, body(at(5), "merge"))
-    ok = order & (at(0) == PREFIX) & valid(at(1), at(3))
-    return F.when(ok, F.struct(at(1).alias("run_id"), at(2).alias("source"), at(3).alias("ts"), decode(snap).alias("snap"), decode(merge).alias("merge")))
+
+    def tag(seg: Column) -> Column:
+        n = F.size(seg)
+        at = lambda i: F.get(seg, F.lit(i))
+        fifth_snap, fifth_merge, sixth_merge = at(4).startswith("snap="), at(4).startswith("merge="), at(5).startswith("merge=")
+        order = F.when(n == 4, True).when(n == 5, fifth_snap | fifth_merge).when(n == 6, fifth_snap & sixth_merge).otherwise(False)
+        snap = F.when((n >= 5) & fifth_snap, body(at(4), "snap"))
+        merge = F.when((n == 5) & fifth_merge, body(at(4), "merge")).when(n == 6, body(at(5), "merge"))
+        parts = {"run_id": at(1), "source": at(2), "ts": at(3), "snap": decode(snap), "merge": decode(merge)}
+        return F.when(order & (at(0) == PREFIX) & valid(at(1), at(3)), F.struct(*(parts[f].alias(f) for f in fields or parts)))
+
+    return F.transform(F.array(F.split(line, r"\|")), tag)[0]  # a list of one, so that the line is cut once for all of its parts
 
 
 def carry(existing: Column, class_name: Column, tag: Column) -> Column:

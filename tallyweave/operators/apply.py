@@ -183,11 +183,12 @@ def applied_snapshot(context: RunContext, plan: DataFrame, source: Snapshot, tar
     results = outcomes(plan, new, failed, target, refs, remap)
     if decisions is not None or accept_priors:
         if decisions is not None:
+            decisions = stage(decisions, "given")
             conflicts.require_unique(decisions)
-        found = stage(conflicts.collected(plan, source, target), "conflicts")
+        found = stage(conflicts.collected(plan, source, target).select("guid", "field", "l", "r"), "conflicts")  # nobody reads their texts
         decisions = stage(conflicts.with_priors(found, decisions, target.residue, accept_priors), "decisions")
         conflicts.require_decisions(found, decisions)
-        resolved = stage(conflicts.apply_decisions(found, decisions, context.run_id), "decided")
+        resolved = stage(conflicts.apply_decisions(found, decisions, context.run_id).drop("value"), "decided")
         update = conflicts.decided_facts(update, resolved)
         log = conflicts.decision_log(decisions.join(found.select("guid", "field"), ["guid", "field"], "left_semi"))
         category = over.select(F.col("target_guid").alias("source_guid"), "category")

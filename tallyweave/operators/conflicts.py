@@ -127,8 +127,9 @@ def interactive_skips(decided: DataFrame) -> DataFrame:
 def prior_decisions(residue_text: DataFrame) -> DataFrame:
     """(guid, field, resolution, custom_value, prior_run_id) out of tagged texts (guid, carrier, seq, text): of each piece the
     last text of carrier A, or of B where A has none, if it is a tag with a readable log."""
-    parsed = residue.latest(residue_text.where("coalesce(text, '') <> ''")).select("guid", residue.parse(F.col("text")).alias("p"))
-    return recalled(parsed.select("guid", F.col("p.merge").alias("log"))).join(parsed.select("guid", F.col("p.run_id").alias("prior_run_id")), "guid")
+    parsed = residue.latest(residue_text.where("coalesce(text, '') <> ''")).select("guid", residue.parse(F.col("text"), "run_id", "merge").alias("p"))
+    told = recalled(parsed.select("guid", F.col("p.merge").alias("log"), F.col("p.run_id").alias("prior_run_id")))
+    return told.select("guid", "field", "resolution", "custom_value", "prior_run_id")
 
 
 def accepted_priors(found: DataFrame, prior: DataFrame) -> DataFrame:
@@ -234,10 +235,12 @@ def with_priors(found: DataFrame, decisions: DataFrame | None, residue_now: Data
 
 
 def recalled(residue: DataFrame) -> DataFrame:
-    """(guid, field, resolution, custom_value) out of residue (guid, log): nothing where the log can't be read."""
+    """(guid, field, resolution, custom_value) out of residue (guid, log): nothing where the log can't be read. Other columns of
+    residue come along."""
     schema = "array<struct<field:string,resolution:string,custom_value:string>>"
-    rows = residue.select("guid", F.explode(F.from_json("log", schema)).alias("d"))
-    return rows.where("d.field IS NOT NULL").select("guid", "d.*")
+    own = [c for c in residue.columns if c != "log"]
+    rows = residue.select(*own, F.explode(F.from_json("log", schema)).alias("d"))
+    return rows.where("d.field IS NOT NULL").select(*own, "d.*")
 
 
 def refs_replaced(target: DataFrame, source: DataFrame, field: str, touched: DataFrame) -> DataFrame:

@@ -178,10 +178,10 @@ def run_tags_of_two_runs(spark, sf):
     first = apply.applied_snapshot(FIRST, once, s, t, open_how)
     between = _snapshot(spark, first.objects, first.refs, first.props, first.residue)
     second = apply.applied_snapshot(SECOND, plan(between), s, between, accept_priors=True)
-    tag = residue.parse(C("text"))
+    left, tag = second.residue.withColumn("tag", residue.parse(C("text"), "run_id", "merge")), C("tag")
     log = F.from_json(tag.merge, "array<struct<field:string,prior_run_id:string>>")
     carried = F.size(F.filter(F.coalesce(log, F.array().cast("array<struct<field:string,prior_run_id:string>>")), lambda d: d.prior_run_id == FIRST.run_id))
-    return second.residue.select("guid", (F.size(F.split("text", "GT\\|")) - 1).alias("tags"), tag.run_id.alias("run_id"), carried.alias("carried"), C("text").startswith("Prose.").alias("prose"))
+    return left.select("guid", (F.size(F.split("text", "GT\\|")) - 1).alias("tags"), tag.run_id.alias("run_id"), carried.alias("carried"), C("text").startswith("Prose.").alias("prose"))
 
 
 # Outcomes, late references, writing systems

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tallyweave.functions import residue
 from tallyweave.model import Selection, Snapshot
-from tallyweave.operators import closure, matching
+from tallyweave.operators import closure, conflicts, matching
 from tallyweave.plans import run
 from tallyweave.sources import lexicon
 
@@ -96,3 +97,21 @@ def test_references_meet_one_table_at_either_end(spark):
     got = matching.rewired(refs, remap, target)
     assert sorted(tuple(r) for r in got.collect()) == [("A", "f", "X", 1), ("A", "f", "y", 3), ("b", "f", "X", 2), ("b", "f", "w", 5)]
     assert "LeftOuter" in plan_text(got).splitlines()[1]
+
+
+def test_tags_are_cut_once_and_only_parts_that_are_asked_for_are_decoded(spark):
+    merge = residue.encode(F.lit('[{"field":"f","resolution":"skip","custom_value":null}]'))
+    run, time = F.lit("GT-20260619-150000"), F.lit("2026-06-19T15:00:00")
+    tag = residue.serialize(run, F.lit("src"), time, F.lit("{}"), F.lit('[{"field":"f","resolution":"skip","custom_value":null}]'))
+    rows = spark.range(6).select("id", tag.alias("tag"), merge.alias("merge"))
+    texts = F.element_at(F.array(F.col("tag"), F.concat(F.lit("a\n\n[GT-Tag]: "), "tag", F.lit("\nb")), F.lit("GT|x"), F.lit(""), F.lit(None).cast("string"), F.concat_ws("|", F.lit("GT"), run, F.lit("s"), time, F.lit("snap=!"))), (F.col("id") + 1).cast("int"))
+    rows = spark.createDataFrame(rows.select("id", texts.alias("text")).collect(), "id long, text string")
+    few = rows.select("id", residue.parse(F.col("text"), "run_id", "merge").alias("p"))
+    whole = rows.select("id", residue.parse(F.col("text")).alias("p"))
+    assert few.schema["p"].dataType.names == ["run_id", "merge"]
+    want = [(r.id, r.p and (r.p.run_id, r.p.merge)) for r in whole.orderBy("id").collect()]
+    assert [(r.id, r.p and tuple(r.p)) for r in few.orderBy("id").collect()] == want and [bool(p) for _, p in want] == [True, True, False, False, False, True]
+    assert physical(few).split("\n")[0].count("split(") <= 2 and want[0][1][1].startswith("[{")
+    prior = conflicts.prior_decisions(rows.select(F.col("id").cast("string").alias("guid"), F.lit("A").alias("carrier"), F.lit(1).alias("seq"), "text"))
+    assert sorted(tuple(r) for r in prior.collect()) == [(g, "f", "skip", None, "GT-20260619-150000") for g in ("0", "1")]
+    assert "Join" not in plan_text(prior)
