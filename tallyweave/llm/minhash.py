@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, mix, slices, stage, starts_of, utf8, word_names
+from .common import MIX_A, lean, mix, slices, stage, starts_of, utf8, word_names
 from .components import connected_components
 
 WORDS, DEPTH, SMALL = 5, 4, 64
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, trees: int) -> DataFrame:
                     ["doc_id", "mark", "n_shingles", "set_a", "set_b", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, set_a long, set_b long, keys array<long>, sketch binary")
+    return docs.mapInArrow(lean(run), "doc_id long, mark long, n_shingles long, set_a long, set_b long, keys array<long>, sketch binary")
 
 
 def _join_labels(linked: np.ndarray) -> np.ndarray:
@@ -265,7 +265,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 sets = [s[a:z].tobytes() for a, z in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(8 * counts), pa.array(sets, pa.binary())], ["rep", "grp", "bytes", "shingles"])
 
-    full = stage(texts.select("rep", "text", "grp").mapInArrow(run, "rep long, grp long, bytes long, shingles binary"), "sets")
+    full = stage(texts.select("rep", "text", "grp").mapInArrow(lean(run), "rep long, grp long, bytes long, shingles binary"), "sets")
     parts = stage(full.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("long").alias("parts")), "parts")
     dealt = full.join(parts.hint("merge"), "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
 

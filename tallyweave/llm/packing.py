@@ -12,13 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, starts_of, utf8
+from .common import lean, slices, starts_of, utf8
 from .tokens import encoder, vocabulary_path, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Remainders that wait for a window: windows are filled while more than this many wait.
 POOL = 2048
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 
 
 def subset_sum(lengths: dict[int, int], target: int) -> dict[int, int]:
@@ -137,7 +139,7 @@ def pack(
 
         for batch in batches:
             keys, text = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in slices(utf8(text)[1], 6 << 20):
+            for lo, hi in slices(utf8(text)[1], SLICE):
                 ids, n = with_end(*enc(text.slice(lo, hi - lo)), end_id)
                 ids, at = ids.astype("<u4"), starts_of(n)
                 for i in range(hi - lo):
@@ -147,4 +149,4 @@ def pack(
         yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, starts_of, utf8, word_hashes
+from .common import lean, slices, stage, starts_of, utf8, word_hashes
 
 #: Labelled rows used for fitting, at most; beyond it, those with the least hash of their id.
 MAX_LABELLED = 500_000
@@ -78,7 +78,7 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size:
                 total += np.frombuffer(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    few = rows.mapInArrow(local, "s binary").repartition(4).mapInArrow(merge, "s binary").collect()
+    few = rows.mapInArrow(lean(local), "s binary").repartition(4).mapInArrow(lean(merge), "s binary").collect()
     return np.sum([np.frombuffer(r.s) for r in few], axis=0) if few else np.zeros(size)
 
 
@@ -136,7 +136,7 @@ class QualityModel:
         schema = docs.select("*", F.lit(0.0).cast("double").alias(score_col)).schema
         for f in schema.fields:
             f.nullable = True
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lean(run), schema)
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +148,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), x], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, x array<double>"), "statistics")
+    return stage(rows.mapInArrow(lean(run), "doc_id long, x array<double>"), "statistics")
 
 
 def held_out(doc_id: str = "doc_id"):

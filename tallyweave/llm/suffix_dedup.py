@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORD, concat_ranges, free_name, mix, powers, slices, stage, starts_of, utf8
+from .common import BYTE_WORD, concat_ranges, free_name, lean, mix, powers, slices, stage, starts_of, utf8
 
 LENGTH, GRAM = 200, 64
 #: Bytes handled at once in a pass over texts; bytes from which a suffix array takes no further group; units of one group in
@@ -224,7 +224,7 @@ def _dealt_again(wide: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """(pieces that fit suffix arrays, spans already known) of groups that are too large, halved until none is."""
     fit, spans, names = [], [], [x.split()[0] for x in PIECE.split(", ")]
     while not wide.isEmpty():
-        halves = stage(wide.mapInArrow(_halves, PIECE + ", h1 long, h2 long"), "halves")
+        halves = stage(wide.mapInArrow(lean(_halves), PIECE + ", h1 long, h2 long"), "halves")
         same = ["g", "h1", "h2", "lead", "n"]
         one = ("lo", "hi", "k1", "k2", "s", "data")
         kinds = halves.groupBy(*same).agg(F.sum("weight").alias("weight"), F.count("*").alias("met"), *(F.any_value(c).alias(c) for c in one))
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows, names = _keyed(docs, id_col, text_col)
     text = rows.select(*(F.col(x).alias(y) for x, y in zip(names, ("k1", "k2", "text"), strict=True)))
-    all_units = stage(text.mapInArrow(cut, UNIT), "units")
+    all_units = stage(text.mapInArrow(lean(cut), UNIT), "units")
     # counts are written first, so that their join is one that Spark can split where an anchor is very common
     often = stage(all_units.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "anchors")
     found = stage(all_units.join(often.hint("merge"), "a"), "repeated-anchors")
@@ -302,10 +302,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lo, hi = (pa.array(np.full(len(at), x, np.int32)) for x in (0, LENGTH - GRAM))
             yield pa.RecordBatch.from_arrays([col["g"], lo, hi, col["lead"], col["n"], col["weight"], b.column(0).take(row), b.column(1).take(row), col["place"], data, col["kinds"]], [*(x.split()[0] for x in PIECE.split(", ")), "kinds"])
 
-    fetched = stage(texts.mapInArrow(fetch, PIECE + ", kinds long"), "fetched")
+    fetched = stage(texts.mapInArrow(lean(fetch), PIECE + ", kinds long"), "fetched")
     fit, known = _dealt_again(fetched.where(F.col("kinds") > PART).drop("kinds"))
     fit = _union([fetched.where(F.col("kinds") <= PART).drop("kinds"), *fit])
-    spans += [*known, fit.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted, SPAN)]
+    spans += [*known, fit.repartition("g").sortWithinPartitions("g").mapInArrow(lean(_sorted), SPAN)]
     return _union(spans).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
@@ -369,7 +369,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined, text, spans = _joined(docs, id_col, text_col)
     rows = joined.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(spans).alias("spans"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,4 +392,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     joined, _, spans = _joined(docs, id_col, text_col)
-    return joined.select(*names, spans).mapInArrow(run, docs.schema)
+    return joined.select(*names, spans).mapInArrow(lean(run), docs.schema)

@@ -344,3 +344,23 @@ def test_improbable_siblings_are_not_lost():
     value, log_p, found = _drawn(lat, long, 4, 3)
     assert np.isfinite(value).all() and all((np.diff(value[:, i]) < 0).all() for i in range(3))
     assert len({t[: len(long)].tobytes() for t in found.taken}) == 4
+
+
+def test_workers_hand_back_what_they_freed():
+    """Memory below what is still held stays with the process unless it is handed back."""
+    held = []
+
+    def run(batches):
+        for b in batches:
+            freed = [np.ones(2000) for _ in range(8000)]  # 128 MB
+            held.append(np.ones(2000))
+            del freed
+            yield b
+
+    def used():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) >> 10
+
+    before = used()
+    assert len(list(common.lean(run)([1, 2]))) == 2
+    assert used() < before + 64
