@@ -33,7 +33,7 @@ SAMPLES, ALPHA, SEED = 2, 0.002, 17
 SPACE = "▁"
 SCHEMA = "sample int, ids array<int>, pieces array<string>, log_p double, inclusion double"
 #: Bytes of text whose lattices are laid together, and of text that is searched at once; a longer text stands alone.
-LAID_BYTES, PART_BYTES = 1 << 20, 128 << 10
+LAID_BYTES, PART_BYTES = 1 << 20, 256 << 10
 _U = np.uint64
 
 
@@ -51,7 +51,7 @@ def _hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _name(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` characters from each place on."""
-    return (total[at + size] - total[at]) * down[at] + _U(size)
+    return (total.take(at + size) - total.take(at)) * down.take(at) + _U(size)
 
 
 def _whole(codes: np.ndarray) -> np.ndarray:
@@ -131,12 +131,12 @@ class Lattice:
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are those of pieces, and the places of these among the pieces' own."""
         top = (h >> _U(44)).astype(np.int32)
-        at = np.flatnonzero(self.some[top])
-        k, h = self.slot[top[at]], h[at]
+        at = np.flatnonzero(self.some.take(top))
+        k, h = self.slot.take(top.take(at)), h.take(at)
         for _ in range(self.deepest - 1):
-            k += self.key[k] < h
-        ok = np.flatnonzero(self.key[k] == h)
-        return at[ok], k[ok]
+            k += self.key.take(k) < h
+        ok = np.flatnonzero(self.key.take(k) == h)
+        return at.take(ok), k.take(ok)
 
     def units(self, text: str) -> list[str]:
         """The text with spaces marked, cut before each run of marks; no piece has a mark behind another character."""
@@ -166,37 +166,37 @@ class Lattice:
                 at, reach = at[on], reach[on]
             hit, k = self.find(_name(*sums, at, size))
             ids, scores, _, first, last = self.columns
-            begin = at[hit]
-            ok = (first[k] == codes[begin]) & (last[k] == codes[begin + size - 1])
+            begin = at.take(hit)
+            ok = (first.take(k) == codes.take(begin)) & (last.take(k) == codes.take(begin + size - 1))
             if not ok.all():
                 begin, k = begin[ok], k[ok]
             if size == 1:
                 single[begin] = True
-            start.append(begin), length.append(np.full(len(begin), size, np.int32)), piece.append(ids[k]), score.append(scores[k])
+            start.append(begin), length.append(np.full(len(begin), size, np.int32)), piece.append(ids.take(k)), score.append(scores.take(k))
         bare = np.flatnonzero(~single)
         start.append(bare), length.append(np.ones(len(bare), np.int32)), piece.append(np.full(len(bare), -1)), score.append(np.full(len(bare), self.least))
         start, length, piece, score = map(np.concatenate, (start, length, piece, score))
         # masses from the ends of units backwards, all units side by side
         order = np.argsort(start, kind="stable")  # of sorted runs, one for each length
-        deep = left[start[order]]
+        deep = left.take(start.take(order))
         by = order[np.argsort(deep.astype(np.uint16) if deep.max(initial=0) < 1 << 16 else deep, kind="stable")]
-        s, end, x = start[by], (start + length)[by], score[by]
+        s, end, x = start.take(by), (start + length).take(by), score.take(by)
         mass, below_mass = np.zeros(n + 1), np.zeros(n + 1)  # the second is zero where a unit ends, so where the next begins
         within = np.ones(n + 1)
         within[offs] = 0.0
         cuts = np.append(_firsts(left[s]), len(s))
         for a, b in zip(cuts, cuts[1:], strict=False):
-            below = x[a:b] + below_mass[end[a:b]]
+            below = x[a:b] + below_mass.take(end[a:b])
             at = _firsts(s[a:b])
             top = np.maximum.reduceat(below, at)
             size = np.diff(np.append(at, b - a))
             node = s[a:b][at]
             mass[node] = top + np.log(np.add.reduceat(np.exp(below - np.repeat(top, size)), at))
             below_mass[node] = mass[node] * within[node]
-        cond = score + below_mass[start + length] - mass[start]
+        cond = score + below_mass.take(start + length) - mass.take(start)
         cond = np.round(cond * 2.0**32) * 2.0**-32  # so that sums are exact, whatever else is in the batch
         ptr = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=n)))).astype(np.int32)
-        return Edges(ptr, length[order], cond[order], piece[order].astype(np.int32))
+        return Edges(ptr, length.take(order), cond.take(order), piece.take(order).astype(np.int32))
 
     def sample(self, text: str, k: int, rng: np.random.Generator, whole: bool = True) -> list[tuple[float, float, list[str]]]:
         """(perturbed log-probability, log-probability, pieces) of up to k + 1 different paths, greatest first; without
@@ -314,19 +314,22 @@ class Search:
         stop = np.concatenate((self.end[mine], self.end[self.unit[inner]]))
         turned = _U(((turn + 1) << 52) * int(_STEP) % (1 << 64))
         while len(at):
-            chosen = e.ptr[self.node[at]]
-            u = (mix(self.key[at] + turned) >> _U(11)) * 2.0**-53
-            on = np.flatnonzero(e.upto[chosen] <= u)
+            chosen = e.ptr.take(self.node.take(at))
+            u = (mix(self.key.take(at) + turned) >> _U(11)) * 2.0**-53
+            on = np.flatnonzero(e.upto.take(chosen) <= u)
+            next_edge, least = chosen.take(on), u.take(on)
             while len(on):
-                chosen[on] += 1
-                on = on[e.upto[chosen[on]] <= u[on]]
+                next_edge += 1
+                more = e.upto.take(next_edge) <= least
+                chosen[on] = next_edge
+                on, next_edge, least = on[more], next_edge[more], least[more]
             taken[at] = chosen
-            at = at + e.length[chosen]
+            at = at + e.length.take(chosen)
             on = np.flatnonzero(at < stop)
-            at, stop = at[on], stop[on]
+            at, stop = at.take(on), stop.take(on)
         fresh = np.flatnonzero((taken >= 0) & (np.arange(len(taken)) >= begin[self.row])) if len(taken) else np.zeros(0, np.int64)
         step = np.zeros(len(taken) + 1)
-        step[fresh] = e.cond[taken[fresh]]
+        step[fresh] = e.cond.take(taken.take(fresh))
         run = np.concatenate(([0.0], np.cumsum(step)))  # sums up to a place, of the parts that were followed
         shift = base - run[self.offs[:-1]]
         total = shift + run[self.offs[1:]]
@@ -442,9 +445,11 @@ def sampled_pieces(rows: DataFrame, keys: list[str], text_col: str = "text", sam
             offs = utf8(b.column(n_keys))[1]
             for first, last in slices(offs, LAID_BYTES):
                 laid = Laid(lat, b.column(n_keys).slice(first, last - first).fill_null("").to_pylist())
+                found = []
                 for lo, hi in slices(offs[first : last + 1], PART_BYTES):
                     for at in range(lo, hi, 4000):
-                        yield from drawn(lat, spell, laid, at, b.slice(first + at, min(hi - at, 4000)))
+                        found += drawn(lat, spell, laid, at, b.slice(first + at, min(hi - at, 4000)))
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()  # many small batches cost both sides
 
     def drawn(lat: Lattice, spell: Spelling | None, laid: Laid, at: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         names = zip(*(part.column(i).to_pylist() for i in range(n_keys)), strict=True)

@@ -364,3 +364,18 @@ def test_workers_hand_back_what_they_freed():
     before = used()
     assert len(list(common.lean(run)([1, 2]))) == 2
     assert used() < before + 64
+
+
+def test_samples_of_a_slab_come_in_one_batch(spark, monkeypatch):
+    """However many parts it is searched in, with the same samples."""
+    docs = spark.createDataFrame([(i, "many words in small parts " * (i % 5)) for i in range(20)], "doc_id long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["many words in small parts " * (i % 5) for i in range(20)])], ["doc_id", "text"])
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    pieces.sampled_pieces(docs, ["doc_id"])
+    whole = list(runs[0](iter([batch])))
+    monkeypatch.setattr(pieces, "PART_BYTES", 100)
+    parts = list(runs[0](iter([batch])))
+    assert len(whole) == len(parts) == 1
+    rows = [sorted(x[0].to_pylist(), key=lambda r: (r["doc_id"], r["sample"])) for x in (whole, parts)]
+    assert rows[0] == rows[1] and len(rows[0]) == 36
