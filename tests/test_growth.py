@@ -7,6 +7,7 @@ from tallyweave.model import Selection, Snapshot
 from tallyweave.operators import closure, conflicts, matching
 from tallyweave.plans import run
 from tallyweave.sources import lexicon
+from tallyweave.sources.scratch import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +116,28 @@ def test_tags_are_cut_once_and_only_parts_that_are_asked_for_are_decoded(spark):
     prior = conflicts.prior_decisions(rows.select(F.col("id").cast("string").alias("guid"), F.lit("A").alias("carrier"), F.lit(1).alias("seq"), "text"))
     assert sorted(tuple(r) for r in prior.collect()) == [(g, "f", "skip", None, "GT-20260619-150000") for g in ("0", "1")]
     assert "Join" not in plan_text(prior)
+
+
+def _joins(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_staged_ids_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Half a million ids take less than a megabyte on disk and some 80 in a broadcast; a table that is small stays one."""
+    ids = spark.range(500_000).select(F.concat(F.lit("allo-"), "id", F.lit("-1")).alias("guid"))
+    left, right = stage(ids, "ids"), stage(ids.withColumnRenamed("guid", "other"), "ids")
+    assert left.join(right, left.guid == right.other, "left_semi").agg(F.count("*")).first()[0] == 500_000
+    assert "BroadcastHashJoin" not in _joins(left.join(right, left.guid == right.other, "left_semi").agg(F.count("*")))
+    few = stage(ids.limit(25), "few")
+    assert "BroadcastHashJoin" in _joins(left.join(few, "guid", "left_semi").agg(F.count("*")))
+
+
+def test_a_larger_estimate_of_the_session_stays(spark):
+    before = spark.conf.get("spark.sql.sources.fileCompressionFactor")
+    try:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", "1000.0")
+        stage(spark.range(1), "one")
+        assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1000
+    finally:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", before)
