@@ -8,38 +8,61 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 from .components import connected_components
 from .vectors import blocked, by_length, dimension_steps, lists, matrix, rotations, suffix_norms, usable
 
-#: Rows of a tile, its width along an axis, and the leading axes along which tiles are cut.
+#: Rows that are compared at once, tiles' width along an axis, and the leading axes along which tiles are cut.
 TILE, WIDTH, AXES = 1024, 0.1, 6
+#: Tiles hold so many times TILE rows: a row goes to a task with each tile that it may have a link to, whatever its size.
+SLAB = 8
+#: What places a vector: its leading axes, and the length of what the other axes hold.
+PLACE = AXES + 1
 FOUND = "kind int, a long, b long"
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows to length 1; none is zero."""
+    u = v / np.abs(v).max(1, initial=0.0)[:, None]
+    return u / np.sqrt((u * u).sum(1))[:, None]
+
+
+def turned(v: np.ndarray, turn: dict[int, np.ndarray]) -> np.ndarray:
+    """Rows to length 1 along the axes of their length of vector."""
+    return unit(v) @ turn[v.shape[1]] if v.shape[1] in turn else unit(v)
+
+
+def places(r: np.ndarray) -> np.ndarray:
+    """Of rows along their axes the leading components and the length of the rest. Two rows lie no nearer to each other than their
+    places do, since lengths differ by no more than what they are the lengths of."""
+    out = np.zeros((len(r), PLACE))
+    out[:, : min(AXES, r.shape[1])] = r[:, :AXES]
+    out[:, AXES] = np.sqrt((r[:, AXES:] ** 2).sum(1))
+    return out
+
+
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, dim, same (digest of label and vector), v (doubles), u (v to length 1) of the vectors that can link."""
+    """vec_id, label, dim, same (digest of label and vector), v of the vectors that can link; v stays in floats where it is given so."""
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, v in by_length(b.column(2), np.flatnonzero(usable(b.column(2)))):
                 v = v + 0.0  # no negative zeros
-                top = np.abs(v).max(1, initial=0.0)
-                lo, v, top = lo[top > 0], v[top > 0], top[top > 0]
-                u = v / top[:, None]
-                u /= np.sqrt((u * u).sum(1))[:, None]
+                some = np.abs(v).max(1, initial=0.0) > 0
+                lo, v = lo[some], v[some]
                 own = b.take(pa.array(lo))
                 raw, n = memoryview(np.ascontiguousarray(v)).cast("B"), 8 * v.shape[1]
                 same = [hashlib.sha256(f"{x}:".encode() + raw[i * n : (i + 1) * n]).digest() for i, x in enumerate(own.column(1).to_pylist())]
-                columns = [own.column(0), own.column(1), pa.array(np.full(len(lo), v.shape[1])), pa.array(same, pa.binary()), lists(v), lists(u)]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "dim", "same", "v", "u"])
+                columns = [own.column(0), own.column(1), pa.array(np.full(len(lo), v.shape[1])), pa.array(same, pa.binary()), lists(v.astype(np.float32) if single else v)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "dim", "same", "v"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL")
-    return rows.mapInArrow(run, "vec_id long, label string, dim long, same binary, v array<double>, u array<double>")
+    return rows.mapInArrow(run, f"vec_id long, label string, dim long, same binary, v array<{'float' if single else 'double'}>")
 
 
 def scaled(v: np.ndarray) -> np.ndarray:
@@ -48,12 +71,30 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0.0))[1][:, None])
 
 
-def links(a: pd.DataFrame, b: pd.DataFrame, threshold: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with cosine >= threshold: partial sums over leading axes, dropped once the suffix norms bound the rest
-    too low; what is left is decided by the cosine of the vectors as given. one: a and b are the same tile."""
-    p, q = matrix(a.r), matrix(b.r)
+def links(x: np.ndarray, y: np.ndarray, turn: dict[int, np.ndarray], threshold: float, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of x and y with cosine >= threshold, by blocks of TILE rows in order of the leading axis; blocks whose boxes
+    are too far apart don't meet. one: x and y are the same rows."""
+    p, q = turned(x, turn), turned(y, turn)
+    blocks = []
+    for r in (p, q):
+        order = np.argsort(r[:, 0], kind="stable")
+        own = [order[at : at + TILE] for at in range(0, len(order), TILE)]
+        at = places(r)
+        blocks.append([(k, at[k].min(0), at[k].max(0)) for k in own])
+    for m, (i, lo, hi) in enumerate(blocks[0]):
+        for n, (j, low, high) in enumerate(blocks[1]):
+            gap = np.maximum(np.maximum(lo - high, low - hi), 0.0)
+            if one and n < m or (gap * gap).sum() > 2 - 2 * threshold + 1e-9:
+                continue
+            s, t = _block_links(x[i], y[j], p[i], q[j], threshold, one and m == n)
+            yield i[s], j[t]
+
+
+def _block_links(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with cosine >= threshold: partial sums over leading axes (p, q), dropped once the suffix norms bound the rest
+    too low; what is left is decided by the cosine of the vectors as given (x, y). one: both sides are the same rows."""
     ps, qs = suffix_norms(p), suffix_norms(q)
-    partial = np.zeros((len(a), len(b)))
+    partial = np.zeros((len(p), len(q)))
     for lo, hi in dimension_steps(p.shape[1]):
         partial += p[:, lo:hi] @ q[:, lo:hi].T
         alive = partial + ps[:, hi][:, None] * qs[:, hi][None, :] >= threshold - 1e-9
@@ -63,7 +104,7 @@ def links(a: pd.DataFrame, b: pd.DataFrame, threshold: float, one: bool) -> tupl
         alive = np.triu(alive, 1)
     i, j = np.nonzero(alive)
     keep_i, keep_j = [], []
-    x, y = scaled(matrix(a.v)), scaled(matrix(b.v))
+    x, y = scaled(x), scaled(y)
     nx, ny = np.sqrt((x**2).sum(1)), np.sqrt((y**2).sum(1))
     for at in range(0, len(i), 1 << 17):
         s, t = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
@@ -90,7 +131,7 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cells(tiles: DataFrame) -> DataFrame:
-    """(label, dim, bins, cell): the fewest leading axes by which a cell has at most TILE rows, or all AXES."""
+    """(label, dim, bins, cell): the fewest leading axes by which a cell has at most SLAB times TILE rows, or all AXES."""
     cells = stage(tiles.groupBy("label", "dim", "bins").agg(F.count("*").alias("n")), "cells")
     out = cells
     for d in range(1, AXES):
@@ -99,26 +140,29 @@ def _cells(tiles: DataFrame) -> DataFrame:
         out = out.join(sums, ["label", "dim", f"p{d}"])
     cell = F.col("bins")
     for d in range(AXES - 1, 0, -1):
-        cell = F.when(F.col(f"n{d}") <= TILE, F.col(f"p{d}")).otherwise(cell)
+        cell = F.when(F.col(f"n{d}") <= SLAB * TILE, F.col(f"p{d}")).otherwise(cell)
     return out.select("label", "dim", "bins", F.array_join(cell.cast("array<string>"), ",").alias("cell"))
 
 
+def _apart(lo: Column, hi: Column, low: Column, high: Column) -> Column:
+    """The square of the distance of two boxes."""
+    gap = lambda i: F.greatest(lo[i] - high[i], low[i] - hi[i], F.lit(0.0))
+    return sum((gap(i) * gap(i) for i in range(1, PLACE)), gap(0) * gap(0))
+
+
 def _near_tiles(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(label, dim, cell, salt, cell2, salt2): pairs of tiles whose boxes along the leading axes are near enough for a link.
+    """(label, dim, cell, salt, cell2, salt2) and both boxes (lo, hi, lo2, hi2): pairs of tiles whose boxes, by the places of what they
+    hold, are near enough for a link.
 
     Unit vectors of that cosine lie no farther apart than sqrt(2 - 2 * threshold), and rotations keep distances. Tiles meet
     by their bin along the first axis; what is joined is a row for each tile, not for each vector."""
-    at = lambda i: F.coalesce(F.get("r", F.lit(i)), F.lit(0.0))
-    ends = [f(at(i)).alias(f"{n}{i}") for i in range(AXES) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    ends = [F.array(*(f(F.col("place")[i]) for i in range(PLACE))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     kinds = stage(tiles.groupBy("label", "dim", "cell", "salt").agg(F.min(F.col("bins")[0]).alias("bin"), *ends), "kinds")
     reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / WIDTH + 1e-9))
-    names = {c: f"{c}2" for c in ("cell", "salt", *(f"{n}{i}" for i in range(AXES) for n in ("lo", "hi")))}
-    other = kinds.withColumnsRenamed(names)
+    other = kinds.withColumnsRenamed({c: f"{c}2" for c in ("cell", "salt", "lo", "hi")})
     ours = kinds.withColumn("bin", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: o + F.col("bin"))))
-    gap = lambda i: F.greatest(F.col(f"lo{i}") - F.col(f"hi{i}2"), F.col(f"lo{i}2") - F.col(f"hi{i}"), F.lit(0.0))
-    apart = sum((gap(i) * gap(i) for i in range(1, AXES)), gap(0) * gap(0))
-    near = (apart <= 2 - 2 * threshold + 1e-9) & (F.struct("cell", "salt") <= F.struct(F.col("cell2").alias("cell"), F.col("salt2").alias("salt")))
-    return ours.join(other, ["label", "dim", "bin"]).where(near).select("label", "dim", "cell", "salt", "cell2", "salt2")
+    near = (_apart(*map(F.col, ("lo", "hi", "lo2", "hi2"))) <= 2 - 2 * threshold + 1e-9) & (F.struct("cell", "salt") <= F.struct(F.col("cell2").alias("cell"), F.col("salt2").alias("salt")))
+    return ours.join(other, ["label", "dim", "bin"]).where(near).select("label", "dim", "cell", "salt", "cell2", "salt2", "lo", "hi", "lo2", "hi2")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -129,39 +173,50 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     counts the links of all its vectors, and joins what they link. Other columns are left out.
 
     Vectors of one label that are equal in every component are one node with a weight, so a popular vector costs no pairs.
-    Tiles are bins along the leading principal axes, as many as it takes to hold at most TILE rows, beyond AXES dealt by
-    salt; only tiles whose boxes are near enough to hold a link meet. A task sends a count for each vector and a spanning
-    forest of its links, never all pairs."""
+    Tiles are bins along the leading principal axes, as many as it takes to hold at most SLAB times TILE rows, beyond AXES dealt
+    by salt; only tiles whose boxes are near enough to hold a link meet, and of their rows those near enough to the other's box.
+    Vectors alone travel, in floats if they are given so; what is worked out of them is worked out again where it is needed. A
+    task sends a count for each vector and a spanning forest of its links, never all pairs."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     units = stage(unit_vectors(vectors, id_col, vector_col, label_col), "units")
-    nodes = units.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("v").alias("v"), F.min("u").alias("u"))
-    turn = rotations(units.select("dim", "u"), "u")
+    nodes = units.groupBy("same").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("v").alias("v"))
+
+    def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, v in by_length(b.column(1), np.arange(b.num_rows)):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), lists(unit(v))], ["dim", "u"])
+
+    turn = rotations(units.select("dim", "v").mapInArrow(norm, "dim long, u array<double>"), "u")
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, u in by_length(b.column(5), np.arange(b.num_rows)):
-                r = u @ turn[u.shape[1]] if u.shape[1] in turn else u
-                own = b.take(pa.array(at))
-                bins = np.zeros((len(r), AXES), np.int64)
-                bins[:, : r.shape[1]] = np.floor(r[:, :AXES] / WIDTH)
-                yield pa.RecordBatch.from_arrays([*own.columns[:5], lists(r), lists(bins)], [*own.schema.names[:5], "r", "bins"])
-
-    schema = "node long, weight long, label string, dim long, v array<double>, r array<double>, bins array<long>"
-    tiles = stage(nodes.select("node", "weight", "label", "dim", "v", "u").mapInArrow(rotate, schema), "rotated")
+            for at, v in by_length(b.column(4), np.arange(b.num_rows)):
+                place = places(turned(v, turn))
+                bins = np.floor(place[:, :AXES] / WIDTH).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, lists(place), lists(bins)], [*b.schema.names, "place", "bins"])
+
+    kind = dict(units.dtypes)["v"]
+    schema = f"node long, weight long, label string, dim long, v {kind}, place array<double>, bins array<long>"
+    tiles = stage(nodes.select("node", "weight", "label", "dim", "v").mapInArrow(rotate, schema), "rotated")
     tiles = tiles.join(_cells(tiles).hint("merge"), ["label", "dim", "bins"])
-    tiles = stage(blocked(tiles, ["label", "dim", "cell"], "node", TILE), "tiles")
+    tiles = stage(blocked(tiles, ["label", "dim", "cell"], "node", SLAB * TILE), "tiles")
     pairs = stage(_near_tiles(tiles, threshold), "pairs")
     keys = ["label", "dim", "cell", "salt", "cell2", "salt2"]
-    columns = [F.col(c).alias(c) for c in (*keys, "node", "weight", "v", "r")]  # apart from the other side's
-    left = tiles.join(pairs, ["label", "dim", "cell", "salt"]).select(columns)
-    right = tiles.withColumnRenamed("cell", "cell2").withColumnRenamed("salt", "salt2").join(pairs, ["label", "dim", "cell2", "salt2"]).select(columns)
+    columns = [F.col(c).alias(c) for c in (*keys, "node", "weight", "v")]  # apart from the other side's
+    near = lambda lo, hi: _apart(F.col("place"), F.col("place"), F.col(lo), F.col(hi)) <= 2 - 2 * threshold + 1e-9
+    left = tiles.join(pairs, ["label", "dim", "cell", "salt"]).where(near("lo2", "hi2")).select(columns)
+    two = pairs.where("cell <> cell2 OR salt <> salt2")  # a tile meets itself in the rows of its left side
+    right = tiles.withColumnRenamed("cell", "cell2").withColumnRenamed("salt", "salt2").join(two, ["label", "dim", "cell2", "salt2"]).where(near("lo", "hi")).select(columns)
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
+        one = key[2:4] == key[4:6]
+        b = a if one else b
         if not len(a) or not len(b):
             return none
-        one = key[2:4] == key[4:6]
-        i, j = links(a, b, threshold, one)
+        x = matrix(a.v)
+        found = list(links(x, x if one else matrix(b.v), turn, threshold, one))
+        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         if not len(i):
             return none
         an, bn, aw, bw = a.node.to_numpy(), b.node.to_numpy(), a.weight.to_numpy(), b.weight.to_numpy()

@@ -379,3 +379,33 @@ def test_samples_of_a_slab_come_in_one_batch(spark, monkeypatch):
     assert len(whole) == len(parts) == 1
     rows = [sorted(x[0].to_pylist(), key=lambda r: (r["doc_id"], r["sample"])) for x in (whole, parts)]
     assert rows[0] == rows[1] and len(rows[0]) == 36
+
+
+def test_embedding_rows_travel_in_floats_and_once(spark, monkeypatch):
+    """Clustered vectors of 64 floats: no table holds them in doubles or twice, and every link is found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    near = centres[rng.integers(0, 40, 3000)] + 0.15 * rng.normal(size=(3000, 64))
+    rows = [(i, "a", [float(x) for x in np.float32(v)]) for i, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    staged = []
+    write = embed_dedup.stage
+    monkeypatch.setattr(embed_dedup, "stage", lambda d, name: staged.append((name, d)) or write(d, name))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    u = np.float32(near).astype(float)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    alike = u @ u.T >= 0.93
+    np.fill_diagonal(alike, False)
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(alike.sum(1).tolist()))
+    assert all(d.schema["v"].dataType.elementType.typeName() == "float" for name, d in staged if "v" in d.columns)
+    assert all(not {"u", "r"} & set(d.columns) for _, d in staged)
+
+
+@pytest.mark.parametrize("dims", [3, 6, 7, 40])
+def test_places_lie_no_farther_apart_than_vectors(dims):
+    rng = np.random.default_rng(dims)
+    v = rng.normal(size=(200, dims))
+    p = embed_dedup.unit(v)
+    at = embed_dedup.places(p)
+    real = ((p[:, None] - p[None]) ** 2).sum(-1)
+    assert (((at[:, None] - at[None]) ** 2).sum(-1) <= real + 1e-12).all()
