@@ -3,6 +3,8 @@ writing systems. Their snapshots are derived from whole tables, each as small as
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,6 +215,7 @@ def run_late_references(spark, sf):
     add = lambda where, target: planning.plan_pieces(matching.presence(s.objects.where(where), target.objects, ["guid"]), "entry")
     third = F.regexp_extract("guid", "[0-9]+", 0).cast("long") % 3 == 0
     first = apply.applied_snapshot(FIRST, add(~third, empty), s, empty)
+    first = replace(first, objects=stage(first.objects, "objects"), refs=stage(first.refs, "refs"))
     again = Snapshot(first.objects, first.refs, s.props, s.custom_fields, None, stage(first.outbox, "outbox"))
     second = apply.applied_snapshot(SECOND, add(third, again), s, again)
     parts = [x.select(F.lit(r).alias("run"), F.lit(state).alias("state"), "from_guid", "to_guid") for r, d in (("first", first), ("second", second)) for state, x in (("linked", d.refs), ("waiting", d.outbox))]

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyweave.functions import residue
-from tallyweave.model import Selection, Snapshot
-from tallyweave.operators import closure, conflicts, matching
+from tallyweave.model import RunContext, Selection, Snapshot
+from tallyweave.operators import apply, closure, conflicts, layers, matching
 from tallyweave.plans import run
 from tallyweave.sources import lexicon
 from tallyweave.sources.scratch import stage
@@ -141,3 +141,22 @@ def test_a_larger_estimate_of_the_session_stays(spark):
         assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1000
     finally:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", before)
+
+
+def test_a_run_writes_no_references_that_nobody_asks_for(spark, monkeypatch):
+    """Created objects alone are asked for: neither references nor the objects of the target are written."""
+    names = []
+    write = apply.stage
+    monkeypatch.setattr(apply, "stage", lambda df, name, by=None: names.append(name) or write(df, name, by))
+    s, t = lexicon.derived_pair(spark, SF)
+    plan = run.plan_run(s, t, Selection(frozenset({"natural_classes", "strata"})))
+    done = apply.applied_snapshot(RunContext("src", "tgt", "GT-20260619-150000", "2026-06-19T15:00:00"), plan, s, t)
+    assert done.objects.join(t.objects.select("guid"), "guid", "left_anti").count() > 0
+    assert "created" in names and not {"refs", "objects"} & set(names)
+
+
+def test_allomorphs_are_filtered_before_their_prints(spark):
+    s, _ = lexicon.derived_pair(spark, SF)
+    some = s.of("allomorph").where("ord % 2 = 0").select("guid", "owner_guid", "ord")
+    own = layers.allomorph_prints(s, some)
+    assert own.count() == some.count() and own.exceptAll(layers.allomorph_prints(s)).isEmpty()
