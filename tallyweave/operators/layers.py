@@ -10,7 +10,7 @@ from tallyweave.model import Selection, Snapshot
 from tallyweave.operators.conflicts import typed
 from tallyweave.operators.matching import first_sighting, match, presence
 from tallyweave.operators.planning import plan_pieces, plan_row, union
-from tallyweave.sources.scratch import stage
+from tallyweave.sources.scratch import bucketed, stage
 
 #: The class of analyses that inflecting affixes have, and the layer that closure pulls in below a part of speech.
 INFLECTING = "MoInflAffMsa"
@@ -39,12 +39,14 @@ def msa_prints(side: Snapshot) -> DataFrame:
 
 
 def allomorph_prints(side: Snapshot, of: DataFrame | None = None) -> DataFrame:
-    """(guid, owner_guid, ord, fp) of allomorphs (all, or those ``of`` a table of guid, owner_guid, ord): entry, form and morph type."""
+    """(guid, owner_guid, ord, form, kind, fp) of allomorphs (all, or those ``of`` a table of guid, owner_guid, ord); fp is entry, form and
+    morph type, and form and kind are what it is made of, where nothing counts as an empty text."""
     form = side.props.where("field = 'Form'").groupBy("guid").agg(F.min("s").alias("form"))
     kind = side.links("MorphTypeRA").groupBy(F.col("from_guid").alias("guid")).agg(F.min("to_guid").alias("kind"))
     own = side.of("allomorph").select("guid", "owner_guid", "ord") if of is None else of
     own = own.join(form, "guid", "left").join(kind, "guid", "left")
-    return own.select("guid", "owner_guid", "ord", FINGERPRINTS["allomorph"](F.lower("owner_guid"), F.col("form"), F.col("kind")).alias("fp"))
+    parts = (F.coalesce("form", F.lit("")).alias("form"), F.coalesce(F.lower("kind"), F.lit("")).alias("kind"))
+    return own.select("guid", "owner_guid", "ord", *parts, FINGERPRINTS["allomorph"](F.lower("owner_guid"), F.col("form"), F.col("kind")).alias("fp"))
 
 
 #: Categories that are known by their name, and what else belongs to it: the owner, the class or nothing.
@@ -89,13 +91,19 @@ def recognised(plan: DataFrame, known: DataFrame, overwrite: bool) -> DataFrame:
     return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in plan.columns))
 
 
-def within_entry(source_prints: DataFrame, target_prints: DataFrame) -> DataFrame:
-    """source prints with target_guid (of alike ones under the same entry the first, else null) and ambiguous. Digests travel as
-    bytes, half as long as their text."""
-    source_prints, target_prints = (p.withColumn("fp", F.unhex("fp")) for p in (source_prints, target_prints))
-    first = target_prints.groupBy("owner_guid", "fp").agg(F.min_by("guid", F.struct("ord", "guid")).alias("target_guid"), F.count("*").alias("_n"))
-    joined = source_prints.join(first, ["owner_guid", "fp"], "left")
-    return joined.withColumn("ambiguous", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_n").withColumn("fp", F.lower(F.hex("fp")))
+#: What alike allomorphs of an entry have in common; it is shorter than its digest, and packs better.
+ALIKE = ("form", "kind")
+
+
+def within_entry(source_prints: DataFrame, target_prints: DataFrame, keys: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """source prints with target_guid (of those under the same entry that have the same keys the first, else null) and ambiguous. Digests
+    travel as bytes, half as long as their text; none does where the keys are others."""
+    packed = lambda p: p.withColumn("fp", F.unhex("fp")) if "fp" in keys else p.drop("fp")
+    source_prints, target_prints = packed(source_prints), packed(target_prints)
+    first = target_prints.groupBy("owner_guid", *keys).agg(F.min_by("guid", F.struct("ord", "guid")).alias("target_guid"), F.count("*").alias("_n"))
+    joined = source_prints.join(first, ["owner_guid", *keys], "left")
+    out = joined.withColumn("ambiguous", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_n")
+    return out.withColumn("fp", F.lower(F.hex("fp"))) if "fp" in keys else out
 
 
 def _matched_rows(matched: DataFrame, category: str, overwrite: bool, parents: Column) -> DataFrame:
@@ -131,9 +139,11 @@ def plan_layer(source: Snapshot, target: Snapshot, poses: DataFrame, selection:
         of = senses.groupBy(F.col("msa").alias("guid")).agg(F.array_sort(F.collect_set("sense")).alias("senses"))
         parts.append(_matched_rows(within_entry(msa_prints(source).join(of, "guid"), msa_prints(target)), "msa", selection.overwrite, F.col("senses")))
     allomorphs = source.of("allomorph").join(entries.select(F.col("guid").alias("owner_guid")), "owner_guid", "left_semi").select("guid", "owner_guid", "ord")
+    if {"allomorph", "ph_environment"} <= set(wanted):
+        allomorphs = bucketed(allomorphs, "guid", "allomorphs")  # dealt by id once, for either
     if "allomorph" in wanted:
         prints = allomorph_prints(source, allomorphs)
-        parts.append(_matched_rows(within_entry(prints, allomorph_prints(target)), "allomorph", selection.overwrite, F.array("owner_guid")))
+        parts.append(_matched_rows(within_entry(prints, allomorph_prints(target), ALIKE), "allomorph", selection.overwrite, F.array("owner_guid")))
     if "ph_environment" in wanted:
         of = allomorphs.select(F.col("guid").alias("allomorph"), F.col("owner_guid").alias("entry"), F.col("ord").alias("at"))
         seen = source.links("PhoneEnvRC").select(F.col("from_guid").alias("allomorph"), F.col("to_guid").alias("guid"), "ord").join(of, "allomorph")

@@ -62,7 +62,7 @@ def msa_within_entry(spark, sf):
 @query(f"""WITH {_MODEL} SELECT 'allo-' || k || '-' || n AS guid, t AS target_guid, several AS ambiguous FROM am""")
 def allomorph_within_entry(spark, sf):
     s, t = derived_pair(spark, sf)
-    return layers.within_entry(layers.allomorph_prints(s), layers.allomorph_prints(t)).select("guid", "target_guid", "ambiguous")
+    return layers.within_entry(layers.allomorph_prints(s), layers.allomorph_prints(t), layers.ALIKE).select("guid", "target_guid", "ambiguous")
 
 
 # Dependencies and collections

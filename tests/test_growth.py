@@ -160,3 +160,12 @@ def test_allomorphs_are_filtered_before_their_prints(spark):
     some = s.of("allomorph").where("ord % 2 = 0").select("guid", "owner_guid", "ord")
     own = layers.allomorph_prints(s, some)
     assert own.count() == some.count() and own.exceptAll(layers.allomorph_prints(s)).isEmpty()
+
+
+def test_allomorphs_travel_without_digests(spark):
+    """They are matched by form and type, as by their fingerprints: nothing counts as an empty text, and types by their letters alone."""
+    s, t = lexicon.derived_pair(spark, SF)
+    short = layers.within_entry(layers.allomorph_prints(s), layers.allomorph_prints(t), layers.ALIKE).select("guid", "target_guid", "ambiguous")
+    assert "sha2" not in plan_text(short)
+    whole = layers.within_entry(layers.allomorph_prints(s), layers.allomorph_prints(t)).select("guid", "target_guid", "ambiguous")
+    assert short.count() == whole.count() and short.exceptAll(whole).isEmpty()
